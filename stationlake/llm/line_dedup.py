@@ -131,7 +131,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataF
     wanted = wanted.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("mark").alias("class"), "cluster")).alias("wanted"))
     sets = chosen.join(wanted, "doc_id").mapInArrow(lambda it: wanted_lines(it, percent / 100), "class long, cluster long, bands array<int>, payload binary")
     links = cluster_links(scratch.save(sets, "sets"), scratch, percent, line_set)
-    scratch.drop("sets", "cluster")
+    scratch.drop("cluster")
 
     # What isn't the first line of its component goes.
     found = scratch.save(components(links, scratch, "links"), "found").toDF("mark", "component")

@@ -24,7 +24,8 @@ from .common import M1, M2, Scratch, WordHashes, as_bytes, mix, rolling, signed,
 from .components import components
 
 SAMPLED_FROM = 192  # shingles; larger sets are compared by keys over a hash-chosen part of the shingles
-BLOCK = 256  # classes in a block of a tile
+BLOCK = 2048  # classes in a block of a tile at most; fewer where sets are large,
+ELEMENTS = 2_000_000  # so that a block holds about this many shingles
 BITS = 2048  # of a bitmap
 
 
@@ -170,7 +171,7 @@ def as_set(payload: bytes) -> np.ndarray:
 
 def tile_links(tiles: DataFrame, percent: int, set_of=as_set) -> DataFrame:
     """Joins the tiles (tile, class, side, label, payload); several small tiles share a task's group."""
-    bundles = max(1, tiles.count() // (2 * BLOCK))
+    bundles = max(1, tiles.count() // 1024)
 
     def run(frame):
         import pandas as pd
@@ -196,9 +197,11 @@ def cluster_links(sets: DataFrame, scratch: Scratch, percent: int, set_of=as_set
     """
     banded = sets.select("class", "cluster", F.explode("bands").alias("band"), "payload")
     blocks = banded.groupBy("cluster", "band").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = blocks.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).select("cluster", "band", "blocks")
+    each = F.greatest(F.lit(min(BLOCK, 32)), F.least(F.lit(BLOCK), F.floor(ELEMENTS / F.pow(F.lit(2.0), F.col("band") / 2))))
+    blocks = blocks.withColumn("each", each).withColumn("blocks", F.ceil(F.col("size") / F.col("each"))).select("cluster", "band", "each", "blocks")
     placed = banded.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     placed = scratch.save(placed, "placed")
+    scratch.drop("sets")
     # First every block with block 0.
     with_first = F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.col("block")))
     tiles = placed.withColumn("other", F.explode(with_first))
@@ -208,16 +211,17 @@ def cluster_links(sets: DataFrame, scratch: Scratch, percent: int, set_of=as_set
     # Then, in clusters of several blocks, all that isn't in the band's largest component yet with everything else.
     label = scratch.save(components(links, scratch, "first"), "label").toDF("class", "label")
     large = placed.where("blocks > 1").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    counts = large.groupBy("cluster", "band", "label").agg(F.count("*").alias("size"))
-    main = counts.groupBy("cluster", "band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
-    main = main.where("all > most").select("cluster", "band", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("small_blocks"))
+    counts = large.groupBy("cluster", "band", "label").agg(F.count("*").alias("size"), F.max("each").alias("each"))
+    main = counts.groupBy("cluster", "band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"), F.max("each").alias("each"))
+    main = main.where("all > most").select("cluster", "band", "main", F.ceil((F.col("all") - F.col("most")) / F.col("each")).alias("small_blocks"))
     large = scratch.save(large.join(main, ["cluster", "band"]).withColumn("small_block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("small_blocks"))), "large")
+    scratch.drop("placed")
     few = large.where("label <> main").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     few = few.select(F.concat_ws(":", "cluster", "band", "small_block", F.col("other").alias("block")).alias("tile"), "class", F.lit(1).alias("side"), "label", "payload")
     many = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("small_blocks") - 1)))
     many = many.select(F.concat_ws(":", "cluster", "band", F.col("other").alias("small_block"), "block").alias("tile"), "class", F.lit(2).alias("side"), "label", "payload")
     links = scratch.save(links.union(tile_links(few.union(many), percent, set_of)), "links")
-    scratch.drop("placed", "large", "links-a")
+    scratch.drop("large", "links-a")
     return links
 
 
@@ -251,7 +255,6 @@ def ngram_components(docs: DataFrame, scratch: Scratch, n: int = 4, percent: int
     clustered = docs.join(cluster.withColumn("doc_id", F.col("class")), "doc_id").select("class", "cluster", "text")
     sets = clustered.mapInArrow(lambda it: set_rows(it, n, threshold), "class long, cluster long, bands array<int>, payload binary")
     links = cluster_links(scratch.save(sets, "sets"), scratch, percent)
-    scratch.drop("sets")
 
     # The classes' components, for every row.
     found = components(links, scratch, "links").toDF("class", "component")
