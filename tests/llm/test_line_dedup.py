@@ -9,7 +9,7 @@ def normal(line):
 
 
 def shingles(line):
-    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+    return {line[i : i + L.SHINGLE] for i in range(max(1, len(line) - L.SHINGLE + 1))}
 
 
 def brute(rows):
