@@ -9,6 +9,7 @@ array operations. The files are Parquet: Spark's committer makes them whole even
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ from .common import Scratch, as_bytes, slices, table
 COUNTS = [0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [0] + [60 // c for c in COUNTS[1:]]
 BLOCK_IDS = 4096
+PUNCTUATION = ".,;:!?%&$#*|"
 
 
 def widths(values: np.ndarray) -> np.ndarray:
@@ -129,7 +131,30 @@ class CachedTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.known: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _ask(self, cores: list[str]) -> None:
+        for at in range(0, len(cores), 4096):
+            some = cores[at : at + 4096]
+            for w, c in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.cores[w] = array("I", c.ids).tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Letters and the punctuation behind them are tokens apart, and ASCII letters count in lower case: many words
+        share these parts, and only new parts go to the library."""
+        parts = []
+        for w in words:
+            shown = w.decode("utf-8", "replace")
+            head = shown.rstrip(PUNCTUATION)
+            if len(head) < len(shown) and not head.isalpha():
+                head = shown
+            tail = shown[len(head) :]
+            parts.append((w, head.lower() if head.isascii() and head.isalpha() else head, tail))
+        self._ask(list({p for _, head, tail in parts for p in (head, tail) if p and p not in self.cores}))
+        for w, head, tail in parts:
+            self.known[w] = self.cores[head] + self.cores[tail] if tail else self.cores[head]
 
     def __call__(self, text: bytes | None) -> bytes:
         """Ids of a text as little-endian uint32."""
@@ -138,13 +163,9 @@ class CachedTokenizer:
         if None in found:
             if len(self.known) > self.limit:
                 self.known.clear()
+                self.cores.clear()
                 found = [None] * len(words)
-            new = list({w for w, x in zip(words, found) if x is None})
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-                for w, c in zip(some, coded):
-                    self.known[w] = np.array(c.ids, "<u4").tobytes()
+            self._learn({w for w, x in zip(words, found) if x is None})
             found = list(map(self.known.get, words))
         return b"".join(found)
 
