@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import regions as R
 from ..operators import geo, prices, stats, tasks, upsert
 from ..streaming import windows
-from .fixtures import fixture, oracle
+from . import page_queries, result_queries  # noqa: F401  they register more
+from .registry import ORACLE_SQL, QUERIES, register, shared_folder  # noqa: F401  the first two are read from here
 
-QUERIES, ORACLE_SQL = {}, {}
 NOW = 1704067380.0
 
 
-def shared_folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stationlake-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root}/{uuid.uuid4().hex}"
-
-
-def register(name: str, needs: str, sql: str | None = None):
-    """A query over one or more fixtures (blank-separated), and its SQL, which may name fixtures as tables."""
-
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(*[fixture(spark, sf_dir, n) for n in needs.split()])
-        if sql:
-            ORACLE_SQL[name] = oracle(sql)
-        return f
-
-    return add
-
-
 KM = "2*6371.0*atan2(sqrt({h}),sqrt(1-{h}))".replace("{h}", "(pow(sin(radians({b}.latitude-{a}.latitude)/2),2)+cos(radians({a}.latitude))*cos(radians({b}.latitude))*pow(sin(radians({b}.longitude-{a}.longitude)/2),2))")
 PLACED = "(SELECT id, station_name, CAST(longitude AS DOUBLE) AS longitude, CAST(latitude AS DOUBLE) AS latitude FROM fx_stations WHERE longitude <> 0 AND latitude <> 0)"
 PAIRS = f"SELECT a.id AS a, b.id AS b, {KM.format(a='a', b='b')} AS km FROM {PLACED} a JOIN {PLACED} b ON a.id < b.id AND abs(a.latitude-b.latitude) < 0.01"

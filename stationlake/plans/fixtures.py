@@ -86,6 +86,7 @@ SELECT concat('P',CAST(s_suppkey AS STRING)) AS station_id, s_name AS name,
  concat(CAST(CAST(113.0+s_suppkey/1000.0 AS DECIMAL(10,6)) AS STRING),',',CAST(CAST(34.0+s_suppkey/1000.0 AS DECIMAL(10,6)) AS STRING)) AS location
 FROM supplier
 """,
+    "fx_bad_dumps": "SELECT page_id AS dump_id, html AS xml FROM pages",
 }
 TABLES = "customer orders lineitem events part supplier documents pages"
 
