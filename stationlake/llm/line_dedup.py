@@ -2,8 +2,8 @@
 
 Lines are compared by their normal form: ASCII letters in lower case, white space as one blank, trimmed. Blank lines
 are never compared and never removed. Equal lines are one class; classes that agree on one of BANDS bands of ROWS
-MinHash values of their character shingles are candidates; within candidate clusters, tiles of bounded size find all
-pairs whose shingle sets have a Jaccard similarity of 0.8 or more, exactly.
+MinHash values of their character shingles are candidates; among the classes of each band key, tiles of bounded size
+find all pairs whose shingle sets have a Jaccard similarity of 0.8 or more, exactly.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import M1, Scratch, as_bytes, mix, rolling, signed, slices, table
 from .components import components
-from .ngram_join import bands_of, cluster_links, clusters
+from .ngram_join import bands_of, cluster_links
 
-SHINGLE = 8  # characters: unrelated lines of one language share few of that length
-BANDS, ROWS = 12, 4  # a pair at 0.8 shares a band with probability 0.998, at 0.9 with 0.99999
+SHINGLE = 5  # characters
+BANDS, ROWS = 16, 5  # a pair at 0.8 shares a band with probability 0.998, at 0.9 with 0.999999
 FACTOR = np.uint64(0x5851F42D4C957F2D)
 RNG = np.random.default_rng(20240229)
 ODD = (RNG.integers(1, 2**31, BANDS * ROWS) * 2 + 1).astype(np.uint32)
@@ -108,13 +108,30 @@ def wanted_lines(batches, threshold: float):
                     shown = normal(lines[w["place"]]) if w["place"] < len(lines) else b""
                     if not shown:  # of another text under the same doc_id
                         continue
-                    out["class"].append(w["class"])
-                    out["cluster"].append(w["cluster"])
-                    out["bands"].append(bands_of(len(line_set(shown)), threshold))
-                    out["payload"].append(shown)
+                    bands = bands_of(len(line_set(shown)), threshold)
+                    for cluster in w["clusters"]:
+                        out["class"].append(w["class"])
+                        out["cluster"].append(cluster)
+                        out["bands"].append(bands)
+                        out["payload"].append(shown)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("class", pa.int64()), ("cluster", pa.int64()), ("bands", pa.list_(pa.int32())), ("payload", pa.binary())]))
 
 
+def key_clusters(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidate clusters (class, cluster): the classes under one key (class, key); keys of the same classes are one.
+
+    A class may be in several clusters: keys aren't tied together, as chance agreements would tie most lines.
+    """
+    shared = keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    shared = scratch.save(shared.select("key"), "shared")
+    members = scratch.save(keyed.join(shared, "key", "left_semi").distinct(), "members")
+    mark = [F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("mark")]
+    chosen = members.groupBy("key").agg(*mark).groupBy("low", "high", "n", "mark").agg(F.min("key").alias("key")).select("key")
+    found = scratch.save(members.join(chosen, "key", "left_semi").select("class", F.col("key").alias("cluster")), "cluster")
+    scratch.drop("shared", "members")
+    return found
+
+
 def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
     """(doc_id, removed): for each document that loses lines, the zero-based places of these lines.
 
@@ -125,13 +142,13 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataF
     rows = chosen.mapInArrow(line_rows, "doc_id long, place int, mark long, check long, keys array<long>")
     rows = scratch.save(rows, "lines")
     place = F.struct("doc_id", "place")
-    keyed = rows.where("keys is not null").select(F.col("mark").alias("class"), F.explode("keys").alias("key")).distinct()
-    cluster = clusters(keyed, scratch)
+    keyed = rows.where("keys is not null").select(F.col("mark").alias("class"), F.explode("keys").alias("key"))
+    cluster = key_clusters(keyed, scratch).groupBy("class").agg(F.collect_list("cluster").alias("clusters"))
 
     # The clustered lines' texts, each from its first place.
     firsts = rows.select("doc_id", "place", "mark").groupBy("mark").agg(F.min(place).alias("at"))
     wanted = firsts.join(cluster.withColumnRenamed("class", "mark"), "mark")
-    wanted = wanted.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("mark").alias("class"), "cluster")).alias("wanted"))
+    wanted = wanted.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("mark").alias("class"), "clusters")).alias("wanted"))
     sets = chosen.join(wanted, "doc_id").mapInArrow(lambda it: wanted_lines(it, percent / 100), "class long, cluster long, bands array<int>, payload binary")
     links = cluster_links(scratch.save(sets, "sets"), scratch, percent, line_set)
     scratch.drop("cluster")

@@ -62,3 +62,17 @@ def test_edges(spark):
     assert run([]) == []
     assert run([(None, "same line"), (2, "same line"), (3, "Same  line")]) == [(2, "same line", 1, 0), (3, "", 1, 1), (None, "same line", 1, 0)]
     assert run([(1, "a\nb\na"), (1, "a\nb\na")]) == [(1, "a\nb", 3, 1)] * 2
+
+
+def test_similarity_is_of_five_character_shingles(spark):
+    rng = random.Random(3)
+    rows, gone = [], set()
+    for d in range(0, 80, 2):
+        line = "".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(49, 79)))
+        other = line[:24] + "z" + line[25:]
+        a, b = ({x[i : i + 5] for i in range(len(x) - 4)} for x in (line, other))
+        rows += [(d, line), (d + 1, other)]
+        gone |= {d + 1} if 100 * len(a & b) >= 80 * len(a | b) else set()
+    assert len(gone) > 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in L.dedup_lines(df, Scratch(spark, "t6")).collect() if r.n_removed} == gone
