@@ -20,6 +20,7 @@ from .common import Scratch, table
 from .components import components
 
 CELL = 2048  # vectors that a cell is meant to hold, and the most in a block
+APART = 1e-3  # the least distance between pivots; what is divided by less is rounding noise
 MOST_PIVOTS = 4096  # bounds what is sent to all tasks; larger cells beyond that fall into more blocks
 
 
@@ -47,6 +48,15 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.T)))
 
 
+def apart(pivots: np.ndarray) -> np.ndarray:
+    """The pivots without those that have an earlier one within APART, such as scaled copies."""
+    between, kept = distances(pivots, pivots), []
+    for i in range(len(pivots)):
+        if not kept or between[i, kept].min() > APART:
+            kept.append(i)
+    return pivots[kept]
+
+
 def tile_pairs(a: np.ndarray, b: np.ndarray, cosine: float, same: bool):
     """Row numbers of all pairs of a and b (later rows of the same block only, if same) with this cosine or more."""
     fa, fb = a.astype(np.float32), b.astype(np.float32)
@@ -80,8 +90,10 @@ def range_join(vectors: DataFrame, scratch: Scratch, cosine: float = 0.9) -> Dat
 
     # A bounded sample as pivots, the same at each run.
     k = min(MOST_PIVOTS, max(1, math.ceil(n / CELL)))
-    pivots = units([bytes(r.v) for r in classes.orderBy("mark").limit(k).select("v").collect()])
+    pivots = apart(units([bytes(r.v) for r in classes.orderBy("mark").limit(k).select("v").collect()]))
+    k = len(pivots)
     between = distances(pivots, pivots)
+    np.fill_diagonal(between, 1.0)  # nothing is a guest at home
 
     def home_rows(batches):
         import pyarrow as pa
@@ -102,9 +114,8 @@ def range_join(vectors: DataFrame, scratch: Scratch, cosine: float = 0.9) -> Dat
         for batch in batches:
             d = distances(units(batch.column("v").to_pylist()), pivots)
             home, own = batch.column("home").to_numpy(), batch.column("d").to_numpy()
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d * d - (own * own)[:, None]) / (2 * between[home])
-            near = (d <= reach + radius) & (d <= own[:, None] + 2 * radius) & ~(plane > radius)
+            plane = (d * d - (own * own)[:, None]) / (2 * between[home])
+            near = (d <= reach + radius) & (d <= own[:, None] + 2 * radius) & (plane <= radius + 1e-12 / between[home])
             near &= np.arange(k) > home[:, None]
             i, cell = np.nonzero(near)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(i)) for c in ("id", "weight", "v")), pa.array(cell.astype(np.int32))], names=["id", "weight", "v", "cell"])

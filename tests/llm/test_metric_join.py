@@ -40,3 +40,14 @@ def test_empty(spark):
     for rows in ([], [(1, None), (2, [0.0])]):
         df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
         assert sorted(map(tuple, M.range_join(df, Scratch(spark, "t2")).collect())) == [(i, 0, i, True) for i, _ in rows]
+
+
+def test_scaled_copies_among_pivots(spark, monkeypatch):
+    monkeypatch.setattr(M, "CELL", 5)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    rows = [(centre * scale).tolist() for scale in rng.uniform(0.1, 9, 120)]
+    rows += [(centre + rng.normal(size=64) * rng.choice([0.2, 0.3, 0.33])).tolist() for _ in range(80)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, M.range_join(df, Scratch(spark, "t2")).collect()), key=str) == brute(rows)
