@@ -69,6 +69,23 @@ def tile_pairs(a: np.ndarray, b: np.ndarray, cosine: float, same: bool):
         yield i[sure], j[sure]
 
 
+def cell_tiles(homes: DataFrame, guests: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(tile, id, weight, v, side): pairs of a cell's blocks, sides 0 (both) or 1 and 2, and its blocks with its guests' hands.
+
+    sizes: cell, blocks, hands; as many as bound a tile, whatever the number of members and guests.
+    """
+    own_block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    members = homes.select("id", "weight", "v", F.col("home").alias("cell")).join(F.broadcast(sizes), "cell").withColumn("block", own_block)
+    visitors = guests.join(F.broadcast(sizes), "cell").withColumn("hand", F.pmod(F.xxhash64("id", F.lit(2)), F.col("hands")))
+    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    cut = lambda low, high, part: F.concat_ws(":", "cell", low, high, part)
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    tiles = members.withColumn("other", numbers("blocks")).select(cut(low, high, F.lit("h")).alias("tile"), "id", "weight", "v", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
+    hosts = members.where("hands > 0").withColumn("hand", numbers("hands")).select(cut(F.col("block"), F.lit("g"), F.col("hand")).alias("tile"), "id", "weight", "v", F.lit(1).alias("side"))
+    others = visitors.withColumn("block", numbers("blocks")).select(cut(F.col("block"), F.lit("g"), F.col("hand")).alias("tile"), "id", "weight", "v", F.lit(2).alias("side"))
+    return tiles.union(hosts).union(others)
+
+
 def range_join(vectors: DataFrame, scratch: Scratch, cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding; other columns are ignored).
 
@@ -108,30 +125,34 @@ def range_join(vectors: DataFrame, scratch: Scratch, cosine: float = 0.9) -> Dat
     for r in homes.groupBy("home").agg(F.max("d").alias("d")).collect():  # a row for each pivot
         reach[r.home] = r.d
 
+    def guest_cells(batch):
+        d = distances(units(batch.column("v").to_pylist()), pivots)
+        home, own = batch.column("home").to_numpy(), batch.column("d").to_numpy()
+        plane = (d * d - (own * own)[:, None]) / (2 * between[home])
+        near = (d <= reach + radius) & (d <= own[:, None] + 2 * radius) & (plane <= radius + 1e-12 / between[home])
+        return near & (np.arange(k) > home[:, None])
+
+    def guest_counts(batches):
+        import pyarrow as pa
+
+        total = np.zeros(k, np.int64)
+        for batch in batches:
+            total += guest_cells(batch).sum(axis=0)
+        cell = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+
     def guest_rows(batches):
         import pyarrow as pa
 
         for batch in batches:
-            d = distances(units(batch.column("v").to_pylist()), pivots)
-            home, own = batch.column("home").to_numpy(), batch.column("d").to_numpy()
-            plane = (d * d - (own * own)[:, None]) / (2 * between[home])
-            near = (d <= reach + radius) & (d <= own[:, None] + 2 * radius) & (plane <= radius + 1e-12 / between[home])
-            near &= np.arange(k) > home[:, None]
-            i, cell = np.nonzero(near)
+            i, cell = np.nonzero(guest_cells(batch))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(i)) for c in ("id", "weight", "v")), pa.array(cell.astype(np.int32))], names=["id", "weight", "v", "cell"])
 
     guests = homes.mapInArrow(guest_rows, "id long, weight long, v binary, cell int")
+    hands = homes.mapInArrow(guest_counts, "cell int, n long").groupBy("cell").agg(F.ceil(F.sum("n") / CELL).alias("hands"))
     sizes = homes.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / CELL).alias("blocks"))
-    own_block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    members = homes.select("id", "weight", "v", F.col("home").alias("cell")).join(F.broadcast(sizes), "cell").withColumn("block", own_block)
-    visitors = guests.join(F.broadcast(sizes), "cell").withColumn("hand", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(8)))
-    numbers = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    cut = lambda low, high, part: F.concat_ws(":", "cell", low, high, part)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    tiles = members.withColumn("other", F.explode(numbers)).select(cut(low, high, F.lit("h")).alias("tile"), "id", "weight", "v", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
-    hands = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    hosts = members.withColumn("hand", hands).select(cut(F.col("block"), F.lit("g"), F.col("hand")).alias("tile"), "id", "weight", "v", F.lit(1).alias("side"))
-    others = visitors.withColumn("block", F.explode(numbers)).select(cut(F.col("block"), F.lit("g"), F.col("hand")).alias("tile"), "id", "weight", "v", F.lit(2).alias("side"))
+    sizes = scratch.save(sizes.join(hands, "cell", "left").select("cell", "blocks", F.coalesce("hands", F.lit(0).cast("long")).alias("hands")), "sizes")
+    tiles = cell_tiles(homes, guests, sizes)
 
     def join(frame):
         import pandas as pd
@@ -167,7 +188,7 @@ def range_join(vectors: DataFrame, scratch: Scratch, cosine: float = 0.9) -> Dat
         counted["b"] = counted["a"]
         return pd.concat([counted, pd.DataFrame(ties, columns=["a", "b"]).assign(n=0)]).astype("int64")
 
-    found = tiles.union(hosts).union(others).groupBy("tile").applyInPandas(join, "a long, b long, n long")
+    found = tiles.groupBy("tile").applyInPandas(join, "a long, b long, n long")
     found = scratch.save(found, "found")
     degree = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     component = components(found.where("a <> b").select("a", "b"), scratch).toDF("id", "component")

@@ -51,3 +51,22 @@ def test_scaled_copies_among_pivots(spark, monkeypatch):
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     assert sorted(map(tuple, M.range_join(df, Scratch(spark, "t2")).collect()), key=str) == brute(rows)
+
+
+def test_guests_of_a_cell_are_bounded_too(spark, monkeypatch):
+    sizes, tiles_of = [], M.cell_tiles
+
+    def watched(*args):
+        tiles = tiles_of(*args)
+        sizes.extend(r["count"] for r in tiles.groupBy("tile", "side").count().collect())
+        return tiles
+
+    monkeypatch.setattr(M, "CELL", 20)
+    monkeypatch.setattr(M, "MOST_PIVOTS", 2)
+    monkeypatch.setattr(M, "cell_tiles", watched)
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + 0.33 * rng.normal(size=16)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, M.range_join(df, Scratch(spark, "t2")).collect()), key=str) == brute(rows)
+    assert max(sizes) <= 2 * 20  # blocks are cut by hash; eight hands would hold some 50 guests each
