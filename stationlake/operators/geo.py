@@ -48,24 +48,32 @@ def nearby(df: DataFrame, lng: float, lat: float, radius: float = 50, limit: int
     return df.where(located() & box).withColumn("distance_km", far).where(F.col("distance_km") <= radius).orderBy("distance_km", "id").limit(limit)
 
 
-def _celled(df: DataFrame, prefix: str, size: float, wide: float, around: bool) -> DataFrame:
-    x, y = cell("longitude", size * wide), cell("latitude", size)
-    steps = F.array(*map(F.lit, (-1, 0, 1)))
-    df = df.where(located()).select(*[F.col(c).alias(prefix + c) for c in df.columns], x.alias("cx"), y.alias("cy"))
-    if not around:
-        return df
-    df = df.withColumn("_x", F.explode(steps)).withColumn("_y", F.explode(steps))
-    return df.withColumns({"cx": F.col("cx") + F.col("_x"), "cy": F.col("cy") + F.col("_y")}).drop("_x", "_y")
+def _around(band: Column, km: float, size: float) -> Column:
+    """How many cells of at least km go around the globe in a latitude band, measured from the bands next to it too."""
+    half = math.sin(min(math.pi / 2, km / 6371.0 / 2 * 1.001))
+    most = F.greatest(F.abs((band - 1) * size), F.abs((band + 2) * size))
+    ratio = half / F.cos(F.radians(most))
+    cells = F.floor(360 / (F.degrees(2 * F.asin(ratio)) * 1.001))
+    return F.when((most < 90) & (ratio < 1), F.greatest(F.lit(1).cast("long"), cells)).otherwise(1)
 
 
-def distance_pairs(left: DataFrame, right: DataFrame, km: float, most_lat: float = 60.0) -> DataFrame:
+def _celled(df: DataFrame, prefix: str, km: float, around: bool) -> DataFrame:
+    size = km / KM_PER_DEGREE * 1.001
+    df = df.where(located()).select(*[F.col(c).alias(prefix + c) for c in df.columns], cell("latitude", size).alias("cy"))
+    if around:
+        df = df.withColumn("_y", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("cy", F.col("cy") + F.col("_y")).drop("_y")
+    n = _around(F.col("cy"), km, size)
+    x = F.floor(F.pmod(F.col(f"{prefix}longitude").cast("double"), F.lit(360.0)) / 360 * n)
+    near = F.array_distinct(F.array(*[F.pmod(x + step, n) for step in ((-1, 0, 1) if around else (0,))]))
+    return df.withColumn("cx", F.explode(near))
+
+
+def distance_pairs(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """All pairs within km, columns prefixed a_ and b_, by cells of at least km and the eight around each.
 
-    most_lat: no point lies further from the equator; cells are widened to hold km there.
+    Cells are as wide as their latitude asks for, and those at 180 degrees of longitude are neighbours.
     """
-    size = km / KM_PER_DEGREE * 1.001
-    wide = 1 / math.cos(math.radians(most_lat))
-    pairs = _celled(left, "a_", size, wide, True).join(_celled(right, "b_", size, wide, False), ["cx", "cy"]).drop("cx", "cy")
+    pairs = _celled(left, "a_", km, True).join(_celled(right, "b_", km, False), ["cx", "cy"]).drop("cx", "cy")
     return pairs.withColumn("distance_km", haversine_km("a_longitude", "a_latitude", "b_longitude", "b_latitude")).where(F.col("distance_km") <= km)
 
 
