@@ -22,10 +22,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their word 4-grams, the one with the smallest doc_id stays."""
+    """Of documents linked by their word 4-grams, the one with the smallest doc_id stays; of rows that share it, each different text."""
     groups = ngram_join.ngram_components(docs, Scratch(spark, "near"))
     firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_doc")).distinct()
-    kept = docs.join(firsts, docs["doc_id"] == firsts["_doc"], "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(firsts, docs["doc_id"] == firsts["_doc"], "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 
