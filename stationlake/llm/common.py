@@ -61,6 +61,12 @@ class Scratch:
             fs.delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many _ in front as it takes to clash with no column of df, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return ["_" * next(k for k in range(1, len(taken) + 2) if "_" * k + n not in taken) + n for n in names]
+
+
 def words_of(text: str | bytes | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ as UTF-8 (bytes.split() knows exactly these six blanks)."""
     if text is None:
