@@ -1,35 +1,46 @@
 """Fuzzy line dedup: MinHash bands, exact Jaccard checks, union-find; the first line of every component stays.
 
 Lines are compared by their normal form: ASCII letters in lower case, white space as one blank, trimmed. Blank lines
-are never compared and never removed. Equal lines are one class; classes that agree on one of BANDS bands of ROWS
-MinHash values of their character shingles are candidates; among the classes of each band key, tiles of bounded size
-find all pairs whose shingle sets have a Jaccard similarity of 0.8 or more, exactly.
+are never compared and never removed. Equal lines are one class. A class's MinHash signature takes one pass over its
+character shingles: each shingle falls into one of BANDS * ROWS bins, a bin keeps its smallest hash, and an empty bin
+borrows from another one that a fixed list names. Classes that agree on all ROWS values of one of BANDS bands are
+candidates; the share of equal low bits in two signatures sorts out chance agreements, and what is left is compared
+exactly: a Jaccard similarity of 0.8 or more of the shingle sets links two lines.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, Scratch, as_bytes, mix, rolling, signed, slices, table
+from .candidates import candidate_links, shared_members
+from .common import M1, Scratch, as_bytes, free_names, mix, rolling, signed, slices, table
 from .components import components
-from .ngram_join import bands_of, cluster_links
 
 SHINGLE = 5  # characters
-BANDS, ROWS = 16, 5  # a pair at 0.8 shares a band with probability 0.998, at 0.9 with 0.999999
+BANDS, ROWS = 18, 6  # a pair at 0.8 shares a band with probability 0.996, at 0.85 with 0.9998
+BINS = BANDS * ROWS
 FACTOR = np.uint64(0x5851F42D4C957F2D)
-RNG = np.random.default_rng(20240229)
-ODD = (RNG.integers(1, 2**31, BANDS * ROWS) * 2 + 1).astype(np.uint32)
-SALT = RNG.integers(1, 2**32, BANDS * ROWS).astype(np.uint32)
+EMPTY = np.uint32(0xFFFFFFFF)
+BORROW = np.random.default_rng(20240229).integers(0, BINS, (64, BINS))  # where empty bins look, one row after the other
+AGREE = 80  # low bits of a signature's BINS; a pair at 0.8 has 97 on average, and below 80 with probability 1e-7
+FEW = 48  # shingles, below which low bits say too little
 
 
 def normal(line: bytes) -> bytes:
     return b" ".join(line.split()).lower()
 
 
+def digests(line: bytes) -> tuple[int, int]:
+    """Two 64-bit halves of a line's hash."""
+    digest = hashlib.blake2b(line, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def points(line: bytes) -> np.ndarray:
     return np.frombuffer(line.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
 
@@ -40,31 +51,40 @@ def line_set(line: bytes) -> np.ndarray:
     return np.unique(rolling(codes, min(SHINGLE, len(codes)), FACTOR))
 
 
-def band_keys(lines: list[bytes]) -> np.ndarray:
-    """The MinHash band keys of lines, one row of BANDS for each."""
+def signatures(lines: list[bytes]) -> np.ndarray:
+    """The MinHash signatures of lines, one row of BINS values for each."""
     codes = [points(line) for line in lines]
-    sizes = np.array([len(c) for c in codes])
+    sizes = np.array(list(map(len, codes)))
     flat = np.concatenate([*codes, np.zeros(SHINGLE, np.uint32)]).astype(np.uint64)
-    hashes = (rolling(flat, SHINGLE, FACTOR) >> np.uint64(32)).astype(np.uint32)
+    hashes = rolling(flat, SHINGLE, FACTOR)
     start = np.cumsum(sizes) - sizes
-    short = np.nonzero(sizes < SHINGLE)[0]
-    for i in short:  # one shingle, the whole line
-        hashes[start[i]] = int(line_set(lines[i])[0]) >> 32
-    end = start + np.maximum(sizes - SHINGLE + 1, 1)
-    cuts = np.column_stack([start, end]).ravel()
-    low = np.empty((len(lines), BANDS * ROWS), np.uint32)
-    spare = np.empty_like(hashes)
-    for k in range(BANDS * ROWS):
-        np.bitwise_xor(hashes, SALT[k], out=spare)
-        np.multiply(spare, ODD[k], out=spare)
-        low[:, k] = np.minimum.reduceat(spare, cuts)[::2]
-    keys = np.empty((len(lines), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(lines), b + 1, np.uint64)
-        for k in range(ROWS):
-            key = mix(key * M1 + low[:, b * ROWS + k])
-        keys[:, b] = key
-    return keys
+    for i in np.nonzero(sizes < SHINGLE)[0]:  # one shingle, the whole line
+        hashes[start[i]] = line_set(lines[i])[0]
+    count = np.maximum(sizes - SHINGLE + 1, 1)
+    owner = np.repeat(np.arange(len(lines)), count)
+    h = hashes[np.arange(len(owner)) + np.repeat(start - np.cumsum(count) + count, count)]
+    low = np.full(len(lines) * BINS, EMPTY)
+    np.minimum.at(low, owner * BINS + ((h >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64), h.astype(np.uint32))
+    given = low.copy()
+    bare = np.nonzero(low == EMPTY)[0]
+    for where in BORROW:
+        if not len(bare):
+            break
+        row, place = np.divmod(bare, BINS)
+        found = given[row * BINS + where[place]]
+        low[bare] = found
+        bare = bare[found == EMPTY]
+    low[bare] = given.reshape(-1, BINS).min(axis=1)[bare // BINS]
+    return low.reshape(-1, BINS)
+
+
+def band_keys(lines: list[bytes]) -> np.ndarray:
+    """The band keys of lines, one row of BANDS for each."""
+    low = signatures(lines).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), BANDS))
+    for k in range(ROWS):
+        key = mix(key * M1 + low[:, :, k])
+    return key
 
 
 def line_rows(batches):
@@ -87,49 +107,62 @@ def line_rows(batches):
             for i, shown in enumerate(texts):
                 first.setdefault(shown, i)
             keys = dict(zip(first.values(), signed(band_keys(list(first)))))
-            marks = {shown: hashlib.blake2b(shown, digest_size=16).digest() for shown in first}
-            both = np.frombuffer(b"".join(map(marks.__getitem__, texts)), np.int64).reshape(-1, 2)
+            marks = {shown: digests(shown) for shown in first}
+            both = np.array(list(map(marks.__getitem__, texts)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array([keys.get(i) for i in range(len(texts))], pa.list_(pa.int64()))],
                 names=["doc_id", "place", "mark", "check", "keys"],
             )
 
 
-def wanted_lines(batches, threshold: float):
-    """The normal forms of the wanted lines of each text, with the size bands that they are joined in."""
+def wanted_lines(batches):
+    """The normal forms of the wanted lines of each text, with their numbers of shingles and the low bits of their signatures."""
     import pyarrow as pa
 
     for whole in batches:
-        for batch in slices(whole):
-            out = {"class": [], "cluster": [], "bands": [], "payload": []}
+        for batch in slices(whole, target=1_000_000):
+            names, texts = [], []
             for text, wanted in zip(as_bytes(batch.column("text")), batch.column("wanted").to_pylist()):
                 lines = (text or b"").split(b"\n")
                 for w in wanted:
                     shown = normal(lines[w["place"]]) if w["place"] < len(lines) else b""
-                    if not shown:  # of another text under the same doc_id
-                        continue
-                    bands = bands_of(len(line_set(shown)), threshold)
-                    for cluster in w["clusters"]:
-                        out["class"].append(w["class"])
-                        out["cluster"].append(cluster)
-                        out["bands"].append(bands)
-                        out["payload"].append(shown)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("class", pa.int64()), ("cluster", pa.int64()), ("bands", pa.list_(pa.int32())), ("payload", pa.binary())]))
+                    if shown and digests(shown)[0] == w["class"]:  # else of another text under the same doc_id
+                        names.append(w["class"])
+                        texts.append(shown)
+            if texts:
+                low = np.packbits(signatures(texts) & np.uint32(1) == 1, axis=1)
+                bits = np.zeros((len(texts), 16), np.uint8)
+                bits[:, : low.shape[1]] = low
+                sizes = [len(line_set(x)) for x in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(texts, pa.binary())],
+                    names=["class", "n", "bits", "payload"],
+                )
 
 
-def key_clusters(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate clusters (class, cluster): the classes under one key (class, key); keys of the same classes are one.
+def low_bits_agree(percent: int):
+    def passes(n1, x1, n2, x2):
+        agree = BINS - np.bitwise_count(x1 ^ x2).sum(axis=1, dtype=np.int64)
+        low, high = np.minimum(n1, n2), np.maximum(n1, n2)
+        return (100 * low >= percent * high) & ((agree >= AGREE) | (low < FEW)), agree
 
-    A class may be in several clusters: keys aren't tied together, as chance agreements would tie most lines.
-    """
-    shared = keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    shared = scratch.save(shared.select("key"), "shared")
-    members = scratch.save(keyed.join(shared, "key", "left_semi").distinct(), "members")
-    mark = [F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("mark")]
-    chosen = members.groupBy("key").agg(*mark).groupBy("low", "high", "n", "mark").agg(F.min("key").alias("key")).select("key")
-    found = scratch.save(members.join(chosen, "key", "left_semi").select("class", F.col("key").alias("cluster")), "cluster")
-    scratch.drop("shared", "members")
-    return found
+    return passes
+
+
+def similar_lines(percent: int):
+    """A check of the Jaccard similarity of two lines, which remembers the sets of a few of them."""
+
+    def make():
+        set_of = functools.lru_cache(maxsize=256)(line_set)
+
+        def exact(a: bytes, b: bytes) -> bool:
+            x, y = set_of(a), set_of(b)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return 100 * both >= percent * (len(x) + len(y) - both)
+
+        return exact
+
+    return make
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
@@ -143,41 +176,47 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataF
     rows = scratch.save(rows, "lines")
     place = F.struct("doc_id", "place")
     keyed = rows.where("keys is not null").select(F.col("mark").alias("class"), F.explode("keys").alias("key"))
-    cluster = key_clusters(keyed, scratch).groupBy("class").agg(F.collect_list("cluster").alias("clusters"))
-
-    # The clustered lines' texts, each from its first place.
-    firsts = rows.select("doc_id", "place", "mark").groupBy("mark").agg(F.min(place).alias("at"))
-    wanted = firsts.join(cluster.withColumnRenamed("class", "mark"), "mark")
-    wanted = wanted.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("mark").alias("class"), "clusters")).alias("wanted"))
-    sets = chosen.join(wanted, "doc_id").mapInArrow(lambda it: wanted_lines(it, percent / 100), "class long, cluster long, bands array<int>, payload binary")
-    links = cluster_links(scratch.save(sets, "sets"), scratch, percent, line_set)
-    scratch.drop("cluster")
-
-    # What isn't the first line of its component goes.
-    found = scratch.save(components(links, scratch, "links"), "found").toDF("mark", "component")
-    named = rows.select("doc_id", "place", "mark", "check").join(found, "mark", "left")
-    # Lines without near copies are known by both halves of their hash.
+    members = shared_members(keyed, scratch)
+
+    # The candidates' texts, each from its first place.
+    named = rows.select("doc_id", "place", "mark", "check")
+    near = members.select(F.col("class").alias("mark")).distinct()
+    firsts = scratch.save(named.join(near, "mark", "left_semi").groupBy("mark", "check").agg(F.min(place).alias("at")), "firsts")
+    wanted = firsts.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("mark").alias("class"))).alias("wanted"))
+    sets = chosen.join(wanted, "doc_id").mapInArrow(wanted_lines, "class long, n long, bits binary, payload binary")
+    sets = scratch.save(sets.dropDuplicates(["class"]), "sets")
+    links = candidate_links(members, sets, scratch, low_bits_agree(percent), similar_lines(percent))
+    scratch.drop("sets", "members")
+
+    # What isn't the first line of its component goes. Lines are known by both halves of their hash.
+    found = components(links, scratch, "last").toDF("mark", "component").join(firsts.select("mark", "check"), "mark")
+    named = named.join(found, ["mark", "check"], "left")
     named = named.select("doc_id", "place", F.coalesce("component", "mark").alias("group"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check"))
     named = scratch.save(named, "named")
     scratch.drop("lines")
     groups = named.groupBy("group", "check").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").select("group", "check", "at")
     lost = named.join(groups, ["group", "check"]).where(place > F.col("at"))
-    return scratch.save(lost.groupBy("doc_id").agg(F.collect_set("place").alias("removed")), "removed")
+    removed = scratch.save(lost.groupBy("doc_id").agg(F.collect_set("place").alias("removed")), "removed")
+    scratch.drop("named", "firsts")
+    return removed
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
-    """All rows and columns of docs, text without the removed lines, and n_lines, n_removed of each text.
+def dedup_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, counts: bool = True) -> DataFrame:
+    """All rows and columns of docs, text without the removed lines; with counts also n_lines, n_removed of each text.
 
     A null text stays null with no lines; an empty table gives an empty result; a text that loses all lines is empty.
+    Columns of docs that are called n_lines or n_removed give way to the counts.
     """
-    removed = removed_lines(docs, scratch, percent).withColumnsRenamed({"doc_id": "_doc", "removed": "_removed"})
-    joined = docs.join(removed, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    doc, gone = free_names(docs, "doc", "gone")
+    removed = removed_lines(docs, scratch, percent).withColumnsRenamed({"doc_id": doc, "removed": gone})
+    joined = docs.join(removed, F.col("doc_id").cast("long") == F.col(doc), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    gone = F.coalesce(F.col("_removed"), F.expr("cast(array() as array<int>)"))
-    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
-    columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    counts = [F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.size(gone)).alias("n_removed")]
-    return joined.select(*columns, *counts)
+    lost = F.coalesce(F.col(gone), F.expr("cast(array() as array<int>)"))
+    kept = F.when(F.size(lost) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(lost, i)), "\n"))
+    names = ("n_lines", "n_removed") if counts else ()
+    columns = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in names]
+    numbers = [F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lost)).alias("n_removed")]
+    return joined.select(*columns, *(numbers if counts else ()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
