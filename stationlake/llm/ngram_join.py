@@ -1,14 +1,11 @@
 """N-gram Jaccard join: size-banded tiles, bitmap signatures, exact verification.
 
 1. Equal texts are one class from the start, and so are equal shingle sets: copies never meet each other again.
-2. Every class is entered under keys of its size band: the shingles of the band's (hash-sampled, where sets are large)
-   universe fall into parts, and the hash of a part is a key. Two sets above the threshold differ in so few shingles
-   that some part is the same in both: by pigeonhole below SAMPLED_FROM shingles, and above that except with a
-   probability below 1e-9 (parts are chosen by hash, independently of the texts).
-3. Classes that share keys form candidate clusters; links never leave a cluster. A cluster's members of one band (and
-   the smallest of the next) fall into blocks, and each pair of blocks is a tile of bounded size that is joined on its
-   own: counts of common bits in hashed bitmaps bound the overlap from above, what is left is counted in the sorted
-   arrays. Within a tile only pairs that its links don't connect yet are looked at, and only links that connect go out.
+2. Every class is entered under keys of its size band (and the one below, if smaller sets there can be similar enough):
+   the universe falls into more parts than two sets above the threshold can differ in, so they agree in one of the
+   parts that hold any of their shingles, whose hash is a key. This is exact at every size.
+3. The classes of a key are a tile, large ones are cut into blocks. Counts of common bits in hashed bitmaps bound the
+   overlap of a pair from above; what is left is counted in the sorted arrays (see candidates.py).
 4. The links' components, widened to the copies, are the result.
 """
 
@@ -20,14 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .candidates import candidate_links, shared_members
 from .common import M1, M2, Scratch, WordHashes, as_bytes, mix, rolling, signed, slices, table
 from .components import components
 
-SAMPLED_FROM = 192  # shingles; larger sets are compared by keys over a hash-chosen part of the shingles
-BLOCK = 2048  # classes in a block of a tile at most; fewer where sets are large,
-ELEMENTS = 2_000_000  # so that a block holds about this many shingles
-BITS = 2048  # of a bitmap
-
 
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; of the whole sequence, where there are fewer words."""
@@ -58,24 +51,23 @@ def bands_of(n: int, threshold: float) -> list[int]:
 
 
 def part_keys(s: np.ndarray, band: int, threshold: float) -> np.ndarray:
-    """Keys of a set in a band: one for each part that holds a shingle, and exact prefix keys for sets with empty parts."""
-    high = band_low(band + 1)  # the smaller set of a pair has fewer shingles than this
-    low = band_low(band)
+    """Keys of a set in a band: one for each part of the universe that holds a shingle of it.
+
+    Two sets above the threshold differ in at most `differ` shingles, and so in as many parts. Where either fills more
+    parts than that, one of these is the same in both; sets that fill fewer have exact prefix keys, too.
+    """
+    differ = int((1 - threshold) / threshold * (band_low(band + 1) - 1) + 1e-9)
+    m = differ + 1 + differ // 4
     salt = np.uint64(band * 0x9E3779B1 + 1)
-    chosen = s
-    if low >= SAMPLED_FROM:
-        chosen = s[(mix(s * M2) >> np.uint64(32)) < np.uint64(int(2**32 * SAMPLED_FROM / 2 / low))]
-        m = 32
-    else:
-        m = int((1 - threshold) / threshold * (high - 1)) + 1
-    place = (mix(s * M1) if chosen is s else mix(chosen * M1)) % np.uint64(m)
-    sums = np.zeros(m, np.uint64)
-    np.add.at(sums, place.astype(np.int64), mix(chosen))
-    full = np.nonzero(np.bincount(place.astype(np.int64), minlength=m))[0]
-    keys = mix(sums[full] ^ mix((full.astype(np.uint64) + np.uint64(1)) * M1 + salt))
-    if len(full) < m and chosen is s:
-        order = np.sort(mix(s * M1))  # one order for all sets: similar sets share one of their first ones
-        prefix = order[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
+    h = mix(s * M1)
+    place = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    place, value = place[order], mix(s[order])
+    start = np.nonzero(np.append(True, place[1:] != place[:-1]))[0]
+    keys = mix(np.add.reduceat(value, start) ^ mix((place[start].astype(np.uint64) + np.uint64(1)) * M1 + salt))
+    if len(start) <= differ:
+        # One order for all sets: similar ones share one of their first shingles.
+        prefix = np.sort(h)[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
         keys = np.concatenate([keys, mix(prefix ^ mix(salt + M2))])
     return keys
 
@@ -101,135 +93,48 @@ def marked_rows(batches, n: int, threshold: float):
             )
 
 
-def set_rows(batches, n: int, threshold: float):
-    """Per text: its sorted set as bytes, and the bands that it is joined in."""
+def bitmap(s: np.ndarray) -> bytes:
+    """Hashed bits of a set, two or more for each shingle; the number of bytes is a power of two, 16 at least."""
+    width = max(128, 1 << (2 * band_low(band_of(len(s))) - 1).bit_length())
+    at = (mix(s ^ M1) % np.uint64(width)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=width).astype(bool), bitorder="little").tobytes()
+
+
+def set_rows(batches, n: int):
+    """Per text: the size of its set, its bitmap and its sorted elements as bytes."""
     import pyarrow as pa
 
     hashes = WordHashes(key=lower_ascii)
     for whole in batches:
         for batch in slices(whole):
             sets = [shingle_set(hashes((text or b"").split())[0], n) for text in as_bytes(batch.column("text"))]
-            bands = [bands_of(len(s), threshold) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("class"), batch.column("cluster"), pa.array(bands, pa.list_(pa.int32())), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["class", "cluster", "bands", "payload"],
+                [batch.column("class"), pa.array(map(len, sets), pa.int64()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["class", "n", "bits", "payload"],
             )
 
 
-class TileJoin:
-    """Joins the classes of one tile; yields links that connect what isn't connected yet."""
-
-    def __init__(self, percent: int):
-        self.percent = percent  # links have 100 * intersection >= percent * union
-
-    def __call__(self, sets: list[np.ndarray], side: np.ndarray, label: np.ndarray):
-        """side: 0 for both, else the two blocks of the tile; label: what is connected already."""
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        sizes = np.array([len(sets[i]) for i in order])
-        bits = np.zeros((len(sets), BITS // 8), np.uint8)
-        for r, i in enumerate(order):
-            at = (mix(sets[i] ^ M1) % np.uint64(BITS)).astype(np.int64)
-            bits[r] = np.packbits(np.bincount(at, minlength=BITS).astype(bool))
-        bits = bits.view(np.uint64)
-        count = np.bitwise_count(bits).sum(axis=1)
-        side, label = side[order], label[order]
-        roots = {}
-
-        def root(x):
-            while (y := roots.get(x, x)) != x:
-                roots[x] = roots.get(y, y)
-                x = y
-            return x
-
-        group = np.array([root(x) for x in label])
-        need = 100 + self.percent
-        for r in range(1, len(order)):
-            # The smaller sets of at least percent % of the size, in another group and not in the same block.
-            first = int(np.searchsorted(sizes[:r], -(-self.percent * sizes[r] // 100)))
-            near = np.arange(first, r)
-            near = near[(group[near] != group[r]) & ((side[near] != side[r]) | (side[r] == 0))]
-            if not len(near):
-                continue
-            common = np.bitwise_count(bits[near] & bits[r]).sum(axis=1).astype(np.int64)
-            # Every shingle of one set that misses the other's bitmap misses the other set; equal bits hide at most the collisions.
-            bound = np.minimum(sizes[near] - (count[near].astype(np.int64) - common), sizes[r] - (int(count[r]) - common))
-            near = near[need * bound >= self.percent * (sizes[near] + sizes[r])]
-            for c in near:
-                if group[c] == group[r]:
-                    continue
-                both = len(np.intersect1d(sets[order[c]], sets[order[r]], assume_unique=True))
-                if need * both >= self.percent * (sizes[c] + sizes[r]):
-                    old, new = sorted((int(group[c]), int(group[r])))[::-1]
-                    roots[old] = new
-                    group[group == old] = new
-                    yield order[c], order[r]
-
-
-def as_set(payload: bytes) -> np.ndarray:
-    return np.frombuffer(payload, np.uint64)
-
-
-def tile_links(tiles: DataFrame, percent: int, set_of=as_set) -> DataFrame:
-    """Joins the tiles (tile, class, side, label, payload); several small tiles share a task's group."""
-    bundles = max(1, tiles.count() // 1024)
-
-    def run(frame):
-        import pandas as pd
-
-        join, out = TileJoin(percent), []
-        for at in frame.groupby("tile").indices.values():
-            if len(at) < 2:
-                continue
-            part = frame.iloc[at]
-            sets = [set_of(x) for x in part["payload"]]
-            names = part["class"].to_numpy()
-            out += [(names[i], names[j]) for i, j in join(sets, part["side"].to_numpy(), part["label"].to_numpy())]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    bundle = F.pmod(F.xxhash64("tile"), F.lit(bundles)).alias("bundle")
-    return tiles.groupBy(bundle).applyInPandas(run, "a long, b long")
-
-
-def cluster_links(sets: DataFrame, scratch: Scratch, percent: int, set_of=as_set) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs above the threshold within clusters.
-
-    sets: class, cluster, bands array<int>, payload binary, of which set_of makes the sorted set.
-    """
-    banded = sets.select("class", "cluster", F.explode("bands").alias("band"), "payload")
-    blocks = banded.groupBy("cluster", "band").agg(F.count("*").alias("size")).where("size > 1")
-    each = F.greatest(F.lit(min(BLOCK, 32)), F.least(F.lit(BLOCK), F.floor(ELEMENTS / F.pow(F.lit(2.0), F.col("band") / 2))))
-    blocks = blocks.withColumn("each", each).withColumn("blocks", F.ceil(F.col("size") / F.col("each"))).select("cluster", "band", "each", "blocks")
-    placed = banded.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    placed = scratch.save(placed, "placed")
-    scratch.drop("sets")
-    # First every block with block 0.
-    with_first = F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.col("block")))
-    tiles = placed.withColumn("other", F.explode(with_first))
-    tiles = tiles.select(F.concat_ws(":", "cluster", "band", "other").alias("tile"), "class", F.lit(0).alias("side"), F.col("class").alias("label"), "payload")
-    links = scratch.save(tile_links(tiles, percent, set_of), "links-a")
-
-    # Then, in clusters of several blocks, all that isn't in the band's largest component yet with everything else.
-    label = scratch.save(components(links, scratch, "first"), "label").toDF("class", "label")
-    large = placed.where("blocks > 1").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    counts = large.groupBy("cluster", "band", "label").agg(F.count("*").alias("size"), F.max("each").alias("each"))
-    main = counts.groupBy("cluster", "band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"), F.max("each").alias("each"))
-    main = main.where("all > most").select("cluster", "band", "main", F.ceil((F.col("all") - F.col("most")) / F.col("each")).alias("small_blocks"))
-    large = scratch.save(large.join(main, ["cluster", "band"]).withColumn("small_block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("small_blocks"))), "large")
-    scratch.drop("placed")
-    few = large.where("label <> main").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    few = few.select(F.concat_ws(":", "cluster", "band", "small_block", F.col("other").alias("block")).alias("tile"), "class", F.lit(1).alias("side"), "label", "payload")
-    many = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("small_blocks") - 1)))
-    many = many.select(F.concat_ws(":", "cluster", "band", F.col("other").alias("small_block"), "block").alias("tile"), "class", F.lit(2).alias("side"), "label", "payload")
-    links = scratch.save(links.union(tile_links(few.union(many), percent, set_of)), "links")
-    scratch.drop("large", "links-a")
-    return links
-
-
-def clusters(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate clusters (class, cluster): classes under one key (class, key) are tied to the smallest of them."""
-    shared = keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    ties = keyed.join(shared.select("key", "low"), "key").where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
-    return scratch.save(components(ties, scratch, "ties"), "cluster").toDF("class", "cluster")
+def bitmap_bound(percent: int):
+    """Which pairs may reach the threshold: a shingle whose bit the other bitmap lacks is in one set only."""
+
+    def passes(n1, x1, n2, x2):
+        common = np.bitwise_count(x1 & x2).sum(axis=1, dtype=np.int64)
+        bound = np.minimum(n1 - (np.bitwise_count(x1).sum(axis=1, dtype=np.int64) - common), n2 - (np.bitwise_count(x2).sum(axis=1, dtype=np.int64) - common))
+        bound = np.minimum(bound, np.minimum(n1, n2))
+        return (100 + percent) * bound >= percent * (n1 + n2), bound / np.maximum(n1, n2)
+
+    return passes
+
+
+def similar(percent: int):
+    """100 * intersection >= percent * union, in the sorted arrays of two sets."""
+
+    def exact(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return lambda: exact
 
 
 def ngram_components(docs: DataFrame, scratch: Scratch, n: int = 4, percent: int = 85) -> DataFrame:
@@ -250,14 +155,15 @@ def ngram_components(docs: DataFrame, scratch: Scratch, n: int = 4, percent: int
 
     own = classes.withColumn("doc_id", F.col("class"))
     keyed = marked.join(own, ["n", "mark_a", "mark_b", "doc_id"]).select("class", F.explode("keys").alias("key"))
-    cluster = clusters(scratch.save(keyed, "keyed"), scratch)
-    scratch.drop("keyed")
-    clustered = docs.join(cluster.withColumn("doc_id", F.col("class")), "doc_id").select("class", "cluster", "text")
-    sets = clustered.mapInArrow(lambda it: set_rows(it, n, threshold), "class long, cluster long, bands array<int>, payload binary")
-    links = cluster_links(scratch.save(sets, "sets"), scratch, percent)
+    members = shared_members(keyed, scratch)
+    texts = docs.join(members.select("class").distinct(), F.col("doc_id") == F.col("class")).select("class", "text")
+    sets = texts.mapInArrow(lambda it: set_rows(it, n), "class long, n long, bits binary, payload binary")
+    sets = scratch.save(sets, "sets")
+    links = candidate_links(members, sets, scratch, bitmap_bound(percent), similar(percent))
+    scratch.drop("sets", "members")
 
     # The classes' components, for every row.
-    found = components(links, scratch, "links").toDF("class", "component")
+    found = components(links, scratch, "last").toDF("class", "component")
     found = classes.join(found, "class", "left").select("n", "mark_a", "mark_b", F.coalesce("component", "class").alias("component"))
     rows = marked.select("doc_id", "n", "mark_a", "mark_b").join(found, ["n", "mark_a", "mark_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

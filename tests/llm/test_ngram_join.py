@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from stationlake.llm import candidates
 from stationlake.llm import ngram_join as N
 from stationlake.llm.common import Scratch
 
@@ -52,7 +53,7 @@ def test_equals_brute_force(spark):
 
 def test_large_clusters_by_blocks(spark, monkeypatch):
     """Clusters of several blocks, with chains and several components in one cluster."""
-    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(candidates, "BLOCK", 8)
     rng = random.Random(4)
     base, rows = [f"w{i}" for i in range(60)], []
     for i in range(120):
