@@ -125,7 +125,7 @@ class CachedTokenizer:
     are those of its words between ASCII blanks.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,16 +142,15 @@ class CachedTokenizer:
                 self.cores[w] = array("I", c.ids).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        """Letters and the punctuation behind them are tokens apart, and ASCII letters count in lower case: many words
-        share these parts, and only new parts go to the library."""
+        """In ASCII words letters and the punctuation behind them are tokens apart, and letters count in lower case: many
+        words share these parts, and only new parts go to the library. Other words go whole, as composing characters or
+        lower case may tie their letters to the punctuation."""
         parts = []
         for w in words:
             shown = w.decode("utf-8", "replace")
             head = shown.rstrip(PUNCTUATION)
-            if len(head) < len(shown) and not head.isalpha():
-                head = shown
-            tail = shown[len(head) :]
-            parts.append((w, head.lower() if head.isascii() and head.isalpha() else head, tail))
+            plain = shown.isascii() and head.isalpha()
+            parts.append((w, head.lower() if plain else shown, shown[len(head) :] if plain else ""))
         self._ask(list({p for _, head, tail in parts for p in (head, tail) if p and p not in self.cores}))
         for w, head, tail in parts:
             self.known[w] = self.cores[head] + self.cores[tail] if tail else self.cores[head]

@@ -59,3 +59,16 @@ def test_empty(spark, tmp_path):
 def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert sorted(map(tuple, T.query(spark, sf).collect()), key=lambda r: r[1]) == brute([tuple(r) for r in docs])
+
+
+def test_ids_of_every_character():
+    """All assigned characters before, behind and between punctuation and letters, whole texts against the library."""
+    import unicodedata
+
+    tok, own = Tokenizer.from_file(vocabulary_path()), T.CachedTokenizer(vocabulary_path())
+    shown = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    shown = [c for c in shown if not "\u3400" <= c <= "\u9fff" and not "\uac00" <= c <= "\ud7a3" and c < "\U00017000"]
+    texts = [" ".join(x for c in shown[i : i + 200] for x in (f"{c}.", f".{c}", f"a{c},", f"{c}b!?", f"A{c}b.{c}")) for i in range(0, len(shown), 200)]
+    for text, want in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
+        got = np.frombuffer(own(text.encode()), "<u4").tolist()
+        assert got == want.ids, text[:50]
