@@ -8,7 +8,7 @@ an example, what stays with one or two of them looks live. Opaque tokens that lo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -19,23 +19,21 @@ BASE = [("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex",
 #: Runs below the least length never make a span here, so the patterns can ask for it and matches stay the same.
 QUICK = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
+OWN = len(BASE)  # the kind of opaque tokens
+MATCH = "struct<kind:int, number:int, gap:int, size:int, value:bigint, counts:boolean>"
 MOST_OWNERS = 2
 
 
-def spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Spans of all matches whose group has the least length: start, kind, end (code points), hash of the group."""
+def matches(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
+    """All matches in order: kind, number, code points before the match since the last one, its code points, hash of the
+    group's value, and whether the value counts (its length; in opaque tokens letters of both cases and digits, too)."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
     gaps = F.split(text, pattern, -1)  # what lies before, between and behind the matches
-    steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size")))
-    empty = F.expr("cast(array() as array<struct<start:int, end:int>>)")
-    ends = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), empty.alias("all")),
-        lambda s, x: F.struct((s["at"] + x["gap"] + x["size"]).alias("at"), F.concat(s["all"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end")))).alias("all")),
-        lambda s: s["all"],
-    )
-    both = F.filter(F.zip_with(ends, values, lambda e, v: F.struct(e["start"].alias("start"), F.lit(kind).alias("kind"), e["end"].alias("end"), v.alias("value"))), lambda x: F.length(x["value"]) >= least)
-    return F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.xxhash64(x["value"]).alias("value")))
+    counts = lambda v: (F.length(v) >= least) & (mixed(v) if kind == OWN else F.lit(True))
+    each = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"))), values,
+        lambda s, v: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("number"), s["gap"].alias("gap"), s["size"].alias("size"), F.xxhash64(v).alias("value"), counts(v).alias("counts")))
+    return F.transform(each, lambda x, i: x.withField("number", i))
 
 
 def mixed(text: Column) -> Column:
@@ -59,18 +57,23 @@ def scan_secrets(docs: DataFrame, scratch: Scratch, owner: Column, repository: C
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"))
-    text, none = F.col("text"), F.expr("cast(array() as array<struct<start:int, kind:int, end:int, value:bigint>>)")
+    text, none = F.col("text"), F.expr(f"cast(array() as array<{MATCH}>)")
     has = {"assign": text.rlike("(?i)password|passwd|secret|token|api_?key"), "access": text.contains("AKIA"), "hex": text.rlike(QUICK["hex"])}
-    parts = [F.when(has[k], spans(text, QUICK.get(k, p), g, n, i)).otherwise(none) for i, (k, p, g, n) in enumerate(BASE)]
-    opaque = F.when(text.rlike(OPAQUE), F.filter(spans(text, OPAQUE, 0, 20, 3), lambda x: mixed(F.substring(text, x["start"] + 1, x["end"] - x["start"])))).otherwise(none)
+    parts = [F.when(has[k], matches(text, QUICK.get(k, p), g, n, i)).otherwise(none) for i, (k, p, g, n) in enumerate(BASE)]
+    opaque = F.when(text.rlike(OPAQUE), matches(text, OPAQUE, 0, 20, OWN)).otherwise(none)
     found = docs.select("doc_id", "owner", "repository", F.concat(*parts, opaque).alias("items"))
     found = scratch.save(found.withColumn("row", F.monotonically_increasing_id()), "found")
 
-    each = found.select("row", "owner", "repository", F.explode("items").alias("item"))
+    # Where matches stand: sums over those of their kind before them.
+    each = found.select("row", "owner", "repository", F.inline("items"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("number")).cast("int")
+    each = each.withColumn("end", end).where("counts")
+    each = each.select("row", "owner", "repository", F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end", "value").alias("item"))
+    each = scratch.save(each, "each")
     held = each.select(F.col("item.value").alias("value"), "owner", "repository").distinct()
     held = held.groupBy("value", "owner").agg(F.count("*").alias("repositories")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     held = held.withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= 2 * most_owners)).select("value", "live")
-    judged = each.select("row", F.col("item.value").alias("value"), "item").join(held, "value").where("live or item.kind < 3")
+    judged = each.select("row", F.col("item.value").alias("value"), "item").join(held, "value").where(f"live or item.kind < {OWN}")
     item = F.struct("item.start", "item.kind", "item.end", "live")
     judged = judged.groupBy("row").agg(F.array_sort(F.collect_list(item)).alias("judged"))
     none = F.expr("cast(array() as array<struct<start:int, kind:int, end:int, live:boolean>>)")
