@@ -23,7 +23,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 SILENT = frozenset("script style noscript template svg math textarea object canvas audio video".split())
 CLOSES_P = BLOCKS - {"html", "head", "body", "button", "label", "option"}
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>")  # where quotes don't close
 ATTRIBUTE = re.compile(r"""(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HINTS = {
     "menu": "nav|menu|breadcrumb|pagination|pager|toc", "head": "header|masthead|topbar|logo|branding", "foot": "footer|copyright|legal|colophon",
@@ -51,32 +52,77 @@ def hints_of(tag: str, attributes: str) -> tuple[tuple[str, ...], str]:
     return tuple(found), label
 
 
-def leaf_blocks(page: str) -> list[tuple[str, list[tuple[str, tuple[str, ...], str]], int]]:
-    """(text, open block elements, characters in links) of every leaf block that has text."""
-    out, stack, pieces, linked, in_link = [], [], [], 0, 0
-    at = 0
+class Markup:
+    """The tags of a page, one after the other, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.tag = page, TAG
+
+    def next(self, at: int):
+        """(where it begins, where it ends, match or None) of the next tag, comment or declaration; None if there is none."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+                close = "-->" if page[at + 2] == "-" else "]]>"
+                end = page.find(close, at + 4)
+                return at, len(page) if end < 0 else end + len(close), None
+            if page[at + 1 : at + 2] in ("!", "?") and page[at + 1 : at + 2]:
+                end = page.find(">", at)
+                return (at, end + 1, None) if end >= 0 else None
+            if page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/":
+                m = self.tag.match(page, at)
+                if m is None and self.tag is TAG and page[at + 1 : at + 3].strip("/")[:1].isalpha():
+                    self.tag = PLAIN_TAG
+                    m = self.tag.match(page, at)
+                    if m is None and page.find(">", at) < 0:
+                        return None
+                if m:
+                    return at, m.end(), m
+                if page.find(">", at) < 0:
+                    return None
+            at += 1
+        return None
+
+    def behind(self, tag: str, at: int) -> int:
+        """Where the page goes on behind the end tag."""
+        end = re.compile(f"</{tag}", re.I).search(self.page, at)
+        close = self.page.find(">", end.end()) if end else -1
+        return close + 1 if close >= 0 else len(self.page)
+
+
+#: An open element: its tag, the hints of it and those around it, and whether one of them carries a training label.
+ROOT = ("", frozenset(), False)
+
+
+def leaf_blocks(page: str) -> list[tuple[str, tuple[str, frozenset, bool], int]]:
+    """(text, innermost open block element, characters in links) of every leaf block that has text."""
+    out, stack, opened, pieces, linked, in_link = [], [ROOT], {}, [], 0, 0
+    at, markup = 0, Markup(page)
 
     def close():
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            out.append((text, list(stack), linked))
+            out.append((text, stack[-1], linked))
         pieces.clear()
         linked = 0
 
-    while m := MARKUP.search(page, at):
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
-            linked += (m.start() - at) if in_link else 0
-        at = m.end()
-        tag = m[2]
-        if not tag:
+    def pop():
+        opened[stack[-1][0]] -= 1
+        return stack.pop()[0]
+
+    while found := markup.next(at):
+        begin, end, m = found
+        if begin > at:
+            pieces.append(page[at:begin])
+            linked += (begin - at) if in_link else 0
+        at = end
+        if not m:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if tag in SILENT:  # goes on behind its end tag, whatever stands in it
             if not m[1] and not m[3].endswith("/"):
-                end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = markup.behind(tag, at)
             continue
         if tag == "a":
             in_link = 0 if m[1] else 1
@@ -87,26 +133,29 @@ def leaf_blocks(page: str) -> list[tuple[str, list[tuple[str, tuple[str, ...], s
         close()
         in_link = in_link if tag in ("li", "div") else 0
         if m[1]:
-            if any(t == tag for t, *_ in stack):
-                while stack.pop()[0] != tag:
+            if opened.get(tag):
+                while pop() != tag:
                     pass
             continue
-        if tag in CLOSES_P and any(t == "p" for t, *_ in stack[-1:]):
-            stack.pop()
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
+        if tag in CLOSES_P and stack[-1][0] == "p":
+            pop()
+        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag:
+            pop()
         if tag not in VOID:
-            stack.append((tag, *hints_of(tag, m[3])))
+            hints, label = hints_of(tag, m[3])
+            _, around, marked = stack[-1]
+            stack.append((tag, around if around.issuperset(hints) else around.union(hints), marked or bool(label)))
+            opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
         pieces.append(page[at:])
     close()
     return out
 
 
-def features(text: str, stack, linked: int, place: int, count: int) -> list[str]:
+def features(text: str, element: tuple[str, frozenset, bool], linked: int, place: int, count: int) -> list[str]:
     n, words = len(text), text.count(" ") + 1
-    found = {f for _, hints, _ in stack for f in hints}
-    found.add(f"own:{stack[-1][0] if stack else 'none'}")
+    found = set(element[1])
+    found.add(f"own:{element[0] or 'none'}")
     found.add(f"length:{min(6, n.bit_length() - 3 if n > 8 else 0)}")
     found.add(f"words:{min(5, words.bit_length())}")
     share = linked / max(1, n)
@@ -249,7 +298,7 @@ def trained(count: int = 150, steps: int = 60) -> Field:
     for page in training_pages(count):
         blocks = leaf_blocks(page)
         rows = [features(t, s, k, i, len(blocks)) for i, (t, s, k) in enumerate(blocks)]
-        data.append((rows, np.array([int(any(label for *_, label in s)) for _, s, _ in blocks])))
+        data.append((rows, np.array([int(s[2]) for _, s, _ in blocks])))
     names = sorted({f for rows, _ in data for row in rows for f in row})
     place = {f: i for i, f in enumerate(names)}
     data = [([np.array([place[f] for f in row]) for row in rows], labels) for rows, labels in data]
