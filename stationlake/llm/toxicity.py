@@ -14,8 +14,9 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_bytes, slices, table
+from .common import Scratch, as_bytes, free_names, slices, table
 
 FIT_ROWS = 20_000  # labelled rows that the model is fitted on at most, chosen by a hash of their id
 FEATURES = 300  # kept at most, besides identity terms
@@ -48,7 +49,7 @@ def counted(words: dict[bytes, int], features) -> dict[str, int]:
 class Scorer:
     """Scores texts: 1 / (1 + exp(-z)), z a weighted sum of the features' values. Words are cached, in bounds."""
 
-    def __init__(self, weights: dict[str, tuple[float, float]], bias: float, limit: int = 400_000):
+    def __init__(self, weights: dict[str, tuple[float, float]], bias: float, limit: int = 100_000):
         self.weights, self.bias, self.limit, self.known = weights, bias, limit, {}
 
     def features(self, word: bytes) -> tuple[str, ...]:
@@ -87,6 +88,8 @@ def fit(labelled: DataFrame, fairness: float = 5.0, ridge: float = 3e-4, steps:
     """
     found = labelled.selectExpr("cast(text as string) text", "cast(label as int) label").where("label in (0, 1)")
     found = found.mapInArrow(feature_rows, "label int, n long, features array<struct<f:string, c:int>>")
+    scratch = Scratch(labelled.sparkSession, "fit")
+    found = scratch.save(found, "features")  # read three times below
     total = {r.label: r["count"] for r in found.groupBy("label").count().collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
     if not n1 or not n0:
@@ -99,6 +102,7 @@ def fit(labelled: DataFrame, fairness: float = 5.0, ridge: float = 3e-4, steps:
     names = list(dict.fromkeys([*names, *(f"={t}" for t in IDENTITY)]))
     place, k = {f: i for i, f in enumerate(names)}, len(names)
     kept = found.select("label", "n", F.filter("features", lambda x: x["f"].isin(names)).alias("features")).collect()  # FIT_ROWS at most
+    scratch.drop("features")
     x = np.zeros((len(kept), 2 * k), np.float32)
     y = np.array([r.label for r in kept], np.float32)
     for i, r in enumerate(kept):
@@ -134,9 +138,13 @@ def fit(labelled: DataFrame, fairness: float = 5.0, ridge: float = 3e-4, steps:
     return Scorer({f: (float(weights[i]), float(weights[k + i])) for i, f in enumerate(names)}, float(bias))
 
 
-def score_texts(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs with a column score added (in place of one of that name). Null and empty texts get the score of no words."""
+def score_texts(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
+    """docs with a column `name` added (in place of one of that name). Null and empty texts get the score of no words.
+
+    Rows are scored one by one: repeated rows and ids get equal scores, an empty table stays empty, other columns stay.
+    """
     spark = docs.sparkSession
+    own = free_names(docs.withColumn(name, F.lit(0)), "text")[0]
     model = spark.sparkContext.broadcast((scorer.weights, scorer.bias))  # some 350 entries
 
     def run(batches):
@@ -144,14 +152,14 @@ def score_texts(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
         score = Scorer(*model.value)
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                scores = pa.array([score(t) for t in as_bytes(batch.column("_text"))], pa.float64())
-                keep = [i for i, k in enumerate(batch.schema.names) if k != "_text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), scores], names=[*(batch.schema.names[i] for i in keep), "score"])
+            for batch in slices(whole, own):
+                scores = pa.array([score(t) for t in as_bytes(batch.column(own))], pa.float64())
+                keep = [i for i, k in enumerate(batch.schema.names) if k != own]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), scores], names=[*(batch.schema.names[i] for i in keep), name])
 
-    docs = docs.drop("score")
-    schema = docs.schema.add("score", "double")
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.withColumn(own, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -160,12 +168,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted_on(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """A model of at most FIT_ROWS labelled rows that aren't held out; contradicting labels of one id are left out."""
+    """A model of at most FIT_ROWS labelled documents that aren't held out.
+
+    Contradicting labels of one id are left out; of several texts under one id the smallest counts, of repeated rows one.
+    """
     labels = labels.selectExpr("cast(doc_id as long) _doc", "cast(toxic as int) label").where("_doc is not null and label in (0, 1)").where(~held_out(F.col("_doc")))
     labels = labels.groupBy("_doc").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").drop("high")
     chosen = labels.orderBy(F.xxhash64("_doc"), "_doc").limit(FIT_ROWS)
     texts = docs.selectExpr("cast(doc_id as long) _doc", "cast(text as string) text")
-    return fit(texts.join(F.broadcast(chosen), "_doc").select("text", "label"))
+    found = texts.join(F.broadcast(chosen), "_doc").groupBy("_doc").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return fit(found.select("text", "label"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
