@@ -180,7 +180,7 @@ class Decoder:
 class TextEncoder:
     """Encodes whole texts word by word (white space always separates tokens); short words come from a bounded cache."""
 
-    def __init__(self, table: MergeTable, cache: int = 300_000, longest: int = 64):
+    def __init__(self, table: MergeTable, cache: int = 150_000, longest: int = 64):
         self.table, self.limit, self.longest = table, cache, longest
         self.special = re.compile("|".join(map(re.escape, table.specials))) if table.specials else None
         self.known: dict[bytes, tuple[bytes, bytes]] = {}

@@ -77,7 +77,7 @@ def words_of(text: str | bytes | None) -> list[bytes]:
 class WordHashes:
     """128-bit hashes of words as two uint64 arrays, with a bounded cache from word to row."""
 
-    def __init__(self, limit: int = 400_000, key=None):
+    def __init__(self, limit: int = 100_000, key=None):
         self.limit, self.key = limit, key
         self._clear()
 

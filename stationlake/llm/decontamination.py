@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, rolling, signed, slices, table
+from .common import WordHashes, as_bytes, free_names, rolling, signed, slices, table
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -122,9 +122,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item; rows without a doc_id stay."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_doc"), "left_anti")
+    """The rows of docs that hold no item; rows without a doc_id stay, and so do repeated rows of clean documents."""
+    doc = free_names(docs, "doc")[0]
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col(doc), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,10 +201,11 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataF
     return removed
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, counts: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, counts: bool = True, emptied: bool = True) -> DataFrame:
     """All rows and columns of docs, text without the removed lines; with counts also n_lines, n_removed of each text.
 
-    A null text stays null with no lines; an empty table gives an empty result; a text that loses all lines is empty.
+    A null text stays null with no lines; an empty table gives an empty result; a text that loses all lines is empty, and
+    its row goes, unless emptied is set. Texts that have no line to lose stay as they are.
     Columns of docs that are called n_lines or n_removed give way to the counts.
     """
     doc, gone = free_names(docs, "doc", "gone")
@@ -216,6 +217,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, counts: bo
     names = ("n_lines", "n_removed") if counts else ()
     columns = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in names]
     numbers = [F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lost)).alias("n_removed")]
+    joined = joined if emptied else joined.where((F.size(lost) == 0) | (F.trim(kept) != ""))
     return joined.select(*columns, *(numbers if counts else ()))
 
 
