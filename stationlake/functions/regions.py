@@ -67,9 +67,8 @@ def classify_district(city: Column | str, district: Column | str, addresses: lis
     return F.coalesce(*map(verdict, addresses), *confirmed, F.lit("unknown"))
 
 
-def parse_region(*parts: Column | str) -> Column:
-    """struct(city, district): the district named first in the joined texts decides, else the city named first."""
-    whole = F.array_join(F.filter(F.array(*map(text, parts)), lambda t: t != ""), " ")
+def district_aliases() -> tuple[dict[str, tuple[str, str]], dict[str, str]]:
+    """What stands for a district: {name or short name: (district, city label)}, and {city: label}."""
     aliases, labels = {}, {c: f"{c}市" for c in REGIONS}
     for c, names in REGIONS.items():
         for d in names.split():
@@ -79,14 +78,22 @@ def parse_region(*parts: Column | str) -> Column:
         short = d[:-1] if d[-1] in "区县市" else d
         if len(short) >= 2 and short not in labels:
             aliases.setdefault(short, found)
+    return aliases, labels
 
-    def first(rows):
-        """The hit with the smallest (place, -length, names)."""
-        table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(x).alias("x"), F.lit(y).alias("y")) for a, x, y in rows])
-        hits = F.filter(F.transform(table, lambda r: F.struct(F.instr(whole, r["a"]).alias("at"), (-F.length(r["a"])).alias("n"), r["x"].alias("x"), r["y"].alias("y"))), lambda h: h["at"] > 0)
-        return F.array_min(hits)
 
-    district = first([(a, d, c) for a, (d, c) in aliases.items()])
-    city_hits = [F.when(F.instr(whole, F.lit(label)) > 0, F.struct(F.instr(whole, F.lit(label)).alias("at"), F.lit(-len(label)).alias("n"), F.lit(label).alias("x"))).when(F.instr(whole, F.lit(c)) > 0, F.struct(F.instr(whole, F.lit(c)).alias("at"), F.lit(-len(c)).alias("n"), F.lit(label).alias("x"))) for c, label in labels.items()]
-    city = F.array_min(F.array_compact(F.array(*city_hits)))["x"]
-    return F.struct(F.coalesce(district["y"], city, F.lit("")).alias("city"), F.coalesce(district["x"], F.lit("")).alias("district"))
+def parse_region(*parts: Column | str) -> Column:
+    """struct(city, district): the district named first in the joined texts decides, else the city named first."""
+    joined = F.array_join(F.filter(F.array(*map(text, parts)), lambda t: t != ""), " ")
+    aliases, labels = district_aliases()
+
+    def found(whole):
+        """The district with the smallest (place, -length, names), and else the city."""
+        table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(-len(a)).alias("n"), F.lit(d).alias("x"), F.lit(c).alias("y")) for a, (d, c) in aliases.items()])
+        near = F.filter(table, lambda r: F.contains(whole, r["a"]))
+        district = F.array_min(F.transform(near, lambda r: F.struct(F.instr(whole, r["a"]).alias("at"), r["n"].alias("n"), r["x"].alias("x"), r["y"].alias("y"))))
+        hit = lambda name, label: F.struct(F.instr(whole, F.lit(name)).alias("at"), F.lit(-len(name)).alias("n"), F.lit(label).alias("x"))
+        cities = [F.when(F.contains(whole, F.lit(label)), hit(label, label)).when(F.contains(whole, F.lit(c)), hit(c, label)) for c, label in labels.items()]
+        city = F.array_min(F.array_compact(F.array(*cities)))["x"]
+        return F.struct(F.coalesce(district["y"], city, F.lit("")).alias("city"), F.coalesce(district["x"], F.lit("")).alias("district"))
+
+    return F.get(F.transform(F.array(joined), found), F.lit(0))  # the joined text is made once

@@ -1,0 +1,36 @@
+"""Connected components of a link table, by alternating star contractions (a distributed union-find)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def components(links: DataFrame, save: Callable[[DataFrame, str], DataFrame], drop: Callable[[str], None]) -> DataFrame:
+    """(a, b) links -> (node, component): the smallest node that is reachable, for every node with a link.
+
+    Each round ties every node's larger neighbours, then its smaller ones, to the smallest node in sight. Links only
+    ever move to smaller nodes, their number doesn't grow, and the rounds needed grow with the logarithm of the longest
+    path. save(df, name) writes a table that all executors share and reads it back, drop(name) deletes it.
+    """
+    a, b = F.col("a"), F.col("b")
+    edges = save(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges-0")
+    before, step = None, 0
+    while True:
+        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == before or not mark[0]:
+            break
+        before, step = mark, step + 1
+        both = edges.union(edges.select("b", "a"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = save(large.distinct(), f"large-{step}")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = save(small.union(low.select("a", F.col("m").alias("b"))).distinct(), f"edges-{step}")
+        drop(f"edges-{step - 1}")
+        drop(f"large-{step}")
+    # A star forest is left: each node hangs on its component's smallest one.
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

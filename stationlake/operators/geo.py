@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column, filled_count, haversine_km, located, point_in_grid
+from .components import components
+from .storage import delete
 
 KM_PER_DEGREE = 111.19
 
@@ -102,43 +104,41 @@ def dedup_stations(df: DataFrame, counted: list[str], scratch: str, order: str =
     the folder `scratch`.
     """
     spark = df.sparkSession
-    pairs = near_dup_pairs(df)
-    pairs.write.mode("overwrite").parquet(f"{scratch}/pairs")
-    pairs = spark.read.parquet(f"{scratch}/pairs")
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    label, step = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), 0
-    while True:  # the smallest label spreads until nothing moves
-        label.write.mode("overwrite").parquet(f"{scratch}/label-{step}")
-        label = spark.read.parquet(f"{scratch}/label-{step}")
-        near = both.join(label, both["b"] == label["id"]).groupBy(both["a"]).agg(F.min("label").alias("near"))
-        new = label.join(near, label["id"] == near["a"]).select("id", F.least("label", "near").alias("label"))
-        if new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty():
-            break
-        label, step = new, step + 1
-    rows = df.join(label, "id").select("id", "label", filled_count(df, counted).alias("filled"), F.col(order).alias("place"), "station_name", F.col("longitude").cast("double").alias("lng"), F.col("latitude").cast("double").alias("lat"))
+
+    def save(part: DataFrame, name: str) -> DataFrame:
+        part.write.mode("overwrite").parquet(f"{scratch}/{name}")
+        return spark.read.parquet(f"{scratch}/{name}")
+
+    found = components(near_dup_pairs(df).select("a", "b"), save, lambda name: delete(spark, f"{scratch}/{name}"))
+    label = save(found.toDF("id", "label"), "label")
+    rows = df.join(label, "id").select(
+        "id", "label", filled_count(df, counted).alias("filled"), F.col(order).alias("place"), "station_name",
+        F.col("longitude").cast("double").alias("lng"), F.col("latitude").cast("double").alias("lat"),
+    )
 
     def fold(part):
+        import numpy as np
         import pandas as pd
 
-        kept = []
-        for r in part.sort_values(["place", "id"]).itertuples():
-            hit = next((i for i, x in enumerate(kept) if _near(x, r)), None)
-            if hit is None:
-                kept.append(r)
-            elif r.filled > kept[hit].filled:
-                kept[hit] = r
-        stay = {x.id for x in kept}
-        return pd.DataFrame({"id": [i for i in part["id"] if i not in stay]}, dtype="int64")
-
-    lost = rows.groupBy("label").applyInPandas(fold, "id long")
+        part = part.sort_values(["place", "id"], ignore_index=True)
+        lng, lat = np.radians(part["lng"].to_numpy()), np.radians(part["lat"].to_numpy())
+        name, filled = part["station_name"].to_numpy(), part["filled"].to_numpy()
+        kept, n = np.empty(len(part), np.int64), 0  # row numbers, in the order of their places in the list
+        for r in range(len(part)):
+            some = kept[:n]
+            a = np.sin((lat[r] - lat[some]) / 2) ** 2 + np.cos(lat[some]) * np.cos(lat[r]) * np.sin((lng[r] - lng[some]) / 2) ** 2
+            km = 2 * 6371.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+            hits = np.nonzero((km < 0.1) | ((name[some] == name[r]) & (km < 0.5)))[0]
+            if not len(hits):
+                kept[n] = r
+                n += 1
+            elif filled[r] > filled[some[hits[0]]]:
+                kept[hits[0]] = r
+        return part.loc[np.setdiff1d(np.arange(len(part)), kept[:n]), ["id"]]
+
+    lost = save(rows.groupBy("label").applyInPandas(fold, "id long"), "lost")
     return df.join(lost, "id", "left_anti")
 
 
-def _near(x, y, same_km: float = 0.5, any_km: float = 0.1) -> bool:
-    a = math.sin(math.radians(y.lat - x.lat) / 2) ** 2 + math.cos(math.radians(x.lat)) * math.cos(math.radians(y.lat)) * math.sin(math.radians(y.lng - x.lng) / 2) ** 2
-    km = 2 * 6371.0 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
-    return km < any_km or (x.station_name == y.station_name and km < same_km)
-
-
 def removed_audit(before: DataFrame, kept: DataFrame) -> DataFrame:
     return before.join(kept.select("id"), "id", "left_anti")

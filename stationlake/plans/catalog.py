@@ -127,8 +127,16 @@ AREA = " OR ".join(f"starts_with(behind,'{a}')" for a in R.FUNCTIONAL_AREAS)
 register("flt6_classify_district", "fx_stations", f"SELECT id, CASE WHEN address LIKE '%金水区%' THEN 'target' WHEN {OTHER} THEN 'outside' WHEN {FAR} THEN 'outside' WHEN address LIKE '%郑州市%' AND ({AREA}) THEN 'outside' WHEN station_name LIKE '%金水区%' THEN 'target' ELSE 'unknown' END AS verdict FROM (SELECT *, substr(address, strpos(address,'郑州市')+3) AS behind FROM fx_stations)")(
     lambda s: s.select("id", R.classify_district(F.lit("郑州"), F.lit("金水区"), ["address"], ["station_name"]).alias("verdict"))
 )
-ALIASES = [(d, c) for c, names in R.REGIONS.items() for d in names.split() if d != c]
-register("reg1_parse_region", "fx_stations")(lambda s: s.select("id", R.parse_region("address", "city").alias("r")).select("id", "r.city", "r.district"))
+DISTRICT_ALIASES, LABELS = R.district_aliases()
+ALIASES = ", ".join(f"('{a}', '{d}', '{c}')" for a, (d, c) in DISTRICT_ALIASES.items())
+CITIES = ", ".join(f"('{c}', '{label}')" for c, label in LABELS.items())
+register("reg1_parse_region", "fx_stations", f"""
+WITH s AS (SELECT id, trim(concat(address, ' ', city)) AS t FROM fx_stations), a(alias, district, city) AS (VALUES {ALIASES}), c(name, label) AS (VALUES {CITIES}),
+d AS (SELECT s.id, a.district, a.city, row_number() OVER (PARTITION BY s.id ORDER BY strpos(t, alias), -length(alias), district, a.city) AS r FROM s JOIN a ON contains(t, alias)),
+h AS (SELECT s.id, label, row_number() OVER (PARTITION BY s.id ORDER BY CASE WHEN contains(t, label) THEN strpos(t, label) ELSE strpos(t, name) END, CASE WHEN contains(t, label) THEN -length(label) ELSE -length(name) END, label) AS r FROM s JOIN c ON contains(t, name))
+SELECT s.id, coalesce(d.city, h.label, '') AS city, coalesce(d.district, '') AS district FROM s LEFT JOIN d ON d.id = s.id AND d.r = 1 LEFT JOIN h ON h.id = s.id AND h.r = 1""")(
+    lambda s: s.select("id", R.parse_region("address", "city").alias("r")).select("id", "r.city", "r.district")
+)
 register("mth1_filled_count", "fx_stations", "SELECT id, 1+CAST(station_name<>'' AS INT)+CAST(address<>'' AS INT)+CAST(business_hours<>'' AS INT)+CAST(current_price<>'' AS INT) AS filled FROM fx_stations")(lambda s: s.select("id", C.filled_count(s, ["id", "station_name", "address", "business_hours", "current_price"]).alias("filled")))
 register("arr2_period_round_trip", "fx_price_periods", "SELECT station_id, pos, replace(time,'~','-') AS time, total_price, source FROM fx_price_periods")(
     lambda p: prices.explode_periods(prices.collect_periods(p, ["station_id"]).withColumn("periods", prices.normalize_periods("periods", "x"))).select("station_id", "pos", "time", "total_price", "source")

@@ -61,10 +61,11 @@ FROM lineitem
 """,
     "fx_grids": """
 SELECT g+1 AS id, city, district, g AS grid_index,
- CASE WHEN g%10=0 THEN NULL ELSE lo+0.1 END AS center_lng, CASE WHEN g%10=0 THEN NULL WHEN g%37=0 THEN la+9.0 ELSE la+0.1 END AS center_lat,
- lo AS min_lng, CASE WHEN g%41=0 THEN lo-1.0 ELSE lo+0.2 END AS max_lng, CASE WHEN g%43=0 THEN NULL ELSE la END AS min_lat, la+0.2 AS max_lat,
+ CASE WHEN g%10=0 THEN NULL ELSE lo+side/2 END AS center_lng, CASE WHEN g%10=0 THEN NULL WHEN g%37=0 THEN la+9.0 ELSE la+side/2 END AS center_lat,
+ lo AS min_lng, CASE WHEN g%41=0 THEN lo-1.0 ELSE lo+side END AS max_lng, CASE WHEN g%43=0 THEN NULL ELSE la END AS min_lat, la+side AS max_lat,
  CASE g%4 WHEN 0 THEN 'pending' WHEN 1 THEN 'scanning' WHEN 2 THEN 'done' ELSE 'failed' END AS status
-FROM (SELECT p_partkey AS g, 110.4+0.2*(p_partkey%32) AS lo, 31.4+0.2*CAST(floor(p_partkey/32) AS BIGINT) AS la, p_partkey%10 AS rid0 FROM part WHERE p_partkey<800) b JOIN {REGIONS} AS r(rid,city,district) ON r.rid=b.rid0
+FROM (SELECT p_partkey AS g, p_partkey%10 AS rid0, CASE WHEN p_partkey<800 THEN 0.2 ELSE 0.01 END AS side,
+  110.4+0.2*(p_partkey%32)+0.0001*(CAST(floor(p_partkey/800) AS BIGINT)*137%1900) AS lo, 31.4+0.2*(CAST(floor(p_partkey/32) AS BIGINT)%25)+0.0001*(CAST(floor(p_partkey/800) AS BIGINT)*211%1900) AS la FROM part) b JOIN {REGIONS} AS r(rid,city,district) ON r.rid=b.rid0
 """,
     "fx_trail": """
 SELECT user_id AS query_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts,event_id) AS BIGINT) AS pos,

@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import glob
+import math
 import os
 
 import duckdb
@@ -70,9 +71,14 @@ def test_dedup_equals_the_literal_fold(spark, tmp_path, sf):
             self.lng, self.lat = (float(r.longitude or 0), float(r.latitude or 0))
             self.filled = sum(bool(r[c]) for c in catalog.COUNTED)
 
+    def near(x, y):
+        a = math.sin(math.radians(y.lat - x.lat) / 2) ** 2 + math.cos(math.radians(x.lat)) * math.cos(math.radians(y.lat)) * math.sin(math.radians(y.lng - x.lng) / 2) ** 2
+        km = 2 * 6371.0 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+        return km < 0.1 or (x.station_name == y.station_name and km < 0.5)
+
     kept = []
     for r in sorted(map(Row, rows), key=lambda r: r.id):
-        hit = next((i for i, x in enumerate(kept) if r.lng and x.lng and geo._near(x, r)), None)
+        hit = next((i for i, x in enumerate(kept) if r.lng and x.lng and near(x, r)), None)
         if hit is None:
             kept.append(r)
         elif r.filled > kept[hit].filled:
