@@ -49,6 +49,14 @@ def merge_price_periods(periods: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop("_fold").withColumn("pos", F.col("_rank.pos")).drop("_rank")
 
 
+def concat_periods(*parts: DataFrame) -> DataFrame:
+    """All rows of all parts, repeated ones too; columns that a part lacks are null."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
 def union_lists(*lists: Column | str) -> Column:
     """All lists' elements in order, each once."""
     return F.array_distinct(F.flatten(F.array(*lists)))

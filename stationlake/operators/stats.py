@@ -9,6 +9,21 @@ STATUSES = ("pending", "leased", "succeeded", "failed")
 SCAN_STATUSES = ("pending", "scanning", "done", "failed")
 
 
+#: The columns of station lists and of nearby stations.
+STATION_LIST_COLS = [
+    "id", "station_name", "operator", "address", "city", "current_price", "longitude", "latitude",
+    "fast_available", "fast_total", "fast_power", "super_available", "super_total", "super_power",
+    "slow_available", "slow_total", "slow_power", "fast_prices", "slow_prices", "business_hours",
+    "parking_fee", "occupancy_fee", "favorite_count", "facilities", "tags", "collected_at",
+]
+NEARBY_COLS = STATION_LIST_COLS[:17]
+
+
+def public_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that are shown; those that df lacks are null."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
 def list_stations(df: DataFrame, city: str | None = None, operator: str | None = None, page: int = 1, page_size: int = 20) -> DataFrame:
     """One page, newest id first, of the stations of a city and an operator."""
     for name, value in (("city", city), ("operator", operator)):

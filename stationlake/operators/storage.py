@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-POINTER = "_current"
+POINTER = "CURRENT"
 
 
 def filesystem(spark: SparkSession, where: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column, normalize_name, station_key
@@ -94,11 +94,18 @@ def screen_stop(cards: DataFrame, no_new: int = 2, max_scrolls: int = 12) -> Dat
     return screens.select("query_id", stops.alias("stop"), "screen").groupBy("query_id").agg(F.coalesce(F.min("stop"), F.max("screen")).alias("stop_screen"))
 
 
-def convergence_cutoff(trail: DataFrame, tail: int = 4) -> DataFrame:
-    """The trail up to the point where `tail` clearly outside results in a row follow an accepted one."""
+def convergence_cutoff(trail: DataFrame, tail: int = 4, accepted: Column | None = None, failed: Column | None = None) -> DataFrame:
+    """The trail up to the point where `tail` clearly outside results in a row follow an accepted one.
+
+    accepted: which results the caller keeps (a grid's, say), those of the target by default; failed: which could not be
+    collected, none by default. Whatever is not clearly outside ends a run of outside results, failures too.
+    """
+    failed = F.lit(False) if failed is None else failed
+    accepted = (F.col("district_match") == "target") if accepted is None else accepted
     by = Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    outside = F.col("district_match") == "outside"
-    trail = trail.withColumn("_island", F.sum(F.when(outside, 0).otherwise(1)).over(by)).withColumn("_accepted", F.sum(F.when(F.col("district_match") == "target", 1).otherwise(0)).over(by))
+    outside = (F.col("district_match") == "outside") & ~failed
+    taken = accepted & ~outside & ~failed
+    trail = trail.withColumn("_island", F.sum(F.when(outside, 0).otherwise(1)).over(by)).withColumn("_accepted", F.sum(F.when(taken, 1).otherwise(0)).over(by))
     run = F.sum(F.when(outside, 1).otherwise(0)).over(Window.partitionBy("query_id", "_island").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     trail = trail.withColumn("_run", run)
     hit = F.when((F.col("_run") >= tail) & (F.col("_accepted") > 0), F.col("pos"))
@@ -108,6 +115,9 @@ def convergence_cutoff(trail: DataFrame, tail: int = 4) -> DataFrame:
 
 def build_detail_rows(tasks: DataFrame, poi: DataFrame) -> DataFrame:
     """Each task's source records, with gaps in city, district and address filled from the POI dimension."""
+    if "payload" in tasks.columns:  # a task without records stands for itself
+        records = F.when(F.size("source_records") > 0, F.col("source_records")).otherwise(F.array("payload"))
+        tasks = tasks.withColumn("source_records", records)
     rows = tasks.withColumn("record", F.explode_outer("source_records"))
     dim = poi.select("station_id", *[F.col(c).alias(f"poi_{c}") for c in ("city", "district", "address")])
     blank = lambda c: F.nullif(as_column(c), F.lit(""))

@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..functions import regions as R
 from ..operators import geo, prices, stats, tasks, upsert
 from ..streaming import windows
-from . import page_queries, result_queries  # noqa: F401  they register more
+from . import history_queries, page_queries, result_queries  # noqa: F401  they register more
 from .registry import ORACLE_SQL, QUERIES, register, shared_folder  # noqa: F401  the first two are read from here
 
 NOW = 1704067380.0

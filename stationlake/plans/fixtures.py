@@ -108,4 +108,7 @@ def oracle(query: str) -> str:
     head = ", ".join(f"{k} AS ({sql_of(k)})" for k in used)
     if not head:
         return query
-    return query.replace("WITH ", f"WITH {head}, ", 1) if query.lstrip().startswith("WITH ") else f"WITH {head} {query}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if query.lstrip().startswith(start):
+            return query.replace(start, f"{start}{head}, ", 1)
+    return f"WITH {head} {query}"

@@ -14,7 +14,7 @@ POI = "map<string, struct<name:string, address:string, city:string, district:str
 
 def read_station_csv(spark: SparkSession, path: str) -> DataFrame:
     """A source list: all columns text, empty cells ''."""
-    return spark.read.option("header", True).csv(path).na.fill("")
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).na.fill("")
 
 
 def read_results_json(spark: SparkSession, path: str, station: T.StructType) -> DataFrame:
@@ -37,6 +37,12 @@ def read_dumps(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(name.alias("station_key"), F.regexp_extract("file", r"_attempt(\d+)\.xml$", 1).try_cast("int").alias("attempt"), F.col("value").alias("xml"))
 
 
+def read_poi_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A POI dimension of many JSON objects, one to a line, so that large files are split."""
+    rows = spark.read.text(path).select(F.explode(F.from_json("value", POI)).alias("station_id", "p"))
+    return rows.select("station_id", "p.*")
+
+
 def read_poi_dim(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", POI)).alias("station_id", "p"))
     return rows.select("station_id", "p.*")
@@ -45,12 +51,27 @@ def read_poi_dim(spark: SparkSession, path: str) -> DataFrame:
 def decode_json_cols(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Decodes JSON text columns; what can't be decoded stays as text in <column>_raw."""
     for c, kind in columns.items():
-        decoded = F.from_json(c, kind)
+        decoded = F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, kind))
         raw = F.when(decoded.isNull() & F.col(c).isNotNull() & (F.col(c) != ""), F.col(c))
         df = df.withColumns({f"{c}_raw": raw, c: decoded})
     return df
 
 
+def decode_payload(tasks: DataFrame, payload: str, result: str) -> DataFrame:
+    """tasks with payload and result as structs of the given types, from payload_json and result_json.
+
+    A text that is no JSON of that type gives null and stays in payload_json_raw or result_json_raw.
+    """
+    names = {"payload_json": payload, "result_json": result}
+    return decode_json_cols(tasks, names).withColumnsRenamed({c: c.removesuffix("_json") for c in names})
+
+
+def encode_payload(tasks: DataFrame) -> DataFrame:
+    """tasks with payload and result as compact JSON texts again; a null struct stays null."""
+    text = {f"{c}_json": F.to_json(c, {"ignoreNullFields": "false"}) for c in ("payload", "result")}
+    return tasks.withColumns(text).drop("payload", "result", "payload_json_raw", "result_json_raw")
+
+
 def split_valid(stations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that may be appended, and the others with their reason."""
     too_long = [F.when(F.length(c) > n, F.lit(c)) for c, n in TEXT_LIMITS.items() if c in stations.columns]
