@@ -5,8 +5,8 @@ is checked exactly, pair by pair, in a plain join. Links are looked for only bet
 
 1. Every class is checked against one representative, the smallest class of the keys that it shares most often.
 2. Keys whose classes are not all connected by then become tiles, large ones cut into blocks that meet two by two. A tile
-   gives out the pairs that pass, between what is not connected. Where these are very many, it first gives out the best
-   pair of every two components (of every component, where even these are many), and in a second round all that are left.
+   gives out the pairs that pass, between what is not connected. Where these are many, it first gives out the best pair of
+   every component, for two rounds, and then all that are left.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .common import Scratch
 from .components import components
 
 BLOCK = 1024  # classes in a block of a tile at most
-BUNDLE = 20_000  # rows of small tiles that one group of a task holds
+BUNDLE = 60_000  # rows of small tiles that one group of a task holds
 DENSE = 16  # pairs for each class of a tile, beyond which the tile gives out the best ones first
 
 
@@ -105,36 +105,35 @@ def chosen_pairs(i, j, score, tile, label, best: bool):
     dense = count[at] > DENSE * size
     if not best or not dense.any():
         return np.ones(len(i), bool), np.zeros(len(i), bool)
-    low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
     order = np.argsort(-score, kind="stable")
     order = order[dense[order]]
-    order = order[np.sort(first_of(t[order], low[order], high[order]))]  # the best pair of every two labels
-    _, at, count = np.unique(t[order], return_inverse=True, return_counts=True)
-    many = count[at] > DENSE * size[order]
-    of_label = np.zeros(len(order), bool)
-    for side in (low, high):
-        of_label[first_of(t[order], side[order])] = True
     take = ~dense
-    take[order[~many | of_label]] = True
+    for side in (i, j):
+        take[order[first_of(t[order], label[side][order])]] = True
     return take, dense
 
 
 def tiles_of(members: DataFrame, label: DataFrame, sets: DataFrame, keys: DataFrame | None) -> DataFrame:
-    """(tile, side, class, label, n, bits) of the keys whose classes have several labels."""
-    members = members.select("class", "key") if keys is None else members.select("class", "key").join(keys, "key", "left_semi")
-    named = members.join(label, "class", "left").select("class", "key", F.coalesce("label", "class").alias("label"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
-    blocks = open_keys.select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rows = named.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    """(family, tile, side, class, label, n, bits) of the keys whose classes have several labels.
+
+    Tiles of keys with the same smallest class mostly give the same pairs: as far as bounds allow they are one family,
+    which stays together, so that a pair comes out once.
+    """
+    members = members if keys is None else members.join(keys, "key", "left_semi")
+    named = members.join(label, "class", "left").select("class", "key", F.col("low").alias("family"), F.coalesce("label", "class").alias("label"))
+    counted = named.groupBy("key", "family").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
+    counted = counted.withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    parts = counted.groupBy("family").agg(F.ceil(F.sum(F.col("size") * F.col("blocks")) / BUNDLE).alias("parts"))
+    rows = named.drop("family").join(counted.select("key", "family", "blocks").join(parts, "family"), "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    rows = rows.select(tile.alias("tile"), "key", side.alias("side"), "class", "label")
+    rows = rows.select(F.xxhash64("family", F.pmod(tile, "parts")).alias("family"), tile.alias("tile"), "key", side.alias("side"), "class", "label")
     return rows.join(sets.select("class", "n", "bits"), "class")
 
 
 def tile_candidates(tiles: DataFrame, rows: int, passes, best: bool) -> DataFrame:
-    """(a, b, key, dense): the pairs that pass, and the keys of tiles that have given out some of them only."""
+    """(a, b, key): the pairs that pass, each once for a bundle of tiles; with null a, b the keys of tiles that hold some back."""
     bundles = max(1, rows // BUNDLE)
 
     def run(frame):
@@ -145,14 +144,15 @@ def tile_candidates(tiles: DataFrame, rows: int, passes, best: bool) -> DataFram
         names, keys, bits = frame["class"].to_numpy(), frame["key"].to_numpy(), frame["bits"].to_list()
         found = list(tile_pairs(tile, side, label, n, bits, passes))
         if not found:
-            return pd.DataFrame({"a": [], "b": [], "key": [], "dense": []}).astype({"a": "int64", "b": "int64", "key": "int64", "dense": "bool"})
+            return pd.DataFrame({"a": [], "b": [], "key": []}, dtype="Int64")
         i, j, score = (np.concatenate(x) for x in zip(*found))
         take, dense = chosen_pairs(i, j, score, tile, label, best)
-        i, j = i[take], j[take]
-        return pd.DataFrame({"a": np.maximum(names[i], names[j]), "b": np.minimum(names[i], names[j]), "key": keys[i], "dense": dense[take]})
+        back, i, j = np.unique(keys[i[dense]]), i[take], j[take]
+        pairs = np.unique(np.stack([np.maximum(names[i], names[j]), np.minimum(names[i], names[j])]), axis=1)
+        none = [pd.NA] * len(back)
+        return pd.DataFrame({"a": [*pairs[0], *none], "b": [*pairs[1], *none], "key": [*[pd.NA] * pairs.shape[1], *back]}, dtype="Int64")
 
-    bundle = F.pmod(F.xxhash64("tile", F.lit(7)), F.lit(bundles)).alias("bundle")
-    return tiles.groupBy(bundle).applyInPandas(run, "a long, b long, key long, dense boolean")
+    return tiles.groupBy(F.pmod("family", F.lit(bundles)).alias("bundle")).applyInPandas(run, "a long, b long, key long")
 
 
 def candidate_links(members: DataFrame, sets: DataFrame, scratch: Scratch, passes, exact) -> DataFrame:
@@ -166,16 +166,15 @@ def candidate_links(members: DataFrame, sets: DataFrame, scratch: Scratch, passe
     tested = scratch.save(star.select(F.col("class").alias("a"), "b"), "tested-star")
     links = scratch.save(verified(tested, sets, exact), "links-star")
     keys = None
-    for best in (True, False):
-        step = "best" if best else "rest"
+    for step in ("best", "next", "rest"):
         label = scratch.save(components(links, scratch, f"round-{step}"), f"label-{step}").toDF("class", "label")
         tiles = scratch.save(tiles_of(members, label, sets, keys), f"tiles-{step}")
-        found = scratch.save(tile_candidates(tiles, tiles.count(), passes, best), f"found-{step}")
+        found = scratch.save(tile_candidates(tiles, tiles.count(), passes, step != "rest"), f"found-{step}")
         scratch.drop(f"tiles-{step}")
-        new = scratch.save(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"tested-{step}")
+        new = scratch.save(found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"tested-{step}")
         links = links.union(scratch.save(verified(new, sets, exact), f"links-{step}"))
         tested = tested.union(new)
-        keys = found.where("dense").select("key").distinct()
+        keys = found.where("key is not null").select("key").distinct()
         if keys.isEmpty():
             break
     return links

@@ -4,8 +4,8 @@ Lines are compared by their normal form: ASCII letters in lower case, white spac
 are never compared and never removed. Equal lines are one class. A class's MinHash signature takes one pass over its
 character shingles: each shingle falls into one of BANDS * ROWS bins, a bin keeps its smallest hash, and an empty bin
 borrows from another one that a fixed list names. Classes that agree on all ROWS values of one of BANDS bands are
-candidates; the share of equal low bits in two signatures sorts out chance agreements, and what is left is compared
-exactly: a Jaccard similarity of 0.8 or more of the shingle sets links two lines.
+candidates; hashed bitmaps bound the overlap of their shingle sets, which sorts out chance agreements, and what is left is
+compared exactly: a Jaccard similarity of 0.8 or more links two lines.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .candidates import candidate_links, shared_members
 from .common import M1, Scratch, as_bytes, free_names, mix, rolling, signed, slices, table
 from .components import components
+from .ngram_join import bitmap, bitmap_bound
 
 SHINGLE = 5  # characters
 BANDS, ROWS = 18, 6  # a pair at 0.8 shares a band with probability 0.996, at 0.85 with 0.9998
@@ -27,8 +28,6 @@ BINS = BANDS * ROWS
 FACTOR = np.uint64(0x5851F42D4C957F2D)
 EMPTY = np.uint32(0xFFFFFFFF)
 BORROW = np.random.default_rng(20240229).integers(0, BINS, (64, BINS))  # where empty bins look, one row after the other
-AGREE = 80  # low bits of a signature's BINS; a pair at 0.8 has 97 on average, and below 80 with probability 1e-7
-FEW = 48  # shingles, below which low bits say too little
 
 
 def normal(line: bytes) -> bytes:
@@ -116,7 +115,7 @@ def line_rows(batches):
 
 
 def wanted_lines(batches):
-    """The normal forms of the wanted lines of each text, with their numbers of shingles and the low bits of their signatures."""
+    """The normal forms of the wanted lines of each text, with their numbers of shingles and their bitmaps."""
     import pyarrow as pa
 
     for whole in batches:
@@ -130,25 +129,14 @@ def wanted_lines(batches):
                         names.append(w["class"])
                         texts.append(shown)
             if texts:
-                low = np.packbits(signatures(texts) & np.uint32(1) == 1, axis=1)
-                bits = np.zeros((len(texts), 16), np.uint8)
-                bits[:, : low.shape[1]] = low
-                sizes = [len(line_set(x)) for x in texts]
+                sets = [line_set(x) for x in texts]
+                bits = [bitmap(x, 8) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(texts, pa.binary())],
+                    [pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(bits, pa.binary()), pa.array(texts, pa.binary())],
                     names=["class", "n", "bits", "payload"],
                 )
 
 
-def low_bits_agree(percent: int):
-    def passes(n1, x1, n2, x2):
-        agree = BINS - np.bitwise_count(x1 ^ x2).sum(axis=1, dtype=np.int64)
-        low, high = np.minimum(n1, n2), np.maximum(n1, n2)
-        return (100 * low >= percent * high) & ((agree >= AGREE) | (low < FEW)), agree
-
-    return passes
-
-
 def similar_lines(percent: int):
     """A check of the Jaccard similarity of two lines, which remembers the sets of a few of them."""
 
@@ -185,7 +173,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataF
     wanted = firsts.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("mark").alias("class"))).alias("wanted"))
     sets = chosen.join(wanted, "doc_id").mapInArrow(wanted_lines, "class long, n long, bits binary, payload binary")
     sets = scratch.save(sets.dropDuplicates(["class"]), "sets")
-    links = candidate_links(members, sets, scratch, low_bits_agree(percent), similar_lines(percent))
+    links = candidate_links(members, sets, scratch, bitmap_bound(percent), similar_lines(percent))
     scratch.drop("sets", "members")
 
     # What isn't the first line of its component goes. Lines are known by both halves of their hash.

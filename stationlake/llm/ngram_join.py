@@ -93,9 +93,9 @@ def marked_rows(batches, n: int, threshold: float):
             )
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bits of a set, two or more for each shingle; the number of bytes is a power of two, 16 at least."""
-    width = max(128, 1 << (2 * band_low(band_of(len(s))) - 1).bit_length())
+def bitmap(s: np.ndarray, each: int = 4) -> bytes:
+    """Hashed bits of a set, some `each` for each shingle; the number of bytes is a power of two, 16 at least."""
+    width = max(128, 1 << (each * band_low(band_of(len(s))) - 1).bit_length())
     at = (mix(s ^ M1) % np.uint64(width)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=width).astype(bool), bitorder="little").tobytes()
 
