@@ -137,8 +137,10 @@ def rolling(h: np.ndarray, width: int, factor: np.uint64) -> np.ndarray:
 
 def slices(batch, column: str = "text", target: int = 4_000_000):
     """Cuts an Arrow batch into slices of about `target` bytes of text, one row at least, so that memory stays bounded."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
+    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back that batches no longer need
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     parts = np.cumsum(sizes, dtype=np.int64) // target
     cuts = [0, *(np.nonzero(np.diff(parts))[0] + 1), batch.num_rows]

@@ -152,7 +152,7 @@ def score_texts(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFra
 
         score = Scorer(*model.value)
         for whole in batches:
-            for batch in slices(whole, own):
+            for batch in slices(whole, own, 1_000_000):
                 scores = pa.array([score(t) for t in as_bytes(batch.column(own))], pa.float64())
                 keep = [i for i, k in enumerate(batch.schema.names) if k != own]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), scores], names=[*(batch.schema.names[i] for i in keep), name])
