@@ -15,6 +15,8 @@ QUERIES, ORACLE_SQL = {}, {}
 def shared_folder(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stationlake-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root}/{uuid.uuid4().hex}"
