@@ -118,6 +118,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BLANK = np.zeros(256, bool)
+BLANK[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes of eight
+LONG_WORD = 256  # bytes; longer words are hashed one by one
+
+
+def word_spans(column, lower: bool = False):
+    """Where the words of an Arrow text column lie: (bytes of all texts end to end, start, length and text of each word).
+
+    Null texts have no words. With `lower`, A-Z become a-z in the bytes.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    _, offsets, values = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.empty(0, np.uint8) if values is None else np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if lower:
+        data = LOWER[data]
+    gap = BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    opens, closes = edge[:-1].copy(), edge[1:].copy()
+    opens[1:] |= gap[:-1]
+    closes[:-1] |= gap[1:]
+    start = np.nonzero(opens & ~gap)[0]
+    length = np.nonzero(closes & ~gap)[0] + 1 - start
+    return data, start, length, np.searchsorted(offsets, start, side="right") - 1
+
+
+def word_hashes(column, lower: bool = False):
+    """(text, first, second): the text and the 128-bit hash of every word of an Arrow text column.
+
+    Words are taken eight bytes at a time in arrays over all words, so that new words cost no more than known ones.
+    """
+    data, start, length, text = word_spans(column, lower)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    first, second = length.astype(np.uint64) * M1, length.astype(np.uint64) * M2
+    at = np.arange(len(start))
+    for begin in range(0, LONG_WORD, 8):
+        if begin:
+            at = at[length[at] > begin]
+        if not len(at):
+            break
+        piece = eight[start[at] + begin] & LEFT[np.minimum(length[at] - begin, 8)]
+        first[at] = mix(first[at] * M2 + piece)
+        second[at] = mix(second[at] * M1 ^ ~piece)
+    for i in np.nonzero(length > LONG_WORD)[0]:
+        digest = hashlib.blake2b(data[start[i] : start[i] + length[i]].tobytes(), digest_size=16).digest()
+        first[i], second[i] = np.frombuffer(digest, "<u8")
+    return text, first, second
+
+
 def rolling(h: np.ndarray, width: int, factor: np.uint64) -> np.ndarray:
     """Hashes of all windows of `width` consecutive values, by doubling: log2(width) passes."""
     n = len(h) - width + 1

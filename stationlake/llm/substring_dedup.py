@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, M2, Scratch, WordHashes, as_bytes, mix, rolling, signed, slices, table
+from .common import M1, M2, Scratch, as_bytes, mix, rolling, signed, slices, table, word_hashes
 
 FACTORS = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95)
 ROUNDS = 5
@@ -68,16 +68,10 @@ def recompress(names: np.ndarray, text: np.ndarray, rounds: int = ROUNDS):
 class Texts:
     """The word hashes of a slice of texts, laid end to end, and the symbols inside windows of `window` words."""
 
-    def __init__(self, batch, hashes: WordHashes, window: int):
-        words, sizes = [], []
-        for text in as_bytes(batch.column("text")):
-            some = (text or b"").split()
-            words += some
-            sizes.append(len(some))
-        self.sizes = np.array(sizes, np.int64)
+    def __init__(self, batch, window: int):
+        self.text, self.first, self.second = word_hashes(batch.column("text"))
+        self.sizes = np.bincount(self.text, minlength=batch.num_rows)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        self.text = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.first, self.second = hashes(words)
         name, text, lo, hi = recompress(self.first ^ (self.second >> np.uint64(1)), self.text)
         good = hi - lo <= window
         self.name, self.owner, self.lo, self.hi = name[good], text[good], lo[good], hi[good]
@@ -99,10 +93,9 @@ def symbol_rows(batches, window: int):
     """(rid, number, name) of every symbol; number -1 marks texts that have windows without a symbol inside."""
     import pyarrow as pa
 
-    hashes = WordHashes()
     for whole in batches:
         for batch in slices(whole):
-            x = Texts(batch, hashes, window)
+            x = Texts(batch, window)
             rid = batch.column("rid").to_numpy()
             bare = np.unique(x.text[: len(x.whole)][x.whole & (x.covered(np.ones(len(x.name), bool)) == 0)])
             yield pa.RecordBatch.from_arrays(
@@ -115,10 +108,9 @@ def window_rows(batches, window: int):
     """(a, b, doc_id, rid, start) of every window in which all symbols repeat."""
     import pyarrow as pa
 
-    hashes = WordHashes()
     for whole in batches:
         for batch in slices(whole):
-            x = Texts(batch, hashes, window)
+            x = Texts(batch, window)
             repeated = np.zeros(len(x.name), bool)
             lists = batch.column("numbers")
             ends = np.searchsorted(x.owner, np.arange(len(x.sizes)), side="left")
