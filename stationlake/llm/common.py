@@ -220,6 +220,22 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+HOT_KEYS = 20_000  # at most so many keys can hold more than one row in HOT_KEYS
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, count: str = "n") -> DataFrame:
+    """The rows that have a partner in keys, with the other columns of keys; `count` says how many rows a key has.
+
+    Keys with more than one row in HOT_KEYS of all, HOT_KEYS at most, are broadcast, so their rows stay where they are;
+    all other rows meet their key in a shuffle.
+    """
+    bound = max(total // HOT_KEYS, 10_000)
+    hot = F.broadcast(keys.where(F.col(count) > bound).drop(count))
+    rest = keys.where(F.col(count) <= bound).drop(count)
+    cold = rows.join(hot.select(*on), on, "left_anti").join(rest, on)
+    return rows.join(hot, on).select(*cold.columns).union(cold)
+
+
 def row_key(*cols: str) -> Column:
     """Tells rows apart that share an id: a 64-bit hash of the given columns."""
     return F.xxhash64(*[F.col(c) for c in cols])

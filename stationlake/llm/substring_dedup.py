@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, M2, Scratch, as_bytes, mix, rolling, signed, slices, table, word_hashes
+from .common import M1, M2, Scratch, as_bytes, mix, rolling, semi_join, signed, slices, table, word_hashes
 
 FACTORS = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95)
 ROUNDS = 5
@@ -152,11 +152,13 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 20) -> Dat
     # Symbols that occur more than once, by text.
     plain = docs.select("rid", "text")
     symbols = scratch.save(plain.mapInArrow(lambda it: symbol_rows(it, window), "rid long, number int, name long"), "symbols")
-    counted = symbols.where("number >= 0").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    repeated = symbols.where("number >= 0").join(counted, "name").select("rid", "number").union(symbols.where("number < 0").select("rid", "number"))
+    real = symbols.where("number >= 0")
+    counted = scratch.save(real.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "counted")
+    repeated = semi_join(real, counted, ["name"], symbols.count()).select("rid", "number")
+    repeated = repeated.union(symbols.where("number < 0").select("rid", "number"))
     numbers = repeated.join(copies, "rid", "left_anti").groupBy("rid").agg(F.collect_list("number").alias("numbers"))
     numbers = scratch.save(numbers, "numbers")
-    scratch.drop("symbols")
+    scratch.drop("symbols", "counted")
 
     # Windows of repeated symbols only, and the first one of each kind.
     candidates = docs.select("rid", "doc_id", "text").join(numbers, "rid")
@@ -164,11 +166,12 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 20) -> Dat
     windows = scratch.save(windows, "windows")
     scratch.drop("numbers")
     place = F.struct("doc_id", "start")
-    firsts = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    later = windows.join(firsts.select("a", "b", "first"), ["a", "b"]).where(place > F.col("first")).select("rid", "start")
+    firsts = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    firsts = scratch.save(firsts.where("first < last").drop("last"), "firsts")
+    later = semi_join(windows, firsts, ["a", "b"], windows.count()).where(place > F.col("first")).select("rid", "start")
     later = later.union(copies.select("rid", F.lit(-1)))
     later = scratch.save(later.groupBy("rid").agg(F.collect_set("start").alias("starts")), "starts")
-    scratch.drop("windows")
+    scratch.drop("windows", "firsts")
     return later
 
 
