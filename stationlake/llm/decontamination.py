@@ -12,14 +12,13 @@ cover COVERAGE of the item's in one of the views.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M1, M2, as_bytes, free_names, mix, rolling, signed, slices, table
+from .common import M1, M2, as_bytes, free_names, mix, rolling, signed, slices, table, word_hashes
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -32,6 +31,7 @@ UNIT_WORDS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles
 NUMBERS, UNITS = (frozenset(x.encode() for x in words.split()) for words in (NUMBER_WORDS, UNIT_WORDS))
 NUMBER = re.compile(rb"[-+]?[$]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 EDGES = b".,;:!?\"'()[]{}<>#$%&*|`~_=+\\/"
+NUMBER_EDGES = EDGES.replace(b"$", b"")
 
 
 LITERAL, NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = range(4)
@@ -42,13 +42,16 @@ VIEWS = (0, 1)  # with names as slots, and without
 def template(word: bytes) -> tuple[int, bytes]:
     """The word's kind and its literal; depends on the word alone, so that a passage is the same everywhere."""
     core = word.strip(EDGES)
-    shown = core.decode("utf-8", "replace")
-    small = shown.lower().encode()
-    if NUMBER.fullmatch(word.strip(EDGES.replace(b"$", b""))) or (small and all(x in NUMBERS for x in small.split(b"-"))):
+    shown = core if core.isascii() else core.decode("utf-8", "replace")
+    small = core.lower() if core.isascii() else shown.lower().encode()
+    letters = core.isalpha()  # ASCII letters alone
+    if small in NUMBERS or (not letters and NUMBER.fullmatch(word.strip(NUMBER_EDGES))):
+        return NUMBER_SLOT, small
+    if b"-" in small and all(x in NUMBERS for x in small.split(b"-")):
         return NUMBER_SLOT, small
     if small in UNITS:
         return UNIT_SLOT, small
-    if len(shown) > 1 and shown[0].isupper() and shown[1:].islower():
+    if len(shown) > 1 and shown[:1].isupper() and shown[1:].islower():
         return NAME_SLOT, small
     return LITERAL, small
 
@@ -58,19 +61,22 @@ class Templates:
 
     def __init__(self, limit: int = 100_000):
         self.limit, self.rows = limit, {}
-        self.kind, self.code = np.empty(1024, np.int8), np.empty(1024, np.uint64)
+        self.kind, self.code = np.empty(0, np.int8), np.empty(0, np.uint64)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow as pa
+
         if len(self.rows) > self.limit:
             self.rows = {}
         rows = self.rows
-        for word in set(words).difference(rows):
-            at = len(rows)
-            if at == len(self.kind):
-                self.kind, self.code = np.resize(self.kind, 2 * at), np.resize(self.code, 2 * at)
-            self.kind[at], small = template(word)
-            self.code[at] = int.from_bytes(hashlib.blake2b(small, digest_size=8).digest(), "little")
-            rows[word] = at
+        new = list(set(words).difference(rows))
+        if new:
+            known = len(rows)
+            kinds, smalls = zip(*map(template, new))
+            codes = word_hashes(pa.array([b"." + x for x in smalls], pa.large_binary()))[1]  # one word each, empty ones too
+            self.kind = np.concatenate([self.kind[:known], np.array(kinds, np.int8)])
+            self.code = np.concatenate([self.code[:known], codes])
+            rows.update(zip(new, range(known, known + len(new))))
         at = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
         return self.kind[at], self.code[at]
 
