@@ -213,3 +213,44 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the lines it had and lost, and a digest of the text that is left."""
     rest = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op6"))
     return rest.select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: The result of all pairs of lines at 0.8; pairs come from the rarest shingles of each line, of which similar lines share one.
+ORACLE_SQL = r"""
+WITH RECURSIVE places AS MATERIALIZED (
+    SELECT doc_id, place, line, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS shown
+    FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
+), classes AS MATERIALIZED (
+    SELECT shown, row_number() OVER (ORDER BY min((doc_id, place))) AS class, min((doc_id, place)) AS first FROM places WHERE shown <> '' GROUP BY shown
+), shingles AS MATERIALIZED (
+    SELECT DISTINCT class, substring(shown, i, 5) AS s FROM (SELECT class, shown, unnest(range(1, greatest(length(shown) - 4, 1) + 1)) AS i FROM classes)
+), sets AS MATERIALIZED (
+    SELECT class, count(*) AS n, list(s) AS s FROM shingles GROUP BY class
+), often AS (
+    SELECT s, count(*) AS lines FROM shingles GROUP BY s
+), rare AS MATERIALIZED (
+    SELECT class, s FROM shingles JOIN often USING (s) JOIN (SELECT class, n FROM sets) USING (class)
+    QUALIFY row_number() OVER (PARTITION BY class ORDER BY lines, s) <= n - (4 * n + 4) // 5 + 1
+), pairs AS MATERIALIZED (
+    SELECT DISTINCT x.class AS a, y.class AS b FROM rare x JOIN rare y ON x.s = y.s AND x.class < y.class
+), linked AS MATERIALIZED (
+    SELECT a, b FROM (SELECT a, b, p.n + q.n AS n, len(list_intersect(p.s, q.s)) AS both_have FROM pairs JOIN sets p ON p.class = a JOIN sets q ON q.class = b
+        WHERE 5 * p.n >= 4 * q.n AND 5 * q.n >= 4 * p.n)
+    WHERE 100 * both_have >= 80 * (n - both_have)
+), ways AS MATERIALIZED (
+    SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), reach(a, b) AS (
+    SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a
+), lowest AS (
+    SELECT a AS class, min(b) AS b FROM reach GROUP BY a
+), judged AS (
+    SELECT p.doc_id, p.place, p.line, c.first < (p.doc_id, p.place) OR b < c.class AS lost
+    FROM places p LEFT JOIN classes c ON p.shown = c.shown LEFT JOIN lowest ON lowest.class = c.class
+), told AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_removed, string_agg(line, chr(10) ORDER BY place) FILTER (lost IS NOT TRUE) AS kept
+    FROM judged GROUP BY doc_id
+)
+SELECT doc_id, cast(coalesce(n_lines, 0) AS INTEGER) AS n_lines, cast(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+    CASE WHEN text IS NOT NULL THEN cast(length(coalesce(kept, '')) AS INTEGER) END AS n_chars_kept, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN told USING (doc_id)
+"""

@@ -27,4 +27,10 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL = {"op2_metric_range_join": metric_join.ORACLE_SQL}
+ORACLE_SQL = {
+    "op2_metric_range_join": metric_join.ORACLE_SQL,
+    "op3_recompression_dedup": substring_dedup.ORACLE_SQL,
+    "op6_fuzzy_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+    "op9_owned_secrets": secret_scan.ORACLE_SQL,
+}

@@ -89,3 +89,55 @@ def scan_secrets(docs: DataFrame, scratch: Scratch, owner: Column, repository: C
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source is its owner, and each of the source's languages a repository."""
     return scan_secrets(table(spark, sf_dir, "documents"), Scratch(spark, "op9"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+#: The same result from matches of the plain patterns; places are sums of what lies before a match.
+ORACLE_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents WHERE text IS NOT NULL
+), found AS (
+    SELECT doc_id, owner, repository, 0 AS kind, 'assign' AS name, 12 AS least,
+        regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS hits,
+        regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS vals,
+        string_split_regex(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps
+    FROM texts
+    UNION ALL
+    SELECT doc_id, owner, repository, 1 AS kind, 'access' AS name, 18 AS least,
+        regexp_extract_all(text, 'AKIA[A-Z0-9]+') AS hits,
+        NULL AS vals,
+        string_split_regex(text, 'AKIA[A-Z0-9]+') AS gaps
+    FROM texts
+    UNION ALL
+    SELECT doc_id, owner, repository, 2 AS kind, 'hex' AS name, 16 AS least,
+        regexp_extract_all(text, '[0-9a-f]+') AS hits,
+        NULL AS vals,
+        string_split_regex(text, '[0-9a-f]+') AS gaps
+    FROM texts
+    UNION ALL
+    SELECT doc_id, owner, repository, 3 AS kind, 'own' AS name, 20 AS least,
+        regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}') AS hits,
+        NULL AS vals,
+        string_split_regex(text, '[A-Za-z0-9+/_-]{20,}') AS gaps
+    FROM texts
+), placed AS (
+    SELECT doc_id, owner, repository, kind, name, least, hit, val,
+        sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop
+    FROM (SELECT doc_id, owner, repository, kind, name, least, unnest(hits) AS hit, unnest(coalesce(vals, hits)) AS val,
+        unnest(gaps[1:len(hits)]) AS gap, unnest(range(1, len(hits) + 1)) AS i FROM found)
+), spans AS MATERIALIZED (
+    SELECT doc_id, owner, repository, kind, name, val, cast(stop - length(hit) AS BIGINT) AS start, cast(stop AS BIGINT) AS stop FROM placed
+    WHERE length(val) >= least AND (kind < 3 OR regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]'))
+), held AS (
+    SELECT val, count(DISTINCT owner) <= 2 AND count(DISTINCT (owner, repository)) <= 4 AS live FROM spans GROUP BY val
+), judged AS (
+    SELECT doc_id, kind, start, name || ':' || start || ':' || stop AS shown, live FROM spans JOIN held USING (val) WHERE live OR kind < 3
+), told AS (
+    SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(shown, ',' ORDER BY start, kind) AS spans,
+        count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+    FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM documents LEFT JOIN told USING (doc_id)
+"""

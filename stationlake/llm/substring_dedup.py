@@ -210,3 +210,25 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, window: int = 20) -> Dat
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_substrings(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same result from the word sequences of all windows.
+ORACLE_SQL = r"""
+WITH words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS shown
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)
+), later AS (
+    SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY shown ORDER BY doc_id, i) > 1
+), lost AS (
+    SELECT DISTINCT doc_id, i + k AS place FROM later, range(20) t(k)
+), placed AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS shown
+    FROM placed ANTI JOIN lost USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(shown, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
