@@ -25,7 +25,9 @@ from .ngram_join import bitmap, bitmap_bound
 SHINGLE = 5  # characters
 BANDS, ROWS = 18, 6  # a pair at 0.8 shares a band with probability 0.996, at 0.85 with 0.9998
 BINS = BANDS * ROWS
+CHUNK = 64_000  # bytes of lines that are hashed at a time, so that the arrays stay in the processor's cache
 FACTOR = np.uint64(0x5851F42D4C957F2D)
+UNEVEN = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 EMPTY = np.uint32(0xFFFFFFFF)
 BORROW = np.random.default_rng(20240229).integers(0, BINS, (64, BINS))  # where empty bins look, one row after the other
 
@@ -34,13 +36,20 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.split()).lower()
 
 
-def digests(line: bytes) -> tuple[int, int]:
-    """Two 64-bit halves of a line's hash."""
-    digest = hashlib.blake2b(line, digest_size=16).digest()
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+def normal_lines(text: bytes) -> list[bytes]:
+    """The normal forms of all lines of a text. Most texts hold single blanks only, which need no joining."""
+    lines = text.lower().split(b"\n")
+    return [line.strip() for line in lines] if not any(x in text for x in UNEVEN) else list(map(normal, lines))
+
+
+def digests(lines) -> np.ndarray:
+    """Two 64-bit halves of each line's hash."""
+    return np.frombuffer(b"".join(hashlib.blake2b(line, digest_size=16).digest() for line in lines), "<i8").reshape(-1, 2)
 
 
 def points(line: bytes) -> np.ndarray:
+    if line.isascii():
+        return np.frombuffer(line, np.uint8)
     return np.frombuffer(line.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
 
 
@@ -79,7 +88,10 @@ def signatures(lines: list[bytes]) -> np.ndarray:
 
 def band_keys(lines: list[bytes]) -> np.ndarray:
     """The band keys of lines, one row of BANDS for each."""
-    low = signatures(lines).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
+    ends = np.cumsum(list(map(len, lines)))
+    cuts = [0, *(np.nonzero(np.diff(ends // CHUNK))[0] + 1), len(lines)]
+    low = np.concatenate([signatures(lines[at:to]) for at, to in zip(cuts, cuts[1:])])
+    low = low.astype(np.uint64).reshape(len(lines), BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), BANDS))
     for k in range(ROWS):
         key = mix(key * M1 + low[:, :, k])
@@ -87,15 +99,14 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
 
 
 def line_rows(batches):
-    """Per line that isn't blank: its place, the 128-bit hash of its normal form and, once in a slice, its band keys."""
+    """Per line that isn't blank: its place, the 128-bit hash of its normal form and, once in a slice, its band keys (else none)."""
     import pyarrow as pa
 
     for whole in batches:
         for batch in slices(whole, target=1_000_000):
             docs, places, texts = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-                for place, line in enumerate((text or b"").split(b"\n")):
-                    shown = normal(line)
+                for place, shown in enumerate(normal_lines(text or b"")):
                     if shown:
                         docs.append(doc)
                         places.append(place)
@@ -103,13 +114,12 @@ def line_rows(batches):
             if not texts:
                 continue
             first = {}
-            for i, shown in enumerate(texts):
-                first.setdefault(shown, i)
-            keys = dict(zip(first.values(), signed(band_keys(list(first)))))
-            marks = {shown: digests(shown) for shown in first}
-            both = np.array(list(map(marks.__getitem__, texts)))
+            which = np.array([first.setdefault(shown, len(first)) for shown in texts])
+            both = digests(first)[which]
+            ends = np.cumsum(np.append(True, which[1:] > np.maximum.accumulate(which)[:-1])) * BANDS  # new lines count up
+            keys = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), signed(band_keys(list(first)).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array([keys.get(i) for i in range(len(texts))], pa.list_(pa.int64()))],
+                [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), keys],
                 names=["doc_id", "place", "mark", "check", "keys"],
             )
 
@@ -125,7 +135,7 @@ def wanted_lines(batches):
                 lines = (text or b"").split(b"\n")
                 for w in wanted:
                     shown = normal(lines[w["place"]]) if w["place"] < len(lines) else b""
-                    if shown and digests(shown)[0] == w["class"]:  # else of another text under the same doc_id
+                    if shown and digests([shown])[0, 0] == w["class"]:  # else of another text under the same doc_id
                         names.append(w["class"])
                         texts.append(shown)
             if texts:
@@ -163,7 +173,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataF
     rows = chosen.mapInArrow(line_rows, "doc_id long, place int, mark long, check long, keys array<long>")
     rows = scratch.save(rows, "lines")
     place = F.struct("doc_id", "place")
-    keyed = rows.where("keys is not null").select(F.col("mark").alias("class"), F.explode("keys").alias("key"))
+    keyed = rows.select(F.col("mark").alias("class"), F.explode("keys").alias("key"))
     members = shared_members(keyed, scratch)
 
     # The candidates' texts, each from its first place.
