@@ -44,7 +44,7 @@ def recompress(names: np.ndarray, text: np.ndarray, rounds: int = ROUNDS):
 
     # Pairs: an opener and the closer that follows it become one symbol. What stays single depends on its neighbour.
     for r in range(1, rounds):
-        closes = (mix(s ^ (np.uint64(r) * M2)) >> np.uint64(40)) & np.uint64(1) == 1
+        closes = (mix(s ^ (np.uint64(r * int(M2) & 0xFFFFFFFFFFFFFFFF))) >> np.uint64(40)) & np.uint64(1) == 1
         next_same = np.append(t[1:] == t[:-1], False)
         pair = np.append(~closes[:-1] & closes[1:], False) & next_same
         tail = np.append(False, pair[:-1])
