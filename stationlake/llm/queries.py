@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, decontamination, html_extraction, line_dedup, metric_join, ngram_join, secret_scan, substring_dedup, token_files, toxicity
+from . import bpe_transducer, decontamination, html_extraction, license_scan, line_dedup, metric_join, ngram_join, secret_scan, substring_dedup, token_files, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_counterfactual_toxicity": toxicity.query,
     "op9_owned_secrets": secret_scan.query,
     "op10_bpe_transducer": bpe_transducer.query,
+    "op11_license_diagonals": license_scan.query,
     "pipeline": pipeline,
 }
 
@@ -33,4 +34,5 @@ ORACLE_SQL = {
     "op6_fuzzy_line_dedup": line_dedup.ORACLE_SQL,
     "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op9_owned_secrets": secret_scan.ORACLE_SQL,
+    "op11_license_diagonals": license_scan.ORACLE_SQL,
 }
