@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, decontamination, html_extraction, license_scan, line_dedup, metric_join, ngram_join, secret_scan, substring_dedup, token_files, toxicity
+from . import bpe_transducer, decontamination, hard_negatives, html_extraction, license_scan, line_dedup, metric_join, ngram_join, secret_scan, substring_dedup, token_files, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ QUERIES = {
     "op9_owned_secrets": secret_scan.query,
     "op10_bpe_transducer": bpe_transducer.query,
     "op11_license_diagonals": license_scan.query,
+    "op12_strassen_negatives": hard_negatives.query,
     "pipeline": pipeline,
 }
 
@@ -35,4 +36,5 @@ ORACLE_SQL = {
     "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op9_owned_secrets": secret_scan.ORACLE_SQL,
     "op11_license_diagonals": license_scan.ORACLE_SQL,
+    "op12_strassen_negatives": hard_negatives.ORACLE_SQL,
 }
