@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, decontamination, hard_negatives, html_extraction, license_scan, line_dedup, metric_join, ngram_join, secret_scan, substring_dedup, token_files, toxicity
+from . import bpe_transducer, decontamination, hard_negatives, html_extraction, license_scan, line_dedup, metric_join, ngram_join, periodic_runs, secret_scan, substring_dedup, token_files, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_bpe_transducer": bpe_transducer.query,
     "op11_license_diagonals": license_scan.query,
     "op12_strassen_negatives": hard_negatives.query,
+    "op13_periodic_runs": periodic_runs.query,
     "pipeline": pipeline,
 }
 
@@ -37,4 +38,5 @@ ORACLE_SQL = {
     "op9_owned_secrets": secret_scan.ORACLE_SQL,
     "op11_license_diagonals": license_scan.ORACLE_SQL,
     "op12_strassen_negatives": hard_negatives.ORACLE_SQL,
+    "op13_periodic_runs": periodic_runs.ORACLE_SQL,
 }
