@@ -14,7 +14,7 @@ import functools
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .candidates import candidate_links, shared_members
@@ -104,11 +104,11 @@ def line_rows(batches):
 
     for whole in batches:
         for batch in slices(whole, target=1_000_000):
-            docs, places, texts = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
+            rows, places, texts = [], [], []
+            for row, text in enumerate(as_bytes(batch.column("text"))):
                 for place, shown in enumerate(normal_lines(text or b"")):
                     if shown:
-                        docs.append(doc)
+                        rows.append(row)
                         places.append(place)
                         texts.append(shown)
             if not texts:
@@ -118,9 +118,10 @@ def line_rows(batches):
             both = digests(first)[which]
             ends = np.cumsum(np.append(True, which[1:] > np.maximum.accumulate(which)[:-1])) * BANDS  # new lines count up
             keys = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), signed(band_keys(list(first)).ravel()))
+            own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "version")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), keys],
-                names=["doc_id", "place", "mark", "check", "keys"],
+                [*own, pa.array(places, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), keys],
+                names=["doc_id", "version", "place", "mark", "check", "keys"],
             )
 
 
@@ -134,10 +135,8 @@ def wanted_lines(batches):
             for text, wanted in zip(as_bytes(batch.column("text")), batch.column("wanted").to_pylist()):
                 lines = (text or b"").split(b"\n")
                 for w in wanted:
-                    shown = normal(lines[w["place"]]) if w["place"] < len(lines) else b""
-                    if shown and digests([shown])[0, 0] == w["class"]:  # else of another text under the same doc_id
-                        names.append(w["class"])
-                        texts.append(shown)
+                    names.append(w["class"])
+                    texts.append(normal(lines[w["place"]]))
             if texts:
                 sets = [line_set(x) for x in texts]
                 bits = [bitmap(x, 8) for x in sets]
@@ -163,25 +162,31 @@ def similar_lines(percent: int):
     return make
 
 
+def version_of(text: Column) -> Column:
+    """Tells the texts apart that share a doc_id."""
+    return F.xxhash64(text.cast("string"))
+
+
 def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
-    """(doc_id, removed): for each document that loses lines, the zero-based places of these lines.
+    """(doc_id, version, removed): for each text that loses lines, the zero-based places of these lines.
 
-    Lines are ordered by (doc_id, place). Rows that share a doc_id are one document given more than once. Documents
+    Lines are ordered by (doc_id, place, version), version being a hash of the whole text: each different text under a
+    doc_id has lines of its own, and rows that share doc_id and text are one text given more than once. Documents
     without a doc_id and null or empty texts neither lose lines nor make others lose any.
     """
-    chosen = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
-    rows = chosen.mapInArrow(line_rows, "doc_id long, place int, mark long, check long, keys array<long>")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version_of(F.col("text")).alias("version"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = chosen.mapInArrow(line_rows, "doc_id long, version long, place int, mark long, check long, keys array<long>")
     rows = scratch.save(rows, "lines")
-    place = F.struct("doc_id", "place")
+    place = F.struct("doc_id", "place", "version")
     keyed = rows.select(F.col("mark").alias("class"), F.explode("keys").alias("key"))
     members = shared_members(keyed, scratch)
 
     # The candidates' texts, each from its first place.
-    named = rows.select("doc_id", "place", "mark", "check")
+    named = rows.select("doc_id", "version", "place", "mark", "check")
     near = members.select(F.col("class").alias("mark")).distinct()
     firsts = scratch.save(named.join(near, "mark", "left_semi").groupBy("mark", "check").agg(F.min(place).alias("at")), "firsts")
-    wanted = firsts.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("mark").alias("class"))).alias("wanted"))
-    sets = chosen.join(wanted, "doc_id").mapInArrow(wanted_lines, "class long, n long, bits binary, payload binary")
+    wanted = firsts.groupBy("at.doc_id", "at.version").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("mark").alias("class"))).alias("wanted"))
+    sets = chosen.join(wanted, ["doc_id", "version"]).mapInArrow(wanted_lines, "class long, n long, bits binary, payload binary")
     sets = scratch.save(sets.dropDuplicates(["class"]), "sets")
     links = candidate_links(members, sets, scratch, bitmap_bound(percent), similar_lines(percent))
     scratch.drop("sets", "members")
@@ -189,12 +194,12 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataF
     # What isn't the first line of its component goes. Lines are known by both halves of their hash.
     found = components(links, scratch, "last").toDF("mark", "component").join(firsts.select("mark", "check"), "mark")
     named = named.join(found, ["mark", "check"], "left")
-    named = named.select("doc_id", "place", F.coalesce("component", "mark").alias("group"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check"))
+    named = named.select("doc_id", "version", "place", F.coalesce("component", "mark").alias("group"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check"))
     named = scratch.save(named, "named")
     scratch.drop("lines")
     groups = named.groupBy("group", "check").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").select("group", "check", "at")
     lost = named.join(groups, ["group", "check"]).where(place > F.col("at"))
-    removed = scratch.save(lost.groupBy("doc_id").agg(F.collect_set("place").alias("removed")), "removed")
+    removed = scratch.save(lost.groupBy("doc_id", "version").agg(F.collect_set("place").alias("removed")), "removed")
     scratch.drop("named", "firsts")
     return removed
 
@@ -202,13 +207,13 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataF
 def dedup_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, counts: bool = True, emptied: bool = True) -> DataFrame:
     """All rows and columns of docs, text without the removed lines; with counts also n_lines, n_removed of each text.
 
-    A null text stays null with no lines; an empty table gives an empty result; a text that loses all lines is empty, and
+    Texts are judged one by one, also those that share a doc_id. A null text stays null with no lines; an empty table gives an empty result; a text that loses all lines is empty, and
     its row goes, unless emptied is set. Texts that have no line to lose stay as they are.
     Columns of docs that are called n_lines or n_removed give way to the counts.
     """
-    doc, gone = free_names(docs, "doc", "gone")
-    removed = removed_lines(docs, scratch, percent).withColumnsRenamed({"doc_id": doc, "removed": gone})
-    joined = docs.join(removed, F.col("doc_id").cast("long") == F.col(doc), "left")
+    doc, version, gone = free_names(docs, "doc", "version", "gone")
+    removed = removed_lines(docs, scratch, percent).withColumnsRenamed({"doc_id": doc, "version": version, "removed": gone})
+    joined = docs.join(removed, (F.col("doc_id").cast("long") == F.col(doc)) & (version_of(F.col("text")) == F.col(version)), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     lost = F.coalesce(F.col(gone), F.expr("cast(array() as array<int>)"))
     kept = F.when(F.size(lost) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(lost, i)), "\n"))

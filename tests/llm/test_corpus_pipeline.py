@@ -35,8 +35,10 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch):
 
     kept = [(d, t) for d, t in rows if models[0]((t or "").encode()) < 0.7]
     assert any(d == 0 for d, _ in rows) and not any(d is not None and d < 60 and d % 4 == 0 for d, _ in kept)
-    by_line = [(d, t) for d, t in kept if d != 3]  # the ids that brute() tells apart
-    left = test_line_dedup.brute([*by_line, *((3 + k / 10, t) for k, (d, t) in enumerate(x for x in kept if x[0] == 3))])
+    judged = test_line_dedup.brute(kept)
+    left = {d: t for (d, _), t in judged.items() if d != 3}
+    lines = P.dedup_lines(spark, spark.createDataFrame(kept, "doc_id long, text string"), "")
+    assert sorted(map(tuple, lines.collect()), key=str) == sorted(((d, t) for (d, given), t in judged.items() if t != "" or not given), key=str)
     assert left.keys() and all(r[0] is None or r[0] in {d for d, _ in kept} for r in got)
     clean = {d for d, _ in rows if d is not None and 0 < d < 60 and d % 4}
     assert clean - {r[0] for r in got} <= {d for d in clean if left.get(d) == ""}

@@ -13,13 +13,10 @@ def shingles(line):
 
 
 def brute(rows):
-    """The kept text of each document, by comparing all lines."""
-    places, sets = [], []
-    for doc, text in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
-        for k, line in enumerate(text.split("\n")):
-            if normal(line):
-                places.append((doc, k))
-                sets.append(shingles(normal(line)))
+    """The kept text of each (doc_id, text), by comparing all lines."""
+    texts = {r for r in rows if r[0] is not None and r[1]}
+    lines = sorted((doc, k, text, normal(line)) for doc, text in texts for k, line in enumerate(text.split("\n")) if normal(line))
+    places, sets = [line[:3] for line in lines], [shingles(line[3]) for line in lines]
     root = list(range(len(sets)))
 
     def find(x):
@@ -33,7 +30,7 @@ def brute(rows):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     gone = {p for i, p in enumerate(places) if find(i) != i}
-    return {d: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in rows}
+    return {(d, t): None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k, t) not in gone) for d, t in rows}
 
 
 def test_equals_brute_force(spark):
@@ -54,7 +51,7 @@ def test_equals_brute_force(spark):
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, "é"), (204, "é\nx"), (205, "long " * 30_000)]
     df = spark.createDataFrame([(d, t, 5, "r") for d, t in rows], "doc_id long, text string, n_lines int, removed string").repartition(6)
     got = {r.doc_id: r.text for r in L.dedup_lines(df, Scratch(spark, "t6")).collect()}
-    assert got == brute(rows)
+    assert got == {d: kept for (d, _), kept in brute(rows).items()}
 
 
 def test_edges(spark):
@@ -64,6 +61,17 @@ def test_edges(spark):
     assert run([(1, "a\nb\na"), (1, "a\nb\na")]) == [(1, "a\nb", 3, 1)] * 2
 
 
+def test_texts_that_share_a_doc_id_are_judged_one_by_one(spark):
+    rows = [(1, "first line of one\nsecond line of one"), (7, "first line of one\nown line of seven"), (7, "another line that is unlike\nlast own line, quite long"), (7, None), (7, ""), (8, "x\nlast own line, quite long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = L.dedup_lines(df, Scratch(spark, "t6"), counts=False)
+    expected = [(d, kept) for (d, _), kept in brute(rows).items()]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(expected, key=str)
+    assert (7, "own line of seven") in expected and (7, rows[2][1]) in expected and (8, "x") in expected
+    kept = L.dedup_lines(df.union(df.where("doc_id = 8")), Scratch(spark, "t6"), counts=False, emptied=False)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([*expected, (8, "x")], key=str)
+
+
 def test_similarity_is_of_five_character_shingles(spark):
     rng = random.Random(3)
     rows, gone = [], set()
