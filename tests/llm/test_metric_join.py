@@ -4,10 +4,10 @@ from stationlake.llm import metric_join as M
 from stationlake.llm.common import Scratch
 
 
-def brute(rows, cosine=0.9):
-    ok = {i: np.array(v, np.float32).astype(float) for i, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)}
-    size = max(map(len, ok.values()), key=[len(v) for v in ok.values()].count) if ok else 0
-    ok = {i: v / np.sqrt(v @ v) for i, v in ok.items() if len(v) == size and rows[i][0] is not None}
+def brute(rows, cosine=0.9, kind=np.float32):
+    ok = {i: np.array(v, kind).astype(float) for i, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)}
+    ok = {i: v / abs(v).max() for i, v in ok.items() if rows[i][0] is not None}
+    ok = {i: v / np.sqrt(v @ v) for i, v in ok.items()}
     root = {r: r for r, _ in rows}
 
     def find(x):
@@ -16,7 +16,7 @@ def brute(rows, cosine=0.9):
     n = [0] * len(rows)
     for i, a in ok.items():
         for j, b in ok.items():
-            if i != j and a @ b >= cosine:
+            if i != j and len(a) == len(b) and a @ b >= cosine:
                 n[i] += 1
                 p, q = sorted((find(rows[i][0]), find(rows[j][0])))
                 root[q] = p
@@ -70,3 +70,23 @@ def test_guests_of_a_cell_are_bounded_too(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     assert sorted(map(tuple, M.range_join(df, Scratch(spark, "t2")).collect()), key=str) == brute(rows)
     assert max(sizes) <= 2 * 20  # blocks are cut by hash; eight hands would hold some 50 guests each
+
+
+def test_lengths_are_spaces_of_their_own_and_doubles_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(M, "CELL", 20)
+    rng = np.random.default_rng(6)
+    rows = [[1e300, 1e300], [1e300, 1e300], [1e-60, 0.0], [3e-60, 0.0], [5e-324, 5e-324, 0.0], [1.0, 1.0, 0.0], [1.7e308] * 4, [1.0] * 4, [2.0], [-1.0], [7.0]]
+    for size in (2, 5, 5, 9):
+        centres = rng.normal(size=(9, size))
+        rows += [(centres[rng.integers(9)] * rng.choice([1e200, 1.0, 1e-200]) * (1 + 0.1 * rng.normal(size=size))).tolist() for _ in range(45)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, M.range_join(df, Scratch(spark, "t2")).collect()), key=str)
+    assert got == brute(rows, kind=np.float64) and dict((r[0], r[1]) for r in got)[4] == 1
+
+
+def test_trees_are_united():
+    label = np.arange(9)
+    M.united(label, np.array([8, 7, 6, 1]), np.array([7, 6, 5, 2]))
+    M.united(label, np.array([2, 5]), np.array([8, 5]))
+    assert label.tolist() == [0, 1, 1, 3, 4, 1, 1, 1, 1]
