@@ -48,12 +48,13 @@ def _folded(current: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     return current.groupBy(*NAME).cogroup(incoming.groupBy(*NAME)).applyInArrow(fold, whole)
 
 
-def upsert_stations(current: DataFrame, incoming: DataFrame, order: str = "pos") -> DataFrame:
+def upsert_stations(current: DataFrame, incoming: DataFrame, order: str = "pos", top: int | None = None) -> DataFrame:
     """current after the incoming rows, taken in order within each (name, city).
 
     A row with an address updates the newest station of that name, city and address; one without an address the newest
     of that name and city; no match inserts. Updates replace all but the name. A null name or city equals nothing, so
-    such rows are inserted. New rows get ids above all current ones, in the order of their first incoming rows.
+    such rows are inserted. New rows get ids above all current ones, in the order of their first incoming rows; `top`
+    is the largest id so far where current is only a part of the table.
 
     Where all incoming rows of a (name, city) have an address, the last row of each address counts: that is an
     aggregation and a join. Only groups with a row without an address are folded one row after the other.
@@ -84,12 +85,12 @@ def upsert_stations(current: DataFrame, incoming: DataFrame, order: str = "pos")
     joined = joined.select("id", "station_name", *[(F.when(taken, F.col(f"_new.{c}")).otherwise(F.col(c)) if c != "city" else F.col(c)).alias(c) for c in values], F.when(F.col("id").isNull(), F.col("_first")).alias("_first"))
 
     merged = joined.unionByName(folded).unionByName(loose)
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    if top is None:
+        top = current.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     # Ranges of places give each new row its number without sorting all of them in one task.
     fresh = merged.where("id is null").withColumn("_bucket", F.floor(F.col("_first") / 1_000_000))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = fresh.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_base"))
     number = F.row_number().over(Window.partitionBy("_bucket").orderBy("_first", *NAME))
-    fresh = fresh.join(sizes, "_bucket").withColumn("_number", F.col("_base") + number).crossJoin(F.broadcast(top))  # one row
-    fresh = fresh.withColumn("id", (F.col("_top") + F.col("_number")).cast("long"))
+    fresh = fresh.join(sizes, "_bucket").withColumn("id", (F.lit(top) + F.col("_base") + number).cast("long"))
     return merged.where("id is not null").select(*columns).unionByName(fresh.select(*columns))

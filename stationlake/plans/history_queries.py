@@ -8,31 +8,73 @@ from pyspark.sql import functions as F
 from ..functions import regions as R
 from ..operators import history, prices, stats, storage, tasks
 from ..sources import tables
+from ..streaming import ingest, windows
 from .registry import register, shared_folder
 
 EVENTS = """
-SELECT task_id, CAST(attempt_no AS DOUBLE)*40.0 AS ts, attempt_no AS seq, CASE outcome WHEN 'retry' THEN 'claim' WHEN 'succeeded' THEN 'complete' WHEN 'failed' THEN 'fail' WHEN 'interrupted' THEN 'release' ELSE 'requeue' END AS kind,
- CAST(max(CASE WHEN outcome='retry' THEN attempt_no END) OVER (PARTITION BY task_id ORDER BY attempt_no) AS STRING) AS lease_token, CAST(attempt_id%101 AS DOUBLE) AS score FROM fx_attempts"""
+SELECT task_id, CAST(attempt_no AS DOUBLE)*40.0 AS ts, attempt_no AS seq,
+ CASE WHEN outcome='retry' THEN 'claim' WHEN outcome='succeeded' THEN 'complete' WHEN outcome='failed' THEN 'fail' WHEN outcome='interrupted' THEN 'release'
+  WHEN attempt_id%3=0 THEN 'requeue' WHEN attempt_id%3=1 THEN 'enqueue' ELSE 'heartbeat' END AS kind,
+ CASE WHEN attempt_id%7=0 THEN 'stale' ELSE CAST(max(CASE WHEN outcome='retry' THEN attempt_no END) OVER (PARTITION BY task_id ORDER BY attempt_no) AS STRING) END AS lease_token,
+ CAST(attempt_id%101 AS DOUBLE) AS score FROM fx_attempts"""
 
 
 @register("stm4_task_state", "fx_attempts", f"""
-WITH RECURSIVE ev AS ({EVENTS}), s(task_id, n, status, attempts, available_at, token, expires, score) AS (
- SELECT DISTINCT task_id, CAST(0 AS BIGINT), 'pending', 0, CAST(0 AS DOUBLE), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE) FROM ev
+WITH RECURSIVE ev AS ({EVENTS}), s(task_id, n, status, attempts, available_at, token, expires, score, rerun) AS (
+ SELECT DISTINCT task_id, CAST(0 AS BIGINT), 'pending', 0, CAST(0 AS DOUBLE), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), false FROM ev
  UNION ALL
- SELECT task_id, seq, status2, CASE WHEN status2='leased' AND took THEN attempts+1 WHEN kind='release' AND fits THEN greatest(0,attempts-1) WHEN kind='requeue' AND status='failed' THEN 0 ELSE attempts END,
-  CASE WHEN took THEN CASE WHEN lapsed THEN ts ELSE available_at END WHEN NOT fits THEN CASE WHEN kind='requeue' AND status='failed' THEN 0 ELSE available_at END WHEN kind='fail' THEN ts+CASE WHEN attempts<3 THEN 5 ELSE 0 END WHEN kind='release' THEN ts ELSE available_at END,
-  CASE WHEN took THEN lease_token WHEN status2='leased' THEN token END, CASE WHEN took THEN ts+180 WHEN status2='leased' THEN expires END,
-  CASE WHEN fits AND kind='complete' THEN score2 WHEN fits AND kind='fail' THEN greatest(score,score2) ELSE score END
- FROM (SELECT *, CASE WHEN took THEN 'leased' WHEN lapsed THEN 'failed' WHEN fits AND kind='complete' THEN 'succeeded' WHEN fits AND kind='fail' THEN CASE WHEN attempts<3 THEN 'pending' ELSE 'failed' END WHEN fits AND kind='release' THEN 'pending' WHEN kind='requeue' AND status='failed' THEN 'pending' ELSE status END AS status2
-  FROM (SELECT *, kind='claim' AND attempts<3 AND (lapsed OR (status='pending' AND available_at<=ts)) AS took
-   FROM (SELECT s.task_id, s.status, s.attempts, s.available_at, s.token, s.expires, s.score, ev.seq, ev.ts, ev.kind, ev.lease_token, ev.score AS score2, kind='claim' AND status='leased' AND expires<ts AS lapsed, status='leased' AND token IS NOT DISTINCT FROM lease_token AND kind IN ('complete','fail','release') AS fits
-    FROM s JOIN ev ON ev.task_id=s.task_id AND ev.seq=s.n+1))))
-SELECT task_id, status, attempts, token AS lease_token, score FROM s QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC)=1""")
+ SELECT task_id, seq,
+  CASE WHEN act IN ('mark','take') THEN 'leased' WHEN act IN ('fresh','again','redo','retry','back') THEN 'pending' WHEN act IN ('dead','lost') THEN 'failed' WHEN act='done' THEN 'succeeded' ELSE status END,
+  CASE WHEN act IN ('fresh','again','redo') OR (act='retry' AND rerun) THEN 0 WHEN act='take' THEN attempts+1 WHEN act='back' THEN greatest(0,attempts-1) ELSE attempts END,
+  CASE WHEN act IN ('fresh','again') THEN 0 WHEN act IN ('redo','lost','back') OR (act='take' AND lapsed) THEN ts WHEN act='retry' THEN ts+5 ELSE available_at END,
+  CASE WHEN act='take' THEN lease_token WHEN act IN ('mark','beat','none') THEN token END,
+  CASE WHEN act IN ('take','beat') THEN ts+180 WHEN act IN ('mark','none') THEN expires END,
+  CASE WHEN act IN ('redo','done') THEN score2 WHEN act IN ('retry','lost') THEN greatest(score,score2) ELSE score END,
+  CASE WHEN act='mark' THEN true WHEN act IN ('fresh','redo','retry') THEN false ELSE rerun END
+ FROM (SELECT *, CASE WHEN kind='enqueue' THEN CASE WHEN status='leased' THEN 'mark' ELSE 'fresh' END
+   WHEN kind='claim' AND lapsed AND attempts>=3 THEN 'dead' WHEN kind='claim' AND (lapsed OR (status='pending' AND available_at<=ts AND attempts<3)) THEN 'take'
+   WHEN kind='requeue' AND status='failed' THEN 'again' WHEN NOT fits THEN 'none' WHEN kind='heartbeat' THEN 'beat' WHEN kind='complete' THEN CASE WHEN rerun THEN 'redo' ELSE 'done' END
+   WHEN kind='fail' THEN CASE WHEN attempts<3 OR rerun THEN 'retry' ELSE 'lost' END WHEN kind='release' THEN 'back' ELSE 'none' END AS act
+  FROM (SELECT s.task_id, s.status, s.attempts, s.available_at, s.token, s.expires, s.score, s.rerun, ev.seq, ev.ts, ev.kind, ev.lease_token, ev.score AS score2,
+    status='leased' AND expires<ts AS lapsed, status='leased' AND token IS NOT DISTINCT FROM lease_token AS fits FROM s JOIN ev ON ev.task_id=s.task_id AND ev.seq=s.n+1)))
+SELECT task_id, status, attempts, available_at, token AS lease_token, expires AS lease_expires_at, score, rerun FROM s QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC)=1""")
 def state(attempts: DataFrame) -> DataFrame:
-    attempts.createOrReplaceTempView("fx_attempts_of_state")
-    events = attempts.sparkSession.sql(EVENTS.replace("fx_attempts", "fx_attempts_of_state"))
+    return history.task_state(task_events(attempts)).drop("max_attempts", "detailed", "result", "last_error")
+
+
+def task_events(attempts: DataFrame) -> DataFrame:
+    """Events made of attempts, behind one enqueue event for each task."""
+    events = attempts.sparkSession.sql(EVENTS.replace("fx_attempts", "{attempts}"), attempts=attempts)
     first = events.select("task_id").distinct().select("task_id", F.lit(0.0).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit("enqueue").alias("kind"), F.lit(None).cast("string").alias("lease_token"), F.lit(0.0).alias("score"))
-    return history.task_state(first.unionByName(events)).select("task_id", "status", "attempts", "lease_token", "score")
+    return first.unionByName(events)
+
+
+def as_stream(rows: DataFrame, order: list[str], files: int = 3) -> DataFrame:
+    """The rows as a stream that brings them in the given order, in files that come one after the other."""
+    where = shared_folder(rows.sparkSession)
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(where)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(where)
+
+
+@register("stm1_stream_upsert", "fx_stations", """
+WITH i AS (SELECT id AS pos, station_name, city, concat('road',CAST(id%3 AS VARCHAR)) AS address, current_price FROM fx_stations)
+SELECT station_name, city, address, max_by(current_price, pos) AS current_price FROM i GROUP BY station_name, city, address""")
+def upserts(stations: DataFrame) -> DataFrame:
+    """Stations of the names, cities and addresses that results bring, each with its last price; every batch touches all names' buckets once."""
+    spark, root = stations.sparkSession, shared_folder(stations.sparkSession)
+    results = stations.select(F.col("id").alias("pos"), "station_name", "city", F.concat(F.lit("road"), F.col("id") % 3).alias("address"), "current_price")
+    ingest.wait_for(ingest.stream_upsert(as_stream(results, ["pos"]), f"{root}/t", f"{root}/c", buckets=16))
+    return storage.BucketTable(spark, f"{root}/t", []).read().drop("id")
+
+
+@register("stm5_stream_first_seen", "fx_cards", "SELECT DISTINCT query_id, lower(replace(replace(regexp_replace(name, '[\\s（）()·•\\-—_　]+', '', 'g'), '汽车充电站', '充电站'), '超级充电站', '充电站')) AS norm_name FROM fx_cards")
+def first_seen(cards: DataFrame) -> DataFrame:
+    """The names of each search, once, as WIN-5 finds them, from a stream whose cards come in any order within its watermark."""
+    root = shared_folder(cards.sparkSession)
+    timed = cards.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("screen") * 60 + F.col("cy") / 60))
+    names = windows.stream_first_seen(as_stream(timed, ["cy", "query_id"]), "365 days").select("query_id", "norm_name")
+    names.writeStream.format("parquet").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return cards.sparkSession.read.schema("query_id long, norm_name string").parquet(f"{root}/out")
 
 
 register("win8_fenced_results", "fx_attempts", "WITH l AS (SELECT task_id, max(attempt_no) AS attempt_no FROM fx_attempts GROUP BY task_id) SELECT a.attempt_id, l.task_id, l.attempt_no FROM fx_attempts a JOIN l ON l.task_id=a.task_id AND a.attempt_no-a.attempt_id%2=l.attempt_no")(
@@ -88,12 +130,14 @@ def append(stations: DataFrame) -> DataFrame:
     return stations.sparkSession.read.parquet(f"{where}/ok").select("id", "station_name")
 
 
-@register("snk2_versioned_table", "fx_stations", "SELECT id, city FROM fx_stations WHERE id%2=0")
+@register("snk2_versioned_table", "fx_stations", "SELECT id, CASE WHEN id%7=0 THEN 'moved' ELSE city END AS city FROM fx_stations WHERE id%7<>1")
 def versioned(stations: DataFrame) -> DataFrame:
-    where = shared_folder(stations.sparkSession)
-    storage.write_version(stations.select("id", "city"), where, 1)
-    storage.write_version(storage.read_version(stations.sparkSession, where).where("id%2=0"), where, 2)
-    return storage.read_version(stations.sparkSession, where)
+    """A table of buckets after two commits, the second of which moves and removes rows of a part."""
+    table = storage.BucketTable(stations.sparkSession, shared_folder(stations.sparkSession), ["id"], 16)
+    table.apply(stations.select("id", "city"), 0, lambda _, batch, __: batch)
+    some = stations.where("id%7 in (0,1)").select("id", F.when(F.col("id") % 7 == 0, "moved").alias("city"))
+    table.apply(some, 1, lambda before, batch, _: before.join(batch, "id", "left_anti").unionByName(batch.where("city is not null")))
+    return table.read()
 
 
 @register("snk4_report", "fx_stations", "SELECT id, city FROM fx_stations")
