@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .components import components
+from .components import components, united
 
 CELL = 2048  # vectors that a cell is meant to hold, and the most in a block
 APART = 1e-3  # the least distance between pivots; what is divided by less is rounding noise
@@ -65,18 +65,6 @@ def strips(batches, width: dict[int, int]):
                 yield d, batch.take(pa.array(rows[at : at + step]))
 
 
-def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Merges the trees of i and j in an array of labels, in rounds over all pairs at once."""
-    while True:
-        a, b = label[i], label[j]
-        if not (differ := a != b).any():
-            return
-        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.T)))
 
