@@ -27,33 +27,63 @@ def compact_log(payload: Column, most: int = 60000) -> Column:
     return F.when(F.octet_length(whole) <= most, whole).otherwise(F.to_json(short, {"ignoreNullFields": "false"}))
 
 
+PART = 3  # characters of the parts that names are looked up by
+
+
+def _parts(name: Column, most: int) -> Column:
+    """All parts of a name of 1 to `most` characters, each once: at most `most` for each character."""
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substring(name, i, n))
+    return F.array_distinct(F.flatten(F.array(*[F.when(F.length(name) >= n, of_length(n)).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1)])))
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): names of the first table that stand inside longer ones of the second; both hold distinct names.
+
+    Outer names are indexed by their parts of up to PART characters. An inner name is looked up by its rarest part alone, of
+    PART characters or its own length, and what is found is verified; a name with a part that no outer name has is in none.
+    So an index row stands for each character of a name, not for each of its substrings, and pairs are as many as share
+    a name's rarest part.
+    """
+    index = outer.select(F.col("name").alias("outer"), F.explode(_parts(F.col("name"), PART)).alias("part"))
+    often = index.groupBy("part").agg(F.count("*").alias("n"))
+    own = F.least(F.length("name"), F.lit(PART))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - own + 1), lambda i: F.substring("name", i, own)))
+    asked = inner.select(F.col("name").alias("inner"), F.explode(pieces).alias("part")).join(often, "part", "left")
+    rarest = asked.groupBy("inner").agg(F.min_by("part", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("part"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    pairs = rarest.where("n > 0").select("inner", "part").join(index, "part")
+    return pairs.where((F.length("outer") > F.length("inner")) & F.contains("outer", "inner")).select("inner", "outer")
+
+
 def match_names(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """(target_id, candidate_id, score) of each target's best candidate: equal names, then the longest containment.
 
-    targets: target_id, name; candidates: candidate_id, name; the smaller candidate_id wins ties. Containment is an
-    equi-join with the substrings of the longer name, so no pair is compared that doesn't match; names are short
-    (TEXT_LIMITS), so a name's substrings are bounded.
+    targets: target_id, name; candidates: candidate_id, name; the smaller candidate_id wins ties. Names are compared in
+    their normal form, each distinct one once.
     """
     left = targets.select("target_id", normalize_name("name").alias("name")).where("name <> ''")
     right = candidates.select("candidate_id", normalize_name("name").alias("name")).where("name <> ''")
-    starts = lambda n: F.sequence(F.lit(1), F.length(n))
-    parts = lambda n: F.array_distinct(F.flatten(F.transform(starts(n), lambda i: F.transform(F.sequence(F.lit(1), F.length(n) - i + 1), lambda k: F.substring(n, i, k)))))
-    inside = right.select("candidate_id", F.col("name").alias("whole"), F.explode(parts(F.col("name"))).alias("name")).join(left, "name")
-    inside = inside.select("target_id", "candidate_id", F.when(F.col("whole") == F.col("name"), 1000).otherwise(800 + F.length("name")).alias("score"))
-    around = left.select("target_id", F.col("name").alias("whole"), F.explode(parts(F.col("name"))).alias("name")).where("name <> whole").join(right, "name")
-    found = inside.unionByName(around.select("target_id", "candidate_id", (700 + F.length("name")).alias("score")))
+    firsts = right.groupBy("name").agg(F.min("candidate_id").alias("candidate_id"))
+    names = left.select("name").distinct()
+    known = firsts.select("name")
+    equal = names.join(firsts, "name").select("name", "candidate_id", F.lit(1000).alias("score"))
+    inside = contained(names, known).join(firsts.withColumnRenamed("name", "outer"), "outer").select(F.col("inner").alias("name"), "candidate_id", (800 + F.length("inner")).alias("score"))
+    around = contained(known, names).join(firsts.withColumnRenamed("name", "inner"), "inner").select(F.col("outer").alias("name"), "candidate_id", (700 + F.length("inner")).alias("score"))
+    found = equal.unionByName(inside).unionByName(around)
     best = F.max_by("candidate_id", F.struct("score", (-F.col("candidate_id")).alias("first")))
-    return found.groupBy("target_id").agg(best.alias("candidate_id"), F.max("score").alias("score"))
+    return left.join(found.groupBy("name").agg(best.alias("candidate_id"), F.max("score").alias("score")), "name").select("target_id", "candidate_id", "score")
 
 
-def district_filter(results: DataFrame, mode: str = "district") -> DataFrame:
-    """results with decision and reason, from city, district, card_match, detail_match and, in grid mode, in_grid.
+def district_filter(results: DataFrame, mode: str = "district", accept: Column | None = None) -> DataFrame:
+    """results with decision and reason, from city, district, card_match, detail_match and a condition.
 
-    A search of a whole city asks for no match; an unknown district is kept only where a grid decides.
+    A search of a whole city asks for no match. `accept` is the caller's condition on a result, any boolean column; rows that
+    it doesn't hold for (or is null for) are skipped for `grid`, and an unknown district is kept only where it decides. In grid
+    mode the condition is in_grid unless another one is given.
     """
     narrow = F.col("district") != F.col("city")
-    grid = mode == "grid"
-    outside = ~F.coalesce("in_grid", F.lit(False)) if grid else F.lit(False)
+    accept = F.col("in_grid") if accept is None and mode == "grid" else accept
+    grid = accept is not None
+    outside = ~F.coalesce(accept, F.lit(False)) if grid else F.lit(False)
     reason = F.when(narrow & (F.col("card_match") == "outside"), "card").when(narrow & (F.col("detail_match") == "outside"), "detail").when(outside, "grid").when(narrow & (F.col("detail_match") == "unknown") & F.lit(not grid), "unknown").otherwise("")
     return results.withColumn("reason", reason).withColumn("decision", F.when(F.col("reason") == "", "keep").otherwise("skip"))
 

@@ -50,7 +50,18 @@ SELECT station_id, t AS time, coalesce(min_by(total_price,k) FILTER (total_price
 COUNTED = ["id", "station_name", "longitude", "latitude", "address", "business_hours", "current_price", "parking_fee", "fast_available", "fast_total"]
 
 
-@register("agg12_dedup_stations", "fx_stations")
+@register("agg12_dedup_stations", "fx_stations", f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY id) AS n, id, station_name, CAST(longitude AS DOUBLE) AS longitude, CAST(latitude AS DOUBLE) AS latitude,
+  {" + ".join(f"CASE WHEN {c} <> '' THEN 1 ELSE 0 END" for c in COUNTED if c not in ("id", "longitude", "latitude"))} AS filled FROM fx_stations WHERE longitude <> 0 AND latitude <> 0),
+ fold(n, kept, spot, r) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, station_name VARCHAR, longitude DOUBLE, latitude DOUBLE, filled INTEGER)[]), CAST(NULL AS BIGINT),
+   CAST(NULL AS STRUCT(id BIGINT, station_name VARCHAR, longitude DOUBLE, latitude DOUBLE, filled INTEGER))
+  UNION ALL
+  SELECT n, CASE WHEN spot IS NULL OR spot = 0 THEN list_append(kept, r) WHEN r.filled > kept[spot].filled THEN list_concat(kept[:spot-1], [r], kept[spot+1:]) ELSE kept END, spot, r
+  FROM (SELECT t.n, kept, list_position([CASE WHEN abs(k.latitude-t.latitude) >= 0.01 THEN false ELSE {KM.format(a="k", b="t")} < 0.1 OR (k.station_name = t.station_name AND {KM.format(a="k", b="t")} < 0.5) END FOR k IN kept], true) AS spot,
+    {{'id': t.id, 'station_name': t.station_name, 'longitude': t.longitude, 'latitude': t.latitude, 'filled': t.filled}} AS r FROM fold JOIN t ON t.n = fold.n + 1))
+SELECT id, station_name, city FROM fx_stations WHERE longitude IS NULL OR latitude IS NULL OR longitude = 0 OR latitude = 0
+ OR id IN (SELECT unnest([k.id FOR k IN kept]) FROM fold WHERE n = (SELECT count(*) FROM t))""")
 def dedup(stations: DataFrame) -> DataFrame:
     return geo.dedup_stations(stations, COUNTED, shared_folder(stations.sparkSession)).select("id", "station_name", "city")
 

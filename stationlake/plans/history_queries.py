@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import regions as R
 from ..operators import history, prices, stats, storage, tasks
-from ..sources import tables
+from ..sources import database, tables
 from ..streaming import ingest, windows
 from .registry import register, shared_folder
 
@@ -146,3 +147,82 @@ def report(stations: DataFrame) -> DataFrame:
     tables.write_report({"stations": stations.select("id", "city")}, where)
     return stations.sparkSession.read.schema("id long, city string").json(f"{where}/stations")
 
+
+
+STATION = "id long, station_name string, fast_prices array<struct<time:string, total_price:string, price:string>>"
+
+
+@register("src2_results_json", "fx_stations", "SELECT id, station_name, CASE WHEN id%3=0 THEN NULL ELSE current_price END AS total_price FROM fx_stations")
+def results_json(stations: DataFrame) -> DataFrame:
+    """Documents of some 50 stations each, half of them bare arrays, with prices under the newer or the older name."""
+    where = shared_folder(stations.sparkSession)
+    period = F.struct(F.lit("00:00-24:00").alias("time"), F.when(F.col("id") % 3 == 1, F.col("current_price")).alias("total_price"), F.when(F.col("id") % 3 == 2, F.col("current_price")).alias("price"))
+    record = F.struct("id", "station_name", F.array(period).alias("fast_prices"))
+    packed = stations.groupBy((F.col("id") % 30).alias("part")).agg(F.collect_list(record).alias("stations"))
+    named = F.to_json(F.struct(F.size("stations").alias("total"), "stations"))
+    shown = packed.select("part", F.when(F.col("part") % 2 == 0, named).otherwise(F.to_json("stations")).alias("value"))
+    shown.repartition(30, "part").write.partitionBy("part").text(where)
+    found = tables.read_results_json(stations.sparkSession, f"{where}/*/*.txt", T.StructType.fromDDL(STATION))
+    return found.select("id", "station_name", F.col("fast_prices")[0]["total_price"].alias("total_price"))
+
+
+@register("src3_station_tables", "fx_stations fx_tasks fx_attempts", """
+SELECT 'heavy_truck_stations' AS name, count(*) AS n, CAST(sum(id) AS BIGINT) AS keys, count(longitude) AS some FROM fx_stations
+UNION ALL SELECT 'station_tasks', count(*), CAST(sum(task_id) AS BIGINT), count(lease_expires_at) FROM fx_tasks UNION ALL SELECT 'task_attempts', count(*), CAST(sum(attempt_id) AS BIGINT), count(*) FROM fx_attempts""")
+def station_tables(stations: DataFrame, task_rows: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Three of the tables, written as they are and read under their schemas; columns that the files lack are null."""
+    spark, out = stations.sparkSession, []
+    for name, rows, some in (("heavy_truck_stations", stations.withColumn("id", F.col("id").cast("int")), "longitude"), ("station_tasks", task_rows, "lease_expires_at"), ("task_attempts", attempts, "attempt_no")):
+        kinds = {f.name: f.dataType for f in T.StructType.fromDDL(database.SCHEMAS[name])}
+        where = shared_folder(spark)
+        rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in rows.columns if c in kinds]).write.parquet(where)
+        read = database.read_parquet_table(spark, where, name)
+        out.append(read.agg(F.count("*").alias("n"), F.sum(database.KEYS[name]).cast("long").alias("keys"), F.count(some).alias("some")).select(F.lit(name).alias("name"), "n", "keys", "some"))
+    return out[0].union(out[1]).union(out[2])
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Writes each row (name, value) as a file of its own, value being its whole text.
+
+    Only for the few artifacts of a query's input: tasks write a folder for each row, and the driver names the files.
+    """
+    spark = rows.sparkSession
+    aside = f"{path.rstrip('/')}-aside"
+    rows.select("value", "name").write.mode("overwrite").partitionBy("name").text(aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(aside)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(path))
+    for folder in fs.listStatus(root):
+        if folder.isDirectory() and folder.getPath().getName().startswith("name="):
+            part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+            fs.rename(part, hadoop.Path(f"{path}/{folder.getPath().getName().removeprefix('name=')}"))
+    fs.delete(root, True)
+
+
+@register("src4_artifacts", "fx_attempts", """
+SELECT 'P'||task_id AS station_key, CAST(attempt_no AS INTEGER) AS attempt, CASE WHEN attempt_id%3=0 THEN 'xml' WHEN attempt_id%3=1 THEN 'json' ELSE 'both' END AS found,
+ CASE WHEN attempt_id%3<>1 THEN '<node id="'||attempt_id||'"/>'||chr(10) END AS xml, CASE WHEN attempt_id%3<>0 AND attempt_id%5<>0 THEN outcome END AS error, CASE WHEN attempt_id%3<>0 AND attempt_id%5=0 THEN 'broken'||chr(10) END AS context_raw
+FROM fx_attempts WHERE task_id%10=0 AND attempt_no<=5""")
+def artifacts(attempts: DataFrame) -> DataFrame:
+    """Two files for some attempts and one for others, some of them broken; a folder for each ending, written by Spark and named by rename."""
+    spark, where = attempts.sparkSession, shared_folder(attempts.sparkSession)
+    some = attempts.where("task_id%10=0 and attempt_no<=5")
+    context = F.when(F.col("attempt_id") % 5 == 0, "broken").otherwise(F.to_json(F.struct(F.concat(F.lit("P"), "task_id").alias("station_id"), F.col("attempt_no").cast("int").alias("attempt"), F.col("outcome").alias("error"))))
+    xml = F.concat(F.lit('<node id="'), "attempt_id", F.lit('"/>'))
+    rows = some.where("attempt_id%3<>1").select("task_id", "attempt_no", F.lit("xml").alias("ending"), xml.alias("value"))
+    rows = rows.unionByName(some.where("attempt_id%3<>0").select("task_id", "attempt_no", F.lit("json").alias("ending"), context.alias("value")))
+    name = F.concat(F.lit("P"), "task_id", F.lit("_attempt"), "attempt_no", F.lit("."), "ending")
+    write_files(rows.select(name.alias("name"), "value"), where)
+    found = tables.read_artifacts(spark, where)
+    return found.select("station_key", "attempt", "found", "xml", F.col("context.error").alias("error"), "context_raw")
+
+
+@register("src6_poi_write_back", "fx_poi", "SELECT station_id, name, address, CASE WHEN city='' THEN '补城' ELSE city END AS city FROM fx_poi")
+def poi_write_back(rows: DataFrame) -> DataFrame:
+    """A dimension that was read, filled, written back and read again."""
+    spark, (first, second) = rows.sparkSession, (shared_folder(rows.sparkSession) for _ in range(2))
+    tables.write_poi_lines(rows, first)
+    filled = tables.read_poi_lines(spark, first).withColumn("city", F.when(F.col("city") == "", "补城").otherwise(F.col("city")))
+    tables.write_poi_lines(filled, second)
+    return tables.read_poi_lines(spark, second).select("station_id", "name", "address", "city")

@@ -31,6 +31,11 @@ def verdicts(trail: DataFrame) -> DataFrame:
 
 register("flt7_district_filter", "fx_trail", f"SELECT query_id, pos, CASE WHEN city=district OR (card_match<>'outside' AND detail_match='target') THEN 'keep' ELSE 'skip' END AS decision FROM ({VERDICTS})")(lambda t: R.district_filter(verdicts(t)).select("query_id", "pos", "decision"))
 register("flt7_grid_filter", "fx_trail", f"SELECT query_id, pos, CASE WHEN in_grid AND (city=district OR (card_match<>'outside' AND detail_match<>'outside')) THEN 'keep' ELSE 'skip' END AS decision FROM ({VERDICTS})")(lambda t: R.district_filter(verdicts(t), "grid").select("query_id", "pos", "decision"))
+register("flt7_caller_filter", "fx_trail", f"""
+SELECT query_id, pos, CASE WHEN reason='' THEN 'keep' ELSE 'skip' END AS decision, reason FROM (SELECT *, CASE WHEN city<>district AND card_match='outside' THEN 'card'
+ WHEN city<>district AND detail_match='outside' THEN 'detail' WHEN pos%4=1 THEN 'grid' ELSE '' END AS reason FROM ({VERDICTS}))""")(
+    lambda t: R.district_filter(verdicts(t), accept=F.when(F.col("pos") % 4 == 1, None).otherwise(F.lit(True))).select("query_id", "pos", "decision", "reason")
+)
 
 
 @register("join9_resolve_coordinates", "fx_stations", """
@@ -68,16 +73,24 @@ def rows(stations: DataFrame, grids: DataFrame) -> DataFrame:
     return R.to_station_rows(found, grids, F.current_timestamp()).select("id", "station_name", "city", "tags", "collected_at")
 
 
-register("snk3_collection_logs", "fx_stations fx_grids", "SELECT 'station' AS layer, true AS success, count(*) AS n FROM fx_stations UNION ALL SELECT 'task', false, count(*) FROM fx_grids WHERE status='failed'")(
-    lambda s, g: R.build_collection_logs(s.withColumn("scan_task_id", F.col("id")), g).groupBy("layer", "success").agg(F.count("*").alias("n"))
+LOGGED = "scan_task_id := id, station_name := station_name, address := address, id := id, city := city, current_price := current_price"
+register("snk3_collection_logs", "fx_stations fx_grids", f"""
+SELECT 'station' AS layer, CAST(to_json(struct_pack({LOGGED})) AS VARCHAR) AS raw_data, true AS success, '' AS error FROM fx_stations
+UNION ALL SELECT 'task', CAST(to_json(struct_pack(id := id, city := city, status := status)) AS VARCHAR), false, 'failed' FROM fx_grids WHERE status='failed'""")(
+    lambda s, g: R.build_collection_logs(s.select("id", "station_name", "address", "city", "current_price", F.col("id").alias("scan_task_id")), g.select("id", "city", "status"))
 )
 BLANKS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 register("str2_text", "fx_logs", f"SELECT id, coalesce(regexp_replace(raw_data, '^{BLANKS}|{BLANKS}$', '', 'g'),'') AS t FROM fx_logs")(lambda x: x.select("id", C.text("raw_data").alias("t")))
 register("str5_json_field", "fx_stations", "SELECT id, CASE WHEN address='' THEN NULL ELSE concat('\"',address,'\"') END AS a, CASE WHEN current_price='' THEN NULL ELSE current_price END AS p FROM fx_stations")(lambda s: s.select("id", R.json_field("address").alias("a"), R.json_field("current_price").alias("p")))
-register("str6_compact_log", "fx_logs", "SELECT id, strlen(CAST(to_json(struct_pack(scan_task_id := id, station_name := 's', address := 'a', raw_data := raw_data)) AS VARCHAR))>10000 AS cut FROM fx_logs")(
-    lambda x: x.select("id", F.startswith(R.compact_log(F.struct(F.col("id").alias("scan_task_id"), F.lit("s").alias("station_name"), F.lit("a").alias("address"), "raw_data"), 10000), F.lit('{"truncated":true')).alias("cut"))
+register("str6_compact_log", "fx_logs", """
+WITH j AS (SELECT id, CAST(to_json(struct_pack(scan_task_id := id, station_name := 's', address := 'a', raw_data := raw_data)) AS VARCHAR) AS whole FROM fx_logs)
+SELECT id, CASE WHEN strlen(whole)<=1500 THEN whole ELSE CAST(to_json(struct_pack(truncated := true, original_bytes := strlen(whole), scan_task_id := id, station_name := 's', address := 'a')) AS VARCHAR) END AS log FROM j""")(
+    lambda x: x.select("id", R.compact_log(F.struct(F.col("id").alias("scan_task_id"), F.lit("s").alias("station_name"), F.lit("a").alias("address"), "raw_data"), 1500).alias("log"))
 )
-register("str7_utf8_truncate", "fx_logs", "SELECT id, strlen(raw_data)<=1000 AS whole FROM fx_logs")(lambda x: x.select("id", (C.utf8_truncate("raw_data", 1000) == F.col("raw_data")).alias("whole")))
+register("str7_utf8_truncate", "fx_logs", """
+WITH c AS (SELECT id, i, substr(raw_data, i, 1) AS c FROM (SELECT id, raw_data, unnest(range(1, least(length(raw_data), 1001)+1)) AS i FROM fx_logs)),
+t AS (SELECT id, i, c, sum(strlen(c)) OVER (PARTITION BY id ORDER BY i) AS bytes FROM c), k AS (SELECT id, string_agg(c, '' ORDER BY i) AS t FROM t WHERE bytes<=1000 GROUP BY id)
+SELECT l.id, CASE WHEN l.raw_data IS NULL THEN NULL ELSE coalesce(k.t, '') END AS t FROM fx_logs l LEFT JOIN k ON k.id=l.id""")(lambda x: x.select("id", C.utf8_truncate("raw_data", 1000).alias("t")))
 register("str8_normalize_ts", "fx_attempts", "SELECT attempt_id, started_at AS ts FROM fx_attempts")(
     lambda a: a.select("attempt_id", C.normalize_ts(F.concat(F.date_format(F.col("started_at") + F.expr("interval 8 hours"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+08:00")), F.current_timestamp()).alias("ts"))
 )

@@ -18,12 +18,18 @@ def read_station_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results_json(spark: SparkSession, path: str, station: T.StructType) -> DataFrame:
-    """Collected results: {"stations": [...]} documents or bare arrays of stations."""
+    """Collected results: {"stations": [...]} documents or bare arrays of stations.
+
+    Periods may give their price under its older name, price, where total_price is missing.
+    """
     rows = spark.read.text(path, wholetext=True)
     kind = station.simpleString()
     bare = F.from_json("value", f"array<{kind}>")
     named = F.from_json("value", f"struct<total:long, stations:array<{kind}>>")["stations"]
-    return rows.select(F.explode(F.when(F.ltrim("value").startswith("["), bare).otherwise(named)).alias("s")).select("s.*")
+    found = rows.select(F.explode(F.when(F.ltrim("value").startswith("["), bare).otherwise(named)).alias("s")).select("s.*")
+    priced = [f.name for f in station if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) and {"price", "total_price"} <= set(f.dataType.elementType.names)]
+    total = lambda p: p.withField("total_price", F.coalesce(F.nullif(p["total_price"], F.lit("")), p["price"], p["total_price"]))
+    return found.withColumns({c: F.transform(c, total) for c in priced}) if priced else found
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -37,6 +43,37 @@ def read_dumps(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(name.alias("station_key"), F.regexp_extract("file", r"_attempt(\d+)\.xml$", 1).try_cast("int").alias("attempt"), F.col("value").alias("xml"))
 
 
+CONTEXT = "struct<station_id:string, attempt:int, error:string, payload:string, captured_at:string>"
+
+
+def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """(station_key, attempt, xml, context, context_raw, found): saved dumps with the JSON context of the same attempt.
+
+    Both files of an attempt are named <station_key>_attempt<n>, so they are paired by that; found is both, xml or json, as one
+    of the two may be missing. A context that is no JSON object is null and stays in context_raw. payload is JSON text. Other
+    files are ignored.
+    """
+    name, pattern = F.col("_metadata.file_name"), r"^(.*)_attempt(\d+)\.(?:xml|json)$"
+    keys = (F.regexp_extract(name, pattern, 1).alias("station_key"), F.regexp_extract(name, pattern, 2).try_cast("int").alias("attempt"))
+
+    def files(ending: str, text: str) -> DataFrame:
+        rows = spark.read.schema("value string").text(path, wholetext=True, pathGlobFilter=f"*_attempt*.{ending}")
+        return rows.select(*keys, F.col("value").alias(text)).where("attempt is not null")
+
+    both = files("xml", "xml").join(files("json", "json"), ["station_key", "attempt"], "full_outer")
+    context = F.when(F.ltrim("json").startswith("{") & F.try_parse_json("json").isNotNull(), F.from_json("json", CONTEXT))
+    found = F.when(F.col("xml").isNull(), "json").when(F.col("json").isNull(), "xml").otherwise("both")
+    return both.select("station_key", "attempt", "xml", context.alias("context"), F.when(context.isNull(), F.col("json")).alias("context_raw"), found.alias("found"))
+
+
+def write_poi_lines(poi: DataFrame, path: str) -> None:
+    """Writes a POI dimension back, one JSON object to a line, for read_poi_lines(); the last row of an id wins."""
+    fields = ("name", "address", "city", "district", "location")
+    record = F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields])
+    one = poi.groupBy("station_id").agg(F.max(record).alias("p"))
+    one.select(F.to_json(F.create_map("station_id", "p")).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_poi_lines(spark: SparkSession, path: str) -> DataFrame:
     """A POI dimension of many JSON objects, one to a line, so that large files are split."""
     rows = spark.read.text(path).select(F.explode(F.from_json("value", POI)).alias("station_id", "p"))
