@@ -20,11 +20,14 @@ from .common import slices, table
 #: Fixed values of HTML: elements that break lines, have no end tag, or hold no text.
 BLOCKS = frozenset("html head body title article main section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption blockquote pre form fieldset legend button label select option address details summary hr center menu dialog iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SILENT = frozenset("script style noscript template svg math textarea object canvas audio video".split())
+RAW = frozenset("script style".split())  # end at their end tag or with the page
+SILENT = RAW | frozenset("noscript template svg textarea object canvas audio video".split())  # without an end tag only the tag is left out
+BROKEN = 8  # tags of a page whose quotes may be looked for in vain, before quotes are no longer looked at
 CLOSES_P = BLOCKS - {"html", "head", "body", "button", "label", "option"}
 
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>")  # where quotes don't close
+NAMED = re.compile(r"</?[A-Za-z]")
 ATTRIBUTE = re.compile(r"""(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HINTS = {
     "menu": "nav|menu|breadcrumb|pagination|pager|toc", "head": "header|masthead|topbar|logo|branding", "foot": "footer|copyright|legal|colophon",
@@ -56,7 +59,7 @@ class Markup:
     """The tags of a page, one after the other, in time linear in its length."""
 
     def __init__(self, page: str):
-        self.page, self.tag = page, TAG
+        self.page, self.broken, self.endless = page, 0, set()
 
     def next(self, at: int):
         """(where it begins, where it ends, match or None) of the next tag, comment or declaration; None if there is none."""
@@ -69,13 +72,11 @@ class Markup:
             if page[at + 1 : at + 2] in ("!", "?") and page[at + 1 : at + 2]:
                 end = page.find(">", at)
                 return (at, end + 1, None) if end >= 0 else None
-            if page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/":
-                m = self.tag.match(page, at)
-                if m is None and self.tag is TAG and page[at + 1 : at + 3].strip("/")[:1].isalpha():
-                    self.tag = PLAIN_TAG
-                    m = self.tag.match(page, at)
-                    if m is None and page.find(">", at) < 0:
-                        return None
+            if NAMED.match(page, at):
+                m = TAG.match(page, at) if self.broken < BROKEN else None
+                if m is None:
+                    self.broken += 1
+                    m = PLAIN_TAG.match(page, at)
                 if m:
                     return at, m.end(), m
                 if page.find(">", at) < 0:
@@ -84,8 +85,11 @@ class Markup:
         return None
 
     def behind(self, tag: str, at: int) -> int:
-        """Where the page goes on behind the end tag."""
-        end = re.compile(f"</{tag}", re.I).search(self.page, at)
+        """Where the page goes on behind the end tag, or behind the start tag of an element that is never closed."""
+        end = None if tag in self.endless else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.page, at)
+        if end is None and tag not in RAW:
+            self.endless.add(tag)
+            return at
         close = self.page.find(">", end.end()) if end else -1
         return close + 1 if close >= 0 else len(self.page)
 

@@ -63,6 +63,17 @@ def test_odd_pages_take_linear_time():
     import time
 
     start = time.time()
-    for page in ("<a " * 300_000, '<a "' * 300_000 + ">", "<div>a b " * 100_000, "<div>" * 100_000 + "x", "</div" * 200_000, "<!--" * 300_000, "<script></script" * 60_000, "<p title='" * 100_000, "< " * 500_000, "<p>x</q>" * 100_000):
+    for page in ("<a " * 300_000, '<a "' * 300_000 + ">", "<div>a b " * 100_000, "<div>" * 100_000 + "x", "</div" * 200_000, "<!--" * 300_000, "<script></script" * 60_000, "<p title='" * 100_000, "< " * 500_000, "<p>x</q>" * 100_000, "<svg>x" * 100_000, "<é>" * 200_000):
         H.main_text(page, H.trained())
     assert time.time() - start < 40
+
+
+def test_odd_markup_costs_no_text_and_gives_none():
+    texts = lambda page: [t for t, *_ in H.leaf_blocks(page)]
+    assert texts('<p>a <é b<p title="x > y">c</p>') == ["a <é b", "c"]
+    assert texts('<p>one<p class="x > y">three</p><p title="never closed>two</p><p>four') == ["one", "three", "two", "four"]
+    for tag in ("svg", "object", "canvas", "video", "audio", "math", "noscript"):
+        assert texts(f"<p>a</p><{tag}><p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["where x=2 holds"]
+    assert texts("<p>a<svg><text>drawn</text></svg>b</p><p>c</p><script>var x = '<p>no</p>'") == ["ab", "c"]
+    assert texts("<p>a</p><script>x</scripts></script ><p>b</p>") == ["a", "b"]
