@@ -109,10 +109,14 @@ def resolve_coordinates(stations: DataFrame, places: DataFrame, key: str = "id")
 
 
 def fill_poi(poi: DataFrame, regions: DataFrame, digits: int = 6) -> DataFrame:
-    """poi with blank address, city and district filled from regions by rounded coordinates; nothing is overwritten."""
+    """poi with blank address, city and district filled from regions by rounded coordinates; nothing is overwritten.
+
+    Of several regions at one place the first by city, district and address counts, at each run.
+    """
     at = [F.round(c, digits).cast(f"decimal(12,{digits})") for c in ("lng", "lat")]
     names = ("address", "city", "district")
-    known = regions.select(*[c.alias(k) for c, k in zip(at, ("_lng", "_lat"))], *[F.col(c).alias(f"_{c}") for c in names]).dropDuplicates(["_lng", "_lat"])
+    first = F.min(F.struct(*[text(c).alias(c) for c in ("city", "district", "address")])).alias("_r")
+    known = regions.groupBy(*[c.alias(k) for c, k in zip(at, ("_lng", "_lat"))]).agg(first).select("_lng", "_lat", *[F.col(f"_r.{c}").alias(f"_{c}") for c in names])
     rows = poi.join(known, (at[0] == F.col("_lng")) & (at[1] == F.col("_lat")), "left")
     wants = (text("city") == "") | (text("district") == "")
     filled = {c: F.when(wants & (text(c) == ""), text(f"_{c}")).otherwise(text(c)) for c in names}

@@ -84,9 +84,14 @@ SELECT id, CASE WHEN detail_verified THEN 25 ELSE 0 END+15+CASE WHEN address<>''
  detail_verified AND address<>'' AND n>=2 AS detailed, concat_ws(',',CASE WHEN NOT detail_verified THEN 'detail_verified' END,CASE WHEN address='' THEN 'address' END,CASE WHEN n<2 THEN 'operational_fields' END) AS missing FROM s""")(lambda s: C.evaluate_detail(s).select("id", "score", "detailed", F.concat_ws(",", "missing").alias("missing")))
 register("prj4_coverage_status", "fx_tasks", f"SELECT task_id, {STATUS} AS coverage_status FROM fx_tasks")(lambda t: covered(t).select("task_id", "coverage_status"))
 register("flt8_report_failures", "fx_tasks", f"SELECT task_id FROM fx_tasks WHERE {STATUS}<>'详细'")(lambda t: stats.report_failures(covered(t)).select("task_id"))
-register("prj5_equipment_summary", "fx_stations", "SELECT id, CASE WHEN fast_available<>'' OR fast_total<>'' THEN concat('快充 ',fast_available,'/',fast_total) ELSE '' END AS summary FROM fx_stations")(
-    lambda s: s.withColumns({f"{k}_{c}": F.lit("") for k, c in (("super", "available"), ("super", "total"), ("super", "power"), ("fast", "power"), ("slow", "available"), ("slow", "total"), ("slow", "power"))}).select("id", C.equipment_summary().alias("summary"))
-)
+register("prj5_equipment_summary", "fx_stations", """
+SELECT id, concat_ws('；', CASE WHEN id%3=0 THEN concat('超充 ',id%5,'/') WHEN id%3=1 THEN '超充 480kW' END, CASE WHEN fast_available<>'' OR fast_total<>'' THEN concat('快充 ',fast_available,'/',fast_total,' 120kW') ELSE '快充 120kW' END,
+ CASE WHEN id%7=0 THEN concat('慢充 /',id%4) END) AS summary FROM fx_stations""")(
+    lambda s: s.withColumns({
+        "super_available": F.when(F.col("id") % 3 == 0, (F.col("id") % 5).cast("string")), "super_total": F.lit(""), "super_power": F.when(F.col("id") % 3 == 1, "480kW"), "fast_power": F.lit("120kW"),
+        "slow_available": F.lit(None).cast("string"), "slow_total": F.when(F.col("id") % 7 == 0, (F.col("id") % 4).cast("string")).otherwise(""), "slow_power": F.lit(" "),
+    }).select("id", C.equipment_summary().alias("summary"))
+)
 DASH = "CASE WHEN {c}='' THEN '-' ELSE {c} END"
 register("prj6_price_schedule_text", "fx_price_periods", f"SELECT station_id, string_agg(trim(concat(time,' ',total_price,CASE WHEN elec_fee<>'' OR service_fee<>'' THEN concat('（电',{DASH.format(c='elec_fee')},'+服',{DASH.format(c='service_fee')},'）') ELSE '' END)),'；' ORDER BY pos) AS schedule FROM fx_price_periods GROUP BY station_id")(
     lambda p: prices.collect_periods(p, ["station_id"]).select("station_id", C.price_schedule_text("periods").alias("schedule"))
@@ -103,6 +108,14 @@ SELECT station_name, city, address, current_price FROM m UNION ALL SELECT c.stat
 register("join8_detail_rows", "fx_tasks fx_poi", "SELECT t.task_id, coalesce(p.city,'') AS city, coalesce(p.address,'') AS address FROM fx_tasks t LEFT JOIN fx_poi p ON p.station_id=t.station_id")(
     lambda t, p: tasks.build_detail_rows(t.withColumn("source_records", F.array(F.col("task_id"))).withColumns({c: F.lit("") for c in ("city", "district", "address")}), p).select("task_id", "city", "address")
 )
+register("join8_source_records", "fx_tasks", """
+SELECT task_id, CASE WHEN task_id%3=0 THEN concat('payload',CAST(task_id AS VARCHAR)) ELSE concat('record',CAST(k AS VARCHAR)) END AS record
+FROM (SELECT task_id, unnest(range(1, greatest(1, task_id%3)+1)) AS k FROM fx_tasks)""")(
+    lambda t: tasks.build_detail_rows(
+        t.withColumns({"payload": F.concat(F.lit("payload"), "task_id"), "source_records": F.when(F.col("task_id") % 3 > 0, F.transform(F.sequence(F.lit(1), (F.col("task_id") % 3).cast("int")), lambda k: F.concat(F.lit("record"), k)))} | {c: F.lit("") for c in ("city", "district", "address")}),
+        t.limit(0).select("station_id", *[F.lit("").alias(c) for c in ("city", "district", "address")]),
+    ).select("task_id", "record")
+)
 register("join11_attempt_history", "fx_tasks fx_attempts", "SELECT t.task_id, a.attempt_id, a.outcome FROM fx_tasks t LEFT JOIN fx_attempts a ON a.task_id=t.task_id")(lambda t, a: tasks.task_attempt_history(t, a).select("task_id", "attempt_id", "outcome"))
 register("join7_import_tasks", "fx_source_rows fx_tasks", f"""
 WITH n AS (SELECT {KEY} AS station_id, min_by(name,pos) AS payload, 150 AS priority, 2 AS max_attempts FROM fx_source_rows GROUP BY 1)

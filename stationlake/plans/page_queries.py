@@ -67,7 +67,8 @@ LINE = "concat(time, CASE WHEN tag<>'' THEN concat(' ',tag) ELSE '' END, CASE WH
 register("dmp1_explode_nodes", "fx_price_periods", f"SELECT station_id, CAST(row_number() OVER (PARTITION BY station_id ORDER BY pos)+1 AS INT) AS pos, 1 AS depth, {LINE} AS text FROM fx_price_periods WHERE time LIKE '%-%' OR time LIKE '%~%'")(
     lambda p: pages.explode_nodes(price_dumps(p)).where("tag='node' and pos>1").select("station_id", "pos", "depth", "text")
 )
-register("dmp2_malformed_pages", "fx_bad_dumps", "SELECT dump_id, 'unknown' AS kind, true AS bad FROM fx_bad_dumps")(lambda d: pages.assess_pages(pages.parse_dumps(d)).select("dump_id", "kind", F.col("error").isNotNull().alias("bad")))
+register("dmp2_malformed_pages", "fx_bad_dumps", "SELECT dump_id, CASE WHEN dump_id%3=0 THEN 'popup' ELSE 'unknown' END AS kind, dump_id%3<>0 AS bad FROM fx_bad_dumps")(
+    lambda d: pages.assess_pages(pages.parse_dumps(d.withColumn("xml", F.when(F.col("dump_id") % 3 == 0, '<hierarchy><node text="我知道了" bounds="[0,0][9,9]"/></hierarchy>').otherwise(F.col("xml"))))).select("dump_id", "kind", F.col("error").isNotNull().alias("bad")))
 register("dmp3_assess_pages", "fx_stations", """
 SELECT id AS dump_id, CASE WHEN id%17=0 THEN 'popup' WHEN id%4<>0 OR business_hours<>'' THEN 'detail' ELSE 'unknown' END AS kind,
  CASE WHEN id%17=0 THEN 0.9 WHEN id%4<>0 THEN 0.93 WHEN business_hours<>'' THEN 0.965 ELSE 0.2 END AS confidence, true AS expected_visible FROM fx_stations""")(
