@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import regions as R
 from ..operators import history, prices, stats, storage, tasks
 from ..sources import database, tables
-from ..streaming import ingest, windows
+from ..streaming import ingest, leases, windows
 from .registry import register, shared_folder
 
 EVENTS = """
@@ -20,7 +20,7 @@ SELECT task_id, CAST(attempt_no AS DOUBLE)*40.0 AS ts, attempt_no AS seq,
  CAST(attempt_id%101 AS DOUBLE) AS score FROM fx_attempts"""
 
 
-@register("stm4_task_state", "fx_attempts", f"""
+FOLDED = f"""
 WITH RECURSIVE ev AS ({EVENTS}), s(task_id, n, status, attempts, available_at, token, expires, score, rerun) AS (
  SELECT DISTINCT task_id, CAST(0 AS BIGINT), 'pending', 0, CAST(0 AS DOUBLE), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), false FROM ev
  UNION ALL
@@ -38,7 +38,10 @@ WITH RECURSIVE ev AS ({EVENTS}), s(task_id, n, status, attempts, available_at, t
    WHEN kind='fail' THEN CASE WHEN attempts<3 OR rerun THEN 'retry' ELSE 'lost' END WHEN kind='release' THEN 'back' ELSE 'none' END AS act
   FROM (SELECT s.task_id, s.status, s.attempts, s.available_at, s.token, s.expires, s.score, s.rerun, ev.seq, ev.ts, ev.kind, ev.lease_token, ev.score AS score2,
     status='leased' AND expires<ts AS lapsed, status='leased' AND token IS NOT DISTINCT FROM lease_token AS fits FROM s JOIN ev ON ev.task_id=s.task_id AND ev.seq=s.n+1)))
-SELECT task_id, status, attempts, available_at, token AS lease_token, expires AS lease_expires_at, score, rerun FROM s QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC)=1""")
+SELECT task_id, status, attempts, available_at, token AS lease_token, expires AS lease_expires_at, score, rerun FROM s QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC)=1"""
+
+
+@register("stm4_task_state", "fx_attempts", FOLDED)
 def state(attempts: DataFrame) -> DataFrame:
     return history.task_state(task_events(attempts)).drop("max_attempts", "detailed", "result", "last_error")
 
@@ -54,9 +57,26 @@ def as_stream(rows: DataFrame, order: list[str], files: int = 3) -> DataFrame:
     """The rows as a stream that brings them in the given order, in files that come one after the other."""
     where = shared_folder(rows.sparkSession)
     rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(where)
+    path, fs = storage.filesystem(rows.sparkSession, where)
+    parts = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for k, part in enumerate(parts):  # a stream takes files by their times
+        fs.setTimes(part, 1_700_000_000_000 + 60_000 * k, -1)
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(where)
 
 
+@register("stm4_stream_leases", "fx_attempts", f"""
+SELECT task_id, CASE WHEN status<>'leased' THEN status WHEN attempts<3 THEN 'pending' ELSE 'failed' END AS status, attempts, score, rerun FROM ({FOLDED})""")
+def leases_by_time(attempts: DataFrame) -> DataFrame:
+    """The same events as a stream, behind which time goes on: timers end the leases that no event ended."""
+    root = shared_folder(attempts.sparkSession)
+    events = task_events(attempts).withColumn("ts", F.col("ts") + 1e6)
+    clock = attempts.select(F.lit(-1).cast("long").alias("task_id"), F.lit(1e9).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit("enqueue").alias("kind"), F.lit(None).cast("string").alias("lease_token"), F.lit(0.0).alias("score"))
+    stream = as_stream(events.unionByName(clock.limit(1)), ["ts", "seq"])
+    leases.stream_lease_states(stream, f"{root}/t", f"{root}/c", "500000000 seconds").awaitTermination()
+    found = storage.BucketTable(attempts.sparkSession, f"{root}/t", []).read().where("task_id >= 0")
+    return found.select("task_id", "status", "attempts", "score", "rerun")
+
+
 @register("stm1_stream_upsert", "fx_stations", """
 WITH i AS (SELECT id AS pos, station_name, city, concat('road',CAST(id%3 AS VARCHAR)) AS address, current_price FROM fx_stations)
 SELECT station_name, city, address, max_by(current_price, pos) AS current_price FROM i GROUP BY station_name, city, address""")

@@ -13,6 +13,7 @@ from ..operators.history import ERROR_TEXT, EVENT, FIELDS, LEASE, MOST_ATTEMPTS,
 from ..operators.storage import BUCKETS, BucketTable
 from .ingest import keep_current
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 STATES = STATE[7:-1].replace(":", " ")
 
 
@@ -101,10 +102,16 @@ def lease_states(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def stream_lease_states(events: DataFrame, root: str, checkpoint: str, late: str = "10 minutes", buckets: int = BUCKETS) -> StreamingQuery:
-    """Keeps the states of tasks under root, by bucket; a task's latest change wins."""
+    """Keeps the states of tasks under root, by bucket; a task's latest change wins. The stream's state lies in RocksDB."""
 
     def change(before: DataFrame | None, batch: DataFrame, _) -> DataFrame:
         rows = batch if before is None else before.unionByName(batch)
         return rows.groupBy("task_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "task_id"]), "changes").alias("s")).select("task_id", "s.*")
 
-    return keep_current(lease_states(events, late), BucketTable(events.sparkSession, root, ["task_id"], buckets), checkpoint, change, mode="update")
+    conf = events.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the query keeps what it starts with
+    try:
+        return keep_current(lease_states(events, late), BucketTable(events.sparkSession, root, ["task_id"], buckets), checkpoint, change, mode="update")
+    finally:
+        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)

@@ -166,15 +166,7 @@ def test_the_rules_in_plans_and_outside_are_the_same(spark):
         assert got[t] == (tuple(state[f] for f in FIELDS) if state else (None,) * len(FIELDS)), steps
 
 
-@pytest.fixture
-def rocksdb(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-    spark.conf.unset(name)
-
-
-def test_leases_end_by_time_alone(spark, tmp_path, rocksdb):
+def test_leases_end_by_time_alone(spark, tmp_path):
     """The stream equals the batch at its watermark, with no event that says that a lease is over."""
     rng = random.Random(4)
     every = [e for t in range(20, 60) for e in made_up_log(rng, t) if e["kind"] != "expire"] + LOG[:-2]
