@@ -20,7 +20,7 @@ from .components import components
 
 BLOCK = 1024  # classes in a block of a tile at most
 BUNDLE = 60_000  # rows of small tiles that one group of a task holds
-DENSE = 16  # pairs for each class of a tile, beyond which the tile gives out the best ones first
+DENSE = 2  # pairs for each class of a tile, beyond which the tile gives out the best ones first
 
 
 def shared_members(keyed: DataFrame, scratch: Scratch) -> DataFrame:
