@@ -14,10 +14,12 @@ ODD = [
     (8, "x " * 25 + "Zz9" * 9 + "\nThe line that comes again\nthe  line that comes again.", "u", "fr"),
     (9, " ".join(f"w{i}" for i in range(60)) + "\nThe Line that comes again", "u", "fr"),
     (10, " ".join(f"w{i}" for i in range(59)) + " other", "v", "fr"),
+    (11, "Under THE MIT license, under the mit license; CC BY-NC. All inserted rights reserved", "v", "fr"),
+    (12, "é a b " * 7 + "b b b b b b a " * 9, "v", "fr"),
 ]
 
 
-@pytest.mark.parametrize("name", ["op3_recompression_dedup", "op6_fuzzy_line_dedup", "op7_ngram_jaccard_join", "op9_owned_secrets"])
+@pytest.mark.parametrize("name", ["op3_recompression_dedup", "op6_fuzzy_line_dedup", "op7_ngram_jaccard_join", "op9_owned_secrets", "op11_license_diagonals", "op13_periodic_runs"])
 def test_equals_sql(spark, tmp_path, name):
     """The queries and their SQL agree on odd rows, too."""
     con = duckdb.connect()
@@ -27,5 +29,5 @@ def test_equals_sql(spark, tmp_path, name):
     con.sql(f"COPY (FROM given UNION ALL FROM odd) TO '{tmp_path}/documents.parquet'")
     con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet'")
     want = con.sql(ORACLE_SQL[name])
-    rows = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()))
-    assert rows == sorted(want.fetchall())
+    rows = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()), key=str)
+    assert rows == sorted(want.fetchall(), key=str)
