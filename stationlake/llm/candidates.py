@@ -20,7 +20,7 @@ from .components import components
 
 BLOCK = 1024  # classes in a block of a tile at most
 BUNDLE = 60_000  # rows of small tiles that one group of a task holds
-DENSE = 2  # pairs for each class of a tile, beyond which the tile gives out the best ones first
+DENSE = 16  # pairs for each class of a tile, beyond which the tile gives out the best ones first
 
 
 def shared_members(keyed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -97,12 +97,12 @@ def first_of(*columns) -> np.ndarray:
     return np.unique(np.stack(columns), axis=1, return_index=True)[1]
 
 
-def chosen_pairs(i, j, score, tile, label, best: bool):
+def chosen_pairs(i, j, score, tile, label, best: bool, most: int = DENSE):
     """Which pairs a tile gives out, and whether it holds some back."""
     t = tile[i]
     size = np.searchsorted(tile, t, "right") - np.searchsorted(tile, t, "left")
     _, at, count = np.unique(t, return_inverse=True, return_counts=True)
-    dense = count[at] > DENSE * size
+    dense = count[at] > most * size
     if not best or not dense.any():
         return np.ones(len(i), bool), np.zeros(len(i), bool)
     order = np.argsort(-score, kind="stable")
@@ -132,7 +132,7 @@ def tiles_of(members: DataFrame, label: DataFrame, sets: DataFrame, keys: DataFr
     return rows.join(sets.select("class", "n", "bits"), "class")
 
 
-def tile_candidates(tiles: DataFrame, rows: int, passes, best: bool) -> DataFrame:
+def tile_candidates(tiles: DataFrame, rows: int, passes, best: bool, most: int = DENSE) -> DataFrame:
     """(a, b, key): the pairs that pass, each once for a bundle of tiles; with null a, b the keys of tiles that hold some back."""
     bundles = max(1, rows // BUNDLE)
 
@@ -146,7 +146,7 @@ def tile_candidates(tiles: DataFrame, rows: int, passes, best: bool) -> DataFram
         if not found:
             return pd.DataFrame({"a": [], "b": [], "key": []}, dtype="Int64")
         i, j, score = (np.concatenate(x) for x in zip(*found))
-        take, dense = chosen_pairs(i, j, score, tile, label, best)
+        take, dense = chosen_pairs(i, j, score, tile, label, best, most)
         back, i, j = np.unique(keys[i[dense]]), i[take], j[take]
         pairs = np.unique(np.stack([np.maximum(names[i], names[j]), np.minimum(names[i], names[j])]), axis=1)
         none = [pd.NA] * len(back)
@@ -155,11 +155,12 @@ def tile_candidates(tiles: DataFrame, rows: int, passes, best: bool) -> DataFram
     return tiles.groupBy(F.pmod("family", F.lit(bundles)).alias("bundle")).applyInPandas(run, "a long, b long, key long")
 
 
-def candidate_links(members: DataFrame, sets: DataFrame, scratch: Scratch, passes, exact) -> DataFrame:
+def candidate_links(members: DataFrame, sets: DataFrame, scratch: Scratch, passes, exact, most: int = DENSE) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of classes that share a key and for which exact holds.
 
     members: class, key, low, weight (of shared_members). sets: class, n, bits, payload. passes(n, bits, n, bits), on arrays,
-    gives (which pairs may be links, how well they agree); exact() makes a task's own check of two payloads; bits are bitmaps whose widths are powers of two of bytes.
+    gives (which pairs may be links, how well they agree); exact() makes a task's own check of two payloads; bits are bitmaps whose widths are powers of two of bytes. A tile with more than `most`
+    pairs for each of its classes gives out the best ones first.
     """
     shared = members.where("class <> low").groupBy("class", "low").agg(F.sum("weight").alias("keys"))
     star = shared.groupBy("class").agg(F.max_by("low", F.struct("keys", -F.col("low"))).alias("b"))
@@ -169,7 +170,7 @@ def candidate_links(members: DataFrame, sets: DataFrame, scratch: Scratch, passe
     for step in ("best", "next", "rest"):
         label = scratch.save(components(links, scratch, f"round-{step}"), f"label-{step}").toDF("class", "label")
         tiles = scratch.save(tiles_of(members, label, sets, keys), f"tiles-{step}")
-        found = scratch.save(tile_candidates(tiles, tiles.count(), passes, step != "rest"), f"found-{step}")
+        found = scratch.save(tile_candidates(tiles, tiles.count(), passes, step != "rest", most), f"found-{step}")
         scratch.drop(f"tiles-{step}")
         new = scratch.save(found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"tested-{step}")
         links = links.union(scratch.save(verified(new, sets, exact), f"links-{step}"))

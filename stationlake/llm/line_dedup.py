@@ -28,6 +28,7 @@ BINS = BANDS * ROWS
 CHUNK = 64_000  # bytes of lines that are hashed at a time, so that the arrays stay in the processor's cache
 FACTOR = np.uint64(0x5851F42D4C957F2D)
 UNEVEN = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
+BEST_FIRST = 2  # pairs for each class of a tile: lines share many bands, so that pairs would come out of many tiles
 EMPTY = np.uint32(0xFFFFFFFF)
 BORROW = np.random.default_rng(20240229).integers(0, BINS, (64, BINS))  # where empty bins look, one row after the other
 
@@ -188,7 +189,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataF
     wanted = firsts.groupBy("at.doc_id", "at.version").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), F.col("mark").alias("class"))).alias("wanted"))
     sets = chosen.join(wanted, ["doc_id", "version"]).mapInArrow(wanted_lines, "class long, n long, bits binary, payload binary")
     sets = scratch.save(sets.dropDuplicates(["class"]), "sets")
-    links = candidate_links(members, sets, scratch, bitmap_bound(percent), similar_lines(percent))
+    links = candidate_links(members, sets, scratch, bitmap_bound(percent), similar_lines(percent), BEST_FIRST)
     scratch.drop("sets", "members")
 
     # What isn't the first line of its component goes. Lines are known by both halves of their hash.
