@@ -7,14 +7,18 @@ no rule shuffles, and a page's size bounds what a row holds.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from types import SimpleNamespace
 from xml.etree import ElementTree
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_name
 from ..functions.regions import REGIONS
-from .prices import FIELDS, merge_price_periods
+from .prices import FIELDS, fold_price_periods
 
 NODE = "struct<pos:int, end_pos:int, depth:int, tag:string, text:string, desc:string, clickable:boolean, x1:int, y1:int, x2:int, y2:int>"
 BOUNDS = re.compile(r"\[(\d+),(\d+)\]\[(\d+),(\d+)\]")
@@ -35,38 +39,68 @@ LAYOUT_WORDS = {
 }
 
 
-def _nodes_of(xml: str | None, fallback: bool) -> tuple[list, str | None]:
-    """Nodes in page order; end_pos is the last position inside a node, so a.pos < n.pos <= a.end_pos finds ancestors."""
-    parser, open_nodes, nodes = ElementTree.XMLPullParser(["start", "end"]), [], []
-    try:
-        parser.feed(xml or "")
-        parser.close()
-        for event, e in parser.read_events():
-            if event == "end":
-                open_nodes.pop()["end_pos"] = len(nodes) - 1
-                continue
-            box = BOUNDS.match(e.get("bounds", ""))
-            box = [int(b) for b in box.groups()] if box and all(len(b) < 10 for b in box.groups()) else [None] * 4
-            node = {"pos": len(nodes), "end_pos": 0, "depth": len(open_nodes), "tag": e.tag, "text": e.get("text", "").strip(), "desc": e.get("content-desc", "").strip(), "clickable": e.get("clickable") == "true"}
-            node.update(zip(("x1", "y1", "x2", "y2"), box, strict=True))
-            nodes.append(node)
-            open_nodes.append(node)
-        return nodes, None
-    except ElementTree.ParseError as error:
-        found = re.findall(r'text="([^"]*)"', xml or "") if fallback else []
-        blank = dict.fromkeys(("x1", "y1", "x2", "y2"))
-        return [{"pos": i, "end_pos": i, "depth": 1, "tag": "node", "text": t.strip(), "desc": "", "clickable": False, **blank} for i, t in enumerate(found)], str(error)
+SLICE = 500
+PARTS_OF_NODE = {"depth": pa.int32(), "tag": pa.string(), "text": pa.string(), "desc": pa.string(), "clickable": pa.bool_(), **dict.fromkeys(("x1", "y1", "x2", "y2"), pa.int32())}
+
+
+@lru_cache(10_000)
+def _box_of(bounds: str) -> tuple:
+    found = BOUNDS.match(bounds)
+    return tuple(map(int, found.groups())) if found and all(len(b) < 10 for b in found.groups()) else (None,) * 4
+
+
+def _parsed(pages: pa.Array, fallback: bool) -> pa.Array:
+    """struct(nodes, error) of each page, nodes in page order; what a node is made of is held as one list for all pages.
+
+    end_pos is the last position inside a node, so a.pos < n.pos <= a.end_pos finds ancestors.
+    """
+    rows, ends, inside, errors, offsets = [], [], [], [], [0]
+
+    def start(tag: str, given: dict[str, str]) -> None:
+        get = given.get
+        rows.append((len(inside), tag, get("text", "").strip(), get("content-desc", "").strip(), get("clickable") == "true", *_box_of(get("bounds", ""))))
+        inside.append(len(ends))
+        ends.append(0)
+
+    def end(tag: str) -> None:
+        ends[inside.pop()] = len(ends) - 1
+
+    target = SimpleNamespace(start=start, end=end)
+    for xml in pages.to_pylist():
+        error = None
+        try:
+            parser = ElementTree.XMLParser(target=target)
+            parser.feed(xml or "")
+            parser.close()
+        except ElementTree.ParseError as e:
+            error = str(e)
+            inside.clear()
+            del rows[offsets[-1] :], ends[offsets[-1] :]
+            for t in re.findall(r'text="([^"]*)"', xml or "") if fallback else ():
+                rows.append((1, "node", t.strip(), "", False, None, None, None, None))
+                ends.append(len(ends))
+        errors.append(error)
+        offsets.append(len(rows))
+    first = np.repeat(offsets[:-1], np.diff(offsets))
+    places = {"pos": np.arange(len(rows)) - first, "end_pos": np.array(ends, int) - first}
+    parts = zip(*rows, strict=True) if rows else ((),) * len(PARTS_OF_NODE)
+    fields = {c: pa.array(v, pa.int32()) for c, v in places.items()} | {c: pa.array(v, kind) for v, (c, kind) in zip(parts, PARTS_OF_NODE.items(), strict=True)}
+    nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
+    return pa.StructArray.from_arrays([nodes, pa.array(errors, pa.string())], names=["nodes", "error"])
 
 
 def parse_dumps(dumps: DataFrame, on_malformed: str = "none") -> DataFrame:
     """dumps with nodes and error in the place of nothing: xml stays.
 
     A page that is no XML (null and empty ones too) gets its error, and no nodes; with on_malformed="texts", a node for
-    each text="..." in it.
+    each text="..." in it. Python holds the nodes of SLICE pages at a time; what it returns is columns.
     """
     fallback = on_malformed == "texts"
-    parse = F.udf(lambda xml: dict(zip(("nodes", "error"), _nodes_of(xml, fallback), strict=True)), f"struct<nodes:array<{NODE}>, error:string>", useArrow=True)
-    return dumps.withColumn("_p", parse("xml")).select("*", "_p.nodes", "_p.error").drop("_p")
+
+    def parse(xml: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_parsed(xml.slice(i, SLICE), fallback) for i in range(0, max(1, len(xml)), SLICE)])
+
+    return dumps.withColumn("_p", F.arrow_udf(parse, f"struct<nodes:array<{NODE}>, error:string>")("xml")).select("*", "_p.nodes", "_p.error").drop("_p")
 
 
 def explode_nodes(dumps: DataFrame, on_malformed: str = "none") -> DataFrame:
@@ -75,13 +109,23 @@ def explode_nodes(dumps: DataFrame, on_malformed: str = "none") -> DataFrame:
     return parse_dumps(dumps, on_malformed).select(*rest, "error", F.explode_outer("nodes").alias("n")).select(*rest, "n.*", "error")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed a single time.
+
+    An expression that a lambda names is computed again for each element, and the optimizer puts a column's expression in
+    the place of its name when it moves a filter; a lambda's own argument stays a value.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def page_texts(nodes: Column) -> Column:
     return F.filter(F.transform(nodes, lambda n: n["text"]), lambda t: t != "")
 
 
 def neighbours(texts: Column, ahead: int = 5) -> Column:
     """Each text with the one before it and the next ones: struct(i, prev, text, next1 ...)."""
-    return F.transform(texts, lambda t, i: F.struct(i.alias("i"), F.get(texts, i - 1).alias("prev"), t.alias("text"), *[F.get(texts, i + k).alias(f"next{k}") for k in range(1, ahead + 1)]))
+    around = lambda s: F.transform(s, lambda t, i: F.struct(i.alias("i"), F.get(s, i - 1).alias("prev"), t.alias("text"), *[F.get(s, i + k).alias(f"next{k}") for k in range(1, ahead + 1)]))
+    return once(texts, around)
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -156,27 +200,30 @@ def _value(n: Column) -> Column:
 
 def price_entry(nodes: Column) -> Column:
     """struct(marker, x1, y1, x2, y2, cx, cy) of the place that opens the price page, null without one."""
-    nodes = F.filter(nodes, lambda n: n["tag"] == "node")
-    pressable = F.filter(nodes, lambda n: n["clickable"] & n["x1"].isNotNull())
+    pressable = lambda nodes: F.filter(nodes, lambda n: n["clickable"] & n["x1"].isNotNull())
+    return once(F.filter(nodes, lambda n: n["tag"] == "node"), lambda nodes: once(pressable(nodes), lambda some: _entry(nodes, some)))
+
+
+def _entry(nodes: Column, pressable: Column) -> Column:
     above = lambda n: F.filter(pressable, lambda a: (a["pos"] < n["pos"]) & (n["pos"] <= a["end_pos"]))
     ranked = lambda a: F.struct(_area(a).alias("area"), (-a["pos"]).alias("far"), *_box(a))
     smallest = lambda many: F.array_min(F.transform(many, ranked))
-    block = lambda n: F.coalesce(smallest(F.filter(above(n), lambda a: (a["x2"] - a["x1"] >= 400) & (a["y2"] - a["y1"] >= 120))), smallest(above(n)))
+    block = lambda n: once(above(n), lambda many: F.coalesce(smallest(F.filter(many, lambda a: (a["x2"] - a["x1"] >= 400) & (a["y2"] - a["y1"] >= 120))), smallest(many)))
     own = lambda n: F.coalesce(smallest(above(n)), F.when(n["x1"].isNotNull(), ranked(n)))
     spot = lambda rule, place: F.get(F.filter(F.transform(F.filter(nodes, rule), place), lambda b: b.isNotNull()), F.lit(0))
 
     def is_card(c):
         values = F.filter(F.transform(F.filter(nodes, lambda n: (c["pos"] <= n["pos"]) & (n["pos"] <= c["end_pos"])), _value), lambda v: v != "")
         wide, high = c["x2"] - c["x1"], c["y2"] - c["y1"]
-        opens = F.array_contains(values, "查看") | F.array_join(values, "\n").rlike(PRICE_CHANGE)
-        return F.array_contains(values, "/度") & opens & (high <= F.greatest(F.lit(520), F.floor(wide * 0.7)))
+        opens = lambda v: F.array_contains(v, "查看") | F.array_join(v, "\n").rlike(PRICE_CHANGE)
+        return once(values, lambda v: F.array_contains(v, "/度") & opens(v)) & (high <= F.greatest(F.lit(520), F.floor(wide * 0.7)))
 
     changes, titled = (lambda n: _value(n).rlike(PRICE_CHANGE)), (lambda n: _value(n).isin("电价详情", "价格详情", "充电价格详情"))
     card = F.array_min(F.transform(F.filter(pressable, is_card), lambda a: F.struct(_area(a).alias("area"), a["pos"].alias("far"), *_box(a))))
     hinted = F.exists(nodes, lambda n: changes(n) | titled(n))
     ways = [("price_trend", spot(lambda n: F.contains(_value(n), F.lit(TREND)), block)), ("price_card", card), ("price_change", spot(changes, own)), ("price_detail", spot(titled, own)), ("price_unit", F.when(hinted, spot(lambda n: _value(n) == "/度", own)))]
-    marked = lambda m, b: F.when(b.isNotNull(), F.struct(F.lit(m).alias("marker"), *_box(b), F.floor((b["x1"] + b["x2"]) / 2).cast("int").alias("cx"), F.floor((b["y1"] + b["y2"]) / 2).cast("int").alias("cy")))
-    return F.coalesce(*[marked(m, b) for m, b in ways])
+    marked = lambda m: lambda b: F.when(b.isNotNull(), F.struct(F.lit(m).alias("marker"), *_box(b), F.floor((b["x1"] + b["x2"]) / 2).cast("int").alias("cx"), F.floor((b["y1"] + b["y2"]) / 2).cast("int").alias("cy")))
+    return F.coalesce(*[once(b, marked(m)) for m, b in ways])
 
 
 def classify_layout(parsed: DataFrame) -> DataFrame:
@@ -192,22 +239,28 @@ def classify_layout(parsed: DataFrame) -> DataFrame:
     return out.withColumn("scrolls_needed", F.when(F.col("layout") == "full_trend", 2).when(F.col("layout") == "basic", 0).otherwise(1))
 
 
-def equipment_facts(around: Column) -> dict[str, Column]:
-    """Free, total and power of super, fast and slow guns; a page's last mention of a kind counts."""
+def equipment(around: Column) -> Column:
+    """struct of free, total and power of super, fast and slow guns; a page's last mention of a kind counts."""
     hits = F.filter(around, lambda a: a["text"].isin("空闲", "空") & (a["i"] > 0) & a["next2"].isNotNull())
-    of_kind = lambda label, earlier: F.filter(hits, lambda a: F.contains(a["prev"], F.lit(label)) & ~_any(a["prev"], earlier))
-    out = {}
-    for kind, label, earlier in (("super", "超充", []), ("fast", "快充", ["超充"]), ("slow", "慢充", ["超充", "快充"])):
-        hit = F.try_element_at(of_kind(label, earlier), F.lit(-1))
-        power = [F.when(F.contains(hit[f"next{k}"], F.lit("kW")), hit[f"next{k}"]) for k in (3, 4, 5)]
-        out |= {f"{kind}_available": F.coalesce(hit["next1"], F.lit("")), f"{kind}_total": F.coalesce(F.replace(hit["next2"], F.lit("/")), F.lit("")), f"{kind}_power": F.coalesce(*power, F.lit(""))}
-    return out
+    last = lambda many, label, earlier: F.try_element_at(F.filter(many, lambda a: F.contains(a["prev"], F.lit(label)) & ~_any(a["prev"], earlier)), F.lit(-1))
+    power = lambda hit: F.coalesce(*[F.when(F.contains(hit[f"next{k}"], F.lit("kW")), hit[f"next{k}"]) for k in (3, 4, 5)], F.lit(""))
+    facts = lambda kind, hit: (F.coalesce(hit["next1"], F.lit("")).alias(f"{kind}_available"), F.coalesce(F.replace(hit["next2"], F.lit("/")), F.lit("")).alias(f"{kind}_total"), power(hit).alias(f"{kind}_power"))
+    kinds = {"super": ("超充", []), "fast": ("快充", ["超充"]), "slow": ("慢充", ["超充", "快充"])}
+    ends = once(hits, lambda many: F.struct(*[last(many, *words).alias(kind) for kind, words in kinds.items()]))
+    return once(ends, lambda e: F.struct(*[c for kind in kinds for c in facts(kind, e[kind])]))
+
+
+def equipment_facts(around: Column) -> dict[str, Column]:
+    """The fields of equipment() as columns of their own."""
+    facts = equipment(around)
+    return {f"{kind}_{c}": facts[f"{kind}_{c}"] for kind in ("super", "fast", "slow") for c in ("available", "total", "power")}
 
 
 def trend_periods(texts: Column, around: Column) -> tuple[Column, Column]:
     """(fast, slow) periods of the price trend inside a detail page; halves, where the page has both headings."""
     timed = lambda t: F.when((F.contains(t, F.lit("-")) & F.contains(t, F.lit(":"))) | (t == "当前时段"), t)
-    prices = F.filter(around, lambda a: F.startswith(a["text"], F.lit("￥")) & F.endswith(a["text"], F.lit("/度")))
+    shown = F.when(F.array_contains(texts, TREND), around).otherwise(F.slice(around, 1, 0))
+    prices = F.filter(shown, lambda a: F.startswith(a["text"], F.lit("￥")) & F.endswith(a["text"], F.lit("/度")))
     blank = F.lit("")
 
     def period(a):
@@ -215,16 +268,17 @@ def trend_periods(texts: Column, around: Column) -> tuple[Column, Column]:
         named["time"] = F.replace(F.coalesce(*[timed(a[c]) for c in ("text", "next1", "next2", "next3")], blank), F.lit("~"), F.lit("-"))
         return F.struct(*[named[c].alias(c) for c in FIELDS])
 
-    found = F.when(F.array_contains(texts, TREND), F.transform(prices, period)).otherwise(F.transform(F.filter(around, lambda a: F.lit(False)), period))
     both = F.array_contains(texts, "快充价格") & F.array_contains(texts, "慢充价格")
-    half = F.floor(F.size(found) / 2).cast("int")
-    return F.when(both, F.slice(found, F.lit(1), half)).otherwise(found), F.when(both, F.slice(found, half + 1, F.size(found))).otherwise(F.slice(found, 1, 0))
+    found = F.transform(prices, period)
+    half = lambda f: F.floor(F.size(f) / 2).cast("int")
+    fast = once(found, lambda f: F.when(both, F.slice(f, F.lit(1), half(f))).otherwise(f))
+    return fast, once(found, lambda f: F.when(both, F.slice(f, half(f) + 1, F.size(f))).otherwise(F.slice(f, 1, 0)))
 
 
 def extract_detail(parsed: DataFrame) -> DataFrame:
     """A detail page's fields beside the columns of parsed other than xml and nodes; what a page lacks is '' or []."""
     rest = [c for c in parsed.columns if c not in ("xml", "nodes")]
-    rows = parsed.withColumn("_texts", page_texts(F.col("nodes"))).withColumn("_near", neighbours(F.col("_texts")))
+    rows = parsed.withColumn("_texts", page_texts(F.col("nodes"))).withColumn("_near", neighbours(F.col("_texts"))).withColumn("_guns", equipment(F.col("_near")))
     texts, near = F.col("_texts"), F.col("_near")
     known = lambda words: F.array(*map(F.lit, words))
     has = lambda t, *words: _any(t, list(words))
@@ -236,16 +290,16 @@ def extract_detail(parsed: DataFrame) -> DataFrame:
     last = lambda rule: F.try_element_at(F.filter(texts, rule), F.lit(-1))
     minutes = last(lambda t: has(t, "分钟") & (F.length(t) <= 5) & F.trim(F.replace(t, F.lit("分钟"))).rlike(r"^[+-]?\d+$"))
     address = _first(texts, lambda t: (F.length(t) >= 6) & has(t, *ADDRESS_WORDS) & ~F.startswith(t, F.lit("停车费")) & ~F.startswith(t, F.lit("占位费")) & ~has(t, *NO_ADDRESS))
-    parts = F.filter(F.transform(F.split(address, r"[|｜]"), F.trim), lambda p: p != "")
     # The first part that is no facility begins the address.
-    begins = F.get(F.filter(F.transform(parts, lambda p, i: F.when(~F.array_contains(known(FACILITIES), p), i)), lambda i: i.isNotNull()), F.lit(0))
-    clean = F.when(begins.isNotNull(), F.array_join(F.slice(parts, begins + 1, F.size(parts)), " | ")).otherwise(address)
-    operator = F.coalesce(_first(texts, lambda t: F.array_contains(known(OPERATORS), t)), _first(known(OPERATORS), lambda o: F.contains(name, o)))
+    begins = lambda parts: F.get(F.filter(F.transform(parts, lambda p, i: F.when(~F.array_contains(known(FACILITIES), p), i)), lambda i: i.isNotNull()), F.lit(0))
+    cut = lambda address, parts: once(begins(parts), lambda b: F.when(b.isNotNull(), F.array_join(F.slice(parts, b + 1, F.size(parts)), " | ")).otherwise(address))
+    clean = once(address, lambda a: once(F.filter(F.transform(F.split(a, r"[|｜]"), F.trim), lambda p: p != ""), lambda parts: cut(a, parts)))
+    operator = F.coalesce(_first(texts, lambda t: F.array_contains(known(OPERATORS), t)), once(name, lambda n: _first(known(OPERATORS), lambda o: F.contains(n, o))))
     price = _first(near, lambda a: (a["text"] == "/度") & (a["i"] > 0) & F.replace(F.replace(a["prev"], F.lit(".")), F.lit("￥")).rlike(r"^\d+$"))["prev"]
     bare = lambda t: F.regexp_replace(t, "^[：:]+", "")
     behind = lambda t: F.substr(t, F.instr(t, "停车费") + 3)
-    parked = _first(texts, lambda t: has(t, "停车费", "停车免费"))
-    parking = F.when(F.startswith(parked, F.lit("停车费 ")), bare(F.substr(parked, F.lit(5)))).when(F.startswith(parked, F.lit("停车费")), bare(F.substr(parked, F.lit(4)))).when(has(parked, "停车免费"), "免费").otherwise(F.trim(bare(behind(parked))))
+    fee = lambda p: F.when(F.startswith(p, F.lit("停车费 ")), bare(F.substr(p, F.lit(5)))).when(F.startswith(p, F.lit("停车费")), bare(F.substr(p, F.lit(4)))).when(has(p, "停车免费"), "免费").otherwise(F.trim(bare(behind(p))))
+    parking = once(_first(texts, lambda t: has(t, "停车费", "停车免费")), fee)
     before = lambda label: _first(near, lambda a: (a["text"] == label) & (a["i"] > 0) & a["prev"].rlike(r"^\d+$"))["prev"]
     fast, slow = trend_periods(texts, near)
     fields = {
@@ -253,21 +307,32 @@ def extract_detail(parsed: DataFrame) -> DataFrame:
         "address": clean, "operator": operator, "current_price": price, "parking_fee": parking, "occupancy_fee": _first(texts, lambda t: has(t, "占位费")), "favorite_count": before("分享"), "view_count": before("浏览"),
         "price_trend_title": F.when(F.array_contains(texts, TREND), TREND),
     }
-    filled = {k: F.coalesce(c, F.lit("")) for k, c in fields.items()} | equipment_facts(near)
+    filled = {k: F.coalesce(c, F.lit("")) for k, c in fields.items()}
     lists = {"tags": F.array_distinct(F.filter(texts, lambda t: t.isin(*TAGS))), "facilities": facilities, "fast_prices": fast, "slow_prices": slow}
-    return rows.select(*rest, *[c.alias(k) for k, c in (filled | lists).items()])
+    return rows.select(*rest, *[c.alias(k) for k, c in filled.items()], "_guns.*", *[c.alias(k) for k, c in lists.items()])
 
 
 def _tokens(texts: Column) -> Column:
     """What each text of a price page says: a clock range, fees beside their labels, a label alone, or part of a number."""
     beside = lambda t, label: F.regexp_extract(t, rf"{label}\s*[:：]?\s*[￥¥]?\s*(\d+(?:\.\d+)?)", 1)
     number = lambda t: F.trim(F.regexp_replace(t, "[￥¥元]|/度", ""))
-    return F.transform(texts, lambda t: F.struct(
-        F.replace(F.regexp_extract(t, RANGE, 0), F.lit("~"), F.lit("-")).alias("time"), F.when(F.contains(t, F.lit("当前计费时段")), "当前计费时段").when(F.contains(t, F.lit("最低")), "最低").otherwise("").alias("tag"),
-        *[beside(t, label).alias(c) for c, label in (("total", "参考价"), ("elec", "电费"), ("service", "服务费"))],
-        F.regexp_extract(number(t), r"^\d{1,2}$", 0).alias("whole"), F.regexp_extract(number(t), r"^\.\d+$", 0).alias("fraction"), F.regexp_extract(number(t), r"^\d+\.\d+$", 0).alias("decimal"),
-        F.when(F.contains(t, F.lit("参考价")), "total").when(F.contains(t, F.lit("电费")), "elec").when(F.contains(t, F.lit("服务费")), "service").otherwise("").alias("label"),
-    ))
+
+    def token(t):
+        spoken = F.when(F.contains(t, F.lit("参考价")), "total").when(F.contains(t, F.lit("电费")), "elec").when(F.contains(t, F.lit("服务费")), "service").otherwise("")
+        fees = [beside(t, label).alias(c) for c, label in (("total", "参考价"), ("elec", "电费"), ("service", "服务费"))]
+        digits = once(number(t), lambda n: F.struct(*[F.regexp_extract(n, pattern, 0).alias(c) for c, pattern in (("whole", r"^\d{1,2}$"), ("fraction", r"^\.\d+$"), ("decimal", r"^\d+\.\d+$"))]))
+        time = F.replace(F.regexp_extract(t, RANGE, 0), F.lit("~"), F.lit("-"))
+        tag = F.when(F.contains(t, F.lit("当前计费时段")), "当前计费时段").when(F.contains(t, F.lit("最低")), "最低").otherwise("")
+        return once(F.struct(time.alias("time"), tag.alias("tag"), F.struct(*fees).alias("fees"), digits.alias("digits"), spoken.alias("label")), told)
+
+    def told(t):
+        fees, digits = [t["fees"][c].alias(c) for c in ("total", "elec", "service")], [t["digits"][c].alias(c) for c in ("whole", "fraction", "decimal")]
+        beside = F.concat(*fees) != ""
+        open_ = ~beside & (t["digits"]["whole"] == "")
+        valued = (t["label"] == "") & (F.concat(t["digits"]["fraction"], t["digits"]["decimal"]) != "")
+        return F.struct(t["time"].alias("time"), t["tag"].alias("tag"), t["label"].alias("label"), *fees, *digits, beside.alias("beside"), (open_ & (t["label"] != "")).alias("names"), (open_ & valued).alias("valued"))
+
+    return F.transform(texts, token)
 
 
 STATE = "struct<time:string, total:string, elec:string, service:string, tag:string, label:string, whole:string, done:array<struct<time:string, total:string, elec:string, service:string, tag:string>>>"
@@ -293,9 +358,7 @@ def price_page_periods(nodes: Column) -> Column:
         fresh = lambda c: F.when(opens, F.lit("")).otherwise(s[c])
         label, whole = (F.when(t["time"] != "", F.lit("")).otherwise(s[c]) for c in ("label", "whole"))
         inside = (t["time"] != "") | (s["time"] != "")
-        beside = F.concat(t["total"], t["elec"], t["service"]) != ""
-        names = ~beside & (t["whole"] == "") & (t["label"] != "")
-        valued = ~beside & (t["whole"] == "") & ~names & (F.concat(t["fraction"], t["decimal"]) != "")
+        beside, names, valued = t["beside"], t["names"], t["valued"]
         value = F.when(t["fraction"] != "", F.concat(F.when(whole == "", F.lit("0")).otherwise(whole), t["fraction"])).otherwise(t["decimal"])
         fee = lambda c: F.when(t[c] != "", t[c]).when(valued & (label == c), value).otherwise(fresh(c))
         out = {
@@ -313,7 +376,7 @@ def price_page_periods(nodes: Column) -> Column:
 def extract_price_detail(dumps: DataFrame, keys: list[str]) -> DataFrame:
     """Period rows of price pages, one for each time; malformed pages are read by their text="..." attributes."""
     pages = parse_dumps(dumps, "texts").select(*keys, F.posexplode(price_page_periods(F.col("nodes"))).alias("pos", "p"))
-    return merge_price_periods(pages.select(*keys, "pos", "p.*"), keys)
+    return fold_price_periods(pages.select(*keys, "pos", "p.*").na.drop(subset=keys), keys)
 
 
 def search_cards(parsed: DataFrame) -> DataFrame:
@@ -321,15 +384,16 @@ def search_cards(parsed: DataFrame) -> DataFrame:
     rest = [c for c in parsed.columns if c not in ("xml", "nodes", "error")]
     places = "|".join([d for names in REGIONS.values() for d in names.split()] + [f"{c}市" for c in REGIONS])
     nodes = F.filter("nodes", lambda n: n["tag"] == "node")
-    shown = F.filter(nodes, lambda n: n["clickable"] & n["x1"].isNotNull() & F.contains(n["desc"], F.lit("充电")) & ~F.startswith(n["desc"], F.lit("搜索框")))
+    shown = lambda nodes: F.filter(nodes, lambda n: n["clickable"] & n["x1"].isNotNull() & F.contains(n["desc"], F.lit("充电")) & ~F.startswith(n["desc"], F.lit("搜索框")))
 
-    def card(c):
+    def card(nodes, c):
         inner = F.transform(F.filter(nodes, lambda n: (c["pos"] <= n["pos"]) & (n["pos"] <= c["end_pos"]) & (n["text"] != "")), lambda n: n["text"])
         address = _first(inner, lambda t: ~t.rlike("[<>]") & ~F.contains(c["desc"], t) & t.rlike(places))
         middle = lambda a, b: F.floor((c[a] + c[b]) / 2).cast("int")
         return F.struct(middle("y1", "y2").alias("cy"), middle("x1", "x2").alias("cx"), c["pos"].alias("pos"), c["desc"].alias("name"), F.coalesce(address, F.lit("")).alias("address"), *_box(c))
 
-    return parsed.select(*rest, F.explode(F.array_sort(F.transform(shown, card))).alias("c")).select(*rest, "c.*").drop("pos")
+    cards = once(nodes, lambda nodes: F.array_sort(F.transform(shown(nodes), lambda c: card(nodes, c))))
+    return parsed.select(*rest, F.explode(cards).alias("c")).select(*rest, "c.*").drop("pos")
 
 
 def merge_dumps(fields: DataFrame, key: str, seq: str = "seq") -> DataFrame:
@@ -346,15 +410,19 @@ def merge_dumps(fields: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 
 def fold_periods(periods: Column) -> Column:
     """Periods of one source with those of one time folded into the first; rows without a time stay apart."""
-    placed = F.transform(periods, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-    leads = F.filter(placed, lambda a: (a["p"]["time"] == "") | ~F.exists(placed, lambda b: (b["i"] < a["i"]) & (b["p"]["time"] == a["p"]["time"])))
 
-    def folded(a):
+    def pick(a, same, c):
+        return F.coalesce(F.get(F.filter(F.transform(same, lambda p: p[c]), lambda v: v != ""), F.lit(0)), a["p"][c])
+
+    def folded(placed, a):
         same = F.transform(F.filter(placed, lambda b: (b["p"]["time"] == a["p"]["time"]) & (a["p"]["time"] != "")), lambda b: b["p"])
-        pick = lambda c: F.coalesce(F.get(F.filter(F.transform(same, lambda p: p[c]), lambda v: v != ""), F.lit(0)), a["p"][c])
-        return F.struct(*[(a["p"][c] if c in ("time", "source") else pick(c)).alias(c) for c in FIELDS])
+        return once(same, lambda same: F.struct(*[(a["p"][c] if c in ("time", "source") else pick(a, same, c)).alias(c) for c in FIELDS]))
+
+    def leads(placed):
+        return F.filter(placed, lambda a: (a["p"]["time"] == "") | ~F.exists(placed, lambda b: (b["i"] < a["i"]) & (b["p"]["time"] == a["p"]["time"])))
 
-    return F.transform(leads, folded)
+    placed = F.transform(periods, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+    return once(placed, lambda placed: F.transform(leads(placed), lambda a: folded(placed, a)))
 
 
 def assemble_stations(merged: DataFrame, price_periods: DataFrame, given: DataFrame, key: str) -> DataFrame:

@@ -43,15 +43,20 @@ def lower_half() -> list[Column]:
     ]
 
 
+def spread(stations: DataFrame) -> DataFrame:
+    """stations dealt by id over all tasks; a small file of many rows would leave all pages to the task that reads it."""
+    return stations.repartition(4 * stations.sparkSession.sparkContext.defaultParallelism, "id")
+
+
 def detail_dumps(stations: DataFrame) -> DataFrame:
-    return stations.select(F.col("id").alias("dump_id"), "station_name", hierarchy(*upper_half(), *lower_half()).alias("xml"))
+    return spread(stations).select(F.col("id").alias("dump_id"), "station_name", hierarchy(*upper_half(), *lower_half()).alias("xml"))
 
 
 def scrolled_dumps(stations: DataFrame) -> DataFrame:
     """Two pages of each station; the second shows another station's name and address too."""
     other = [node(desc="旁边充电站"), node("河南省郑州市旁边路9号"), node("地下")]
     both = F.array(F.struct(F.lit(0).alias("seq"), hierarchy(*upper_half()).alias("xml")), F.struct(F.lit(1).alias("seq"), hierarchy(*other, *lower_half()).alias("xml")))
-    return stations.select("id", F.explode(both).alias("d")).select("id", "d.seq", "d.xml")
+    return spread(stations).select("id", F.explode(both).alias("d")).select("id", "d.seq", "d.xml")
 
 
 def price_dumps(periods: DataFrame) -> DataFrame:
