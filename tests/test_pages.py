@@ -1,5 +1,7 @@
 """Pages that are odd: no XML, nothing at all, prices in pieces."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from stationlake.operators import pages
@@ -22,3 +24,38 @@ def test_prices_in_pieces(spark):
     row = spark.createDataFrame([(1, xml)], "dump_id long, xml string")
     got = pages.parse_dumps(row).select(pages.price_page_periods(F.col("nodes")).alias("p")).first().p
     assert [tuple(p)[:5] for p in got] == [("00:00-08:00", "1.45", "0.90", "0.55", "最低"), ("08:00-20:00", "0.8", "", "", "")]
+
+
+def test_an_expression_of_texts_is_computed_once_a_page(spark):
+    """Texts given as an expression, as a moved filter leaves them: each text took all of them to be found anew."""
+    nodes = "".join(f'<node text="{t}"/>' for t in ["快充", "空闲", "3", "/8", "120kW"] + ["x"] * 2000)
+    df = spark.createDataFrame([(1, f"<hierarchy>{nodes}</hierarchy>")], "dump_id long, xml string")
+    near = pages.neighbours(pages.page_texts(F.col("nodes")))
+    start = time.monotonic()
+    row = pages.parse_dumps(df).withColumns(pages.equipment_facts(near)).select("fast_available", "fast_total", "fast_power", "slow_total").first()
+    assert tuple(row) == ("3", "8", "120kW", "") and time.monotonic() - start < 60
+
+
+def test_a_filter_on_what_pages_hold_parses_them_once(spark):
+    df = spark.createDataFrame([(i, f'<a><node text="t{i}"/></a>') for i in range(9)], "dump_id long, xml string").repartition(3, "dump_id")
+    some = pages.parse_dumps(df).select("dump_id", F.size("nodes").alias("n")).where("n > 1")
+    assert some.count() == 9
+    assert some._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_parsed_nodes_keep_their_places_over_slices(spark):
+    xml = '<a><b text=" 1 " bounds="[1,2][3,4]"><c content-desc="d" clickable="true"/></b><b bounds="[9999999999,0][1,1]"/></a>'
+    pages_of = [(i, "<a><b>" if i % 7 == 3 else xml) for i in range(3 * pages.SLICE + 1)]
+    got = {r.dump_id: r for r in pages.parse_dumps(spark.createDataFrame(pages_of, "dump_id long, xml string").coalesce(1)).collect()}
+    want = [(0, 3, 0, "a", "", "", False, *[None] * 4), (1, 2, 1, "b", "1", "", False, 1, 2, 3, 4), (2, 2, 2, "c", "", "d", True, *[None] * 4), (3, 3, 1, "b", "", "", False, *[None] * 4)]
+    assert len(got) == len(pages_of)
+    for i, r in got.items():
+        assert ([tuple(n) for n in r.nodes], r.error is None) == (([], False) if i % 7 == 3 else (want, True))
+
+
+def test_pages_of_one_key_fold_and_those_of_none_go(spark):
+    page = lambda *fees: "<a>" + "".join(f'<node text="{t}"/>' for t in fees) + "</a>"
+    rows = [(1, page("00:00-08:00 参考价1.2")), (1, page("08:00-09:00 参考价1.3")), (None, page("00:00-08:00 参考价9"))]
+    found = pages.extract_price_detail(spark.createDataFrame(rows, "id long, xml string"), ["id"])
+    assert sorted((r.id, r.time, r.total_price) for r in found.collect()) == [(1, "00:00-08:00", "1.2"), (1, "08:00-09:00", "1.3")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
