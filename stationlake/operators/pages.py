@@ -93,14 +93,16 @@ def parse_dumps(dumps: DataFrame, on_malformed: str = "none") -> DataFrame:
     """dumps with nodes and error in the place of nothing: xml stays.
 
     A page that is no XML (null and empty ones too) gets its error, and no nodes; with on_malformed="texts", a node for
-    each text="..." in it. Python holds the nodes of SLICE pages at a time; what it returns is columns.
+    each text="..." in it. Python holds the nodes of SLICE pages at a time; what it returns is columns. The parser is
+    declared non-deterministic, so that no filter on what it finds has pages parsed twice, once before they are dealt out.
     """
     fallback = on_malformed == "texts"
 
     def parse(xml: pa.Array) -> pa.Array:
         return pa.concat_arrays([_parsed(xml.slice(i, SLICE), fallback) for i in range(0, max(1, len(xml)), SLICE)])
 
-    return dumps.withColumn("_p", F.arrow_udf(parse, f"struct<nodes:array<{NODE}>, error:string>")("xml")).select("*", "_p.nodes", "_p.error").drop("_p")
+    parser = F.arrow_udf(parse, f"struct<nodes:array<{NODE}>, error:string>").asNondeterministic()
+    return dumps.withColumn("_p", parser("xml")).select("*", "_p.nodes", "_p.error").drop("_p")
 
 
 def explode_nodes(dumps: DataFrame, on_malformed: str = "none") -> DataFrame:
@@ -319,18 +321,22 @@ def _tokens(texts: Column) -> Column:
 
     def token(t):
         spoken = F.when(F.contains(t, F.lit("参考价")), "total").when(F.contains(t, F.lit("电费")), "elec").when(F.contains(t, F.lit("服务费")), "service").otherwise("")
-        fees = [beside(t, label).alias(c) for c, label in (("total", "参考价"), ("elec", "电费"), ("service", "服务费"))]
-        digits = once(number(t), lambda n: F.struct(*[F.regexp_extract(n, pattern, 0).alias(c) for c, pattern in (("whole", r"^\d{1,2}$"), ("fraction", r"^\.\d+$"), ("decimal", r"^\d+\.\d+$"))]))
+        fees = [F.when(spoken != "", beside(t, label)).otherwise("").alias(c) for c, label in (("total", "参考价"), ("elec", "电费"), ("service", "服务费"))]
         time = F.replace(F.regexp_extract(t, RANGE, 0), F.lit("~"), F.lit("-"))
         tag = F.when(F.contains(t, F.lit("当前计费时段")), "当前计费时段").when(F.contains(t, F.lit("最低")), "最低").otherwise("")
-        return once(F.struct(time.alias("time"), tag.alias("tag"), F.struct(*fees).alias("fees"), digits.alias("digits"), spoken.alias("label")), told)
-
-    def told(t):
-        fees, digits = [t["fees"][c].alias(c) for c in ("total", "elec", "service")], [t["digits"][c].alias(c) for c in ("whole", "fraction", "decimal")]
-        beside = F.concat(*fees) != ""
-        open_ = ~beside & (t["digits"]["whole"] == "")
-        valued = (t["label"] == "") & (F.concat(t["digits"]["fraction"], t["digits"]["decimal"]) != "")
-        return F.struct(t["time"].alias("time"), t["tag"].alias("tag"), t["label"].alias("label"), *fees, *digits, beside.alias("beside"), (open_ & (t["label"] != "")).alias("names"), (open_ & valued).alias("valued"))
+        return once(F.struct(t.alias("t"), time.alias("time"), tag.alias("tag"), *fees, spoken.alias("label")), lambda s: once(digits(s), lambda d: told(s, d)))
+
+    def digits(s):
+        # Fees beside their labels leave no number to look for.
+        of = lambda n: F.struct(*[F.regexp_extract(n, pattern, 0).alias(c) for c, pattern in (("whole", r"^\d{1,2}$"), ("fraction", r"^\.\d+$"), ("decimal", r"^\d+\.\d+$"))])
+        return F.when((s["total"] == "") & (s["elec"] == "") & (s["service"] == ""), once(number(s["t"]), of)).otherwise(of(F.lit("")))
+
+    def told(s, d):
+        beside = (s["total"] != "") | (s["elec"] != "") | (s["service"] != "")
+        open_ = ~beside & (d["whole"] == "")
+        valued = (s["label"] == "") & ((d["fraction"] != "") | (d["decimal"] != ""))
+        kept = [s[c].alias(c) for c in ("time", "tag", "total", "elec", "service", "label")] + [d[c].alias(c) for c in ("whole", "fraction", "decimal")]
+        return F.struct(*kept, beside.alias("beside"), (open_ & (s["label"] != "")).alias("names"), (open_ & valued).alias("valued"))
 
     return F.transform(texts, token)
 
