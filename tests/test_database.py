@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import types as T
 
+from stationlake.plans import history_queries
 from stationlake.sources import database, tables
 
 AT = "2024-01-02 03:04:05"
@@ -60,3 +61,13 @@ def test_results_with_older_prices(spark, tmp_path):
     (tmp_path / "b.json").write_text(' [{"id": 3, "fast_prices": [{"total_price": "0.7", "price": "9"}, {"total_price": ""}]}]')
     got = {r.id: r.fast_prices and [p.total_price for p in r.fast_prices] for r in tables.read_results_json(spark, str(tmp_path), kind).collect()}
     assert got == {1: ["0.5", "0.6"], 2: None, 3: ["0.7", ""]}
+
+
+def test_tasks_write_files_under_the_names_given(spark, tmp_path):
+    """Names stay as they are; the driver had renamed folders, whose names Spark escapes."""
+    rows = [(f"P={i}_attempt1.xml", f"<a{i}/>\n<b/>" if i else None) for i in range(40)]
+    where = f"file:{tmp_path}/made"
+    history_queries.write_files(spark.createDataFrame(rows, "name string, value string").repartition(5), where)
+    assert {f.name: f.read_text() for f in (tmp_path / "made").iterdir()} == {n: f"{v or ''}\n" for n, v in rows}
+    got = {(r.station_key, r.attempt, r.found) for r in tables.read_artifacts(spark, where).collect()}
+    assert got == {(f"P={i}", 1, "xml") for i in range(40)}
