@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from types import SimpleNamespace
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,11 @@ LAYOUT_WORDS = {
 
 
 SLICE = 500
-PARTS_OF_NODE = {"depth": pa.int32(), "tag": pa.string(), "text": pa.string(), "desc": pa.string(), "clickable": pa.bool_(), **dict.fromkeys(("x1", "y1", "x2", "y2"), pa.int32())}
+# Where a node lies in its page, what it says, and where it lies on the screen.
+PLACE, SAID, BOX = ("pos", "end_pos", "depth"), ("tag", "text", "desc"), ("x1", "y1", "x2", "y2")
+PARTS_OF_NODE = {**dict.fromkeys(PLACE, pa.int32()), **dict.fromkeys(SAID, pa.string()), "clickable": pa.bool_(), **dict.fromkeys(BOX, pa.int32())}
+# What assess_pages() and extract_detail() ask of a node.
+JUDGED, WORDS = (*SAID, "clickable"), ("text", "desc")
 
 
 @lru_cache(10_000)
@@ -49,66 +53,92 @@ def _box_of(bounds: str) -> tuple:
     return tuple(map(int, found.groups())) if found and all(len(b) < 10 for b in found.groups()) else (None,) * 4
 
 
-def _parsed(pages: pa.Array, fallback: bool) -> pa.Array:
+def _fault(xml: str) -> str | None:
+    """Why xml is no page; entities that only a document type left unread would tell of are faults too."""
+    try:
+        ElementTree.fromstring(xml)
+    except ElementTree.ParseError as e:
+        return str(e)
+    return None
+
+
+def _parsed(pages: pa.Array, fallback: bool, parts: tuple[str, ...]) -> pa.Array:
     """struct(nodes, error) of each page, nodes in page order; what a node is made of is held as one list for all pages.
 
     end_pos is the last position inside a node, so a.pos < n.pos <= a.end_pos finds ancestors.
     """
-    rows, ends, inside, errors, offsets = [], [], [], [], [0]
+    tags, given, ends, depths, inside, errors, offsets = [], [], [], [], [], [], [0]
+    placed = "end_pos" in parts or "depth" in parts
 
-    def start(tag: str, given: dict[str, str]) -> None:
-        get = given.get
-        rows.append((len(inside), tag, get("text", "").strip(), get("content-desc", "").strip(), get("clickable") == "true", *_box_of(get("bounds", ""))))
+    def start(tag: str, attributes: dict[str, str]) -> None:
+        tags.append(tag)
+        given.append(attributes)
+
+    def start_placed(tag: str, attributes: dict[str, str]) -> None:
+        start(tag, attributes)
+        depths.append(len(inside))
         inside.append(len(ends))
         ends.append(0)
 
     def end(tag: str) -> None:
         ends[inside.pop()] = len(ends) - 1
 
-    target = SimpleNamespace(start=start, end=end)
     for xml in pages.to_pylist():
-        error = None
+        xml, error = xml or "", None
         try:
-            parser = ElementTree.XMLParser(target=target)
-            parser.feed(xml or "")
-            parser.close()
-        except ElementTree.ParseError as e:
+            error = _fault(xml) if "<!DOCTYPE" in xml else None
+            if error is None:
+                parser = expat.ParserCreate(None, "}")
+                parser.StartElementHandler = start_placed if placed else start
+                if placed:
+                    parser.EndElementHandler = end
+                parser.Parse(xml, True)
+        except expat.ExpatError as e:
             error = str(e)
+        if error is not None:
+            for many in (tags, given, ends, depths):
+                del many[offsets[-1] :]
             inside.clear()
-            del rows[offsets[-1] :], ends[offsets[-1] :]
-            for t in re.findall(r'text="([^"]*)"', xml or "") if fallback else ():
-                rows.append((1, "node", t.strip(), "", False, None, None, None, None))
+            for t in re.findall(r'text="([^"]*)"', xml) if fallback else ():
+                start("node", {"text": t})
+                depths.append(1)
                 ends.append(len(ends))
         errors.append(error)
-        offsets.append(len(rows))
+        offsets.append(len(tags))
     first = np.repeat(offsets[:-1], np.diff(offsets))
-    places = {"pos": np.arange(len(rows)) - first, "end_pos": np.array(ends, int) - first}
-    parts = zip(*rows, strict=True) if rows else ((),) * len(PARTS_OF_NODE)
-    fields = {c: pa.array(v, pa.int32()) for c, v in places.items()} | {c: pa.array(v, kind) for v, (c, kind) in zip(parts, PARTS_OF_NODE.items(), strict=True)}
-    nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
-    return pa.StructArray.from_arrays([nodes, pa.array(errors, pa.string())], names=["nodes", "error"])
+    made = {
+        "pos": lambda: np.arange(len(tags)) - first, "end_pos": lambda: np.array(ends, int) - first, "depth": lambda: depths, "tag": lambda: ["{" + t if "}" in t else t for t in tags],
+        "text": lambda: [g.get("text", "").strip() for g in given], "desc": lambda: [g.get("content-desc", "").strip() for g in given], "clickable": lambda: [g.get("clickable") == "true" for g in given],
+    }
+    boxes = list(zip(*[_box_of(g.get("bounds", "")) for g in given], strict=True)) if set(BOX) & set(parts) else []
+    made |= {c: lambda i=i: boxes[i] if boxes else () for i, c in enumerate(BOX)}
+    nodes = pa.StructArray.from_arrays([pa.array(made[c](), PARTS_OF_NODE[c]) for c in parts], names=list(parts))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes), pa.array(errors, pa.string())], names=["nodes", "error"])
 
 
-def parse_dumps(dumps: DataFrame, on_malformed: str = "none") -> DataFrame:
+def parse_dumps(dumps: DataFrame, on_malformed: str = "none", parts: tuple[str, ...] = tuple(PARTS_OF_NODE)) -> DataFrame:
     """dumps with nodes and error in the place of nothing: xml stays.
 
     A page that is no XML (null and empty ones too) gets its error, and no nodes; with on_malformed="texts", a node for
-    each text="..." in it. Python holds the nodes of SLICE pages at a time; what it returns is columns. The parser is
-    declared non-deterministic, so that no filter on what it finds has pages parsed twice, once before they are dealt out.
+    each text="..." in it. parts names what rules ask of a node; the rest isn't made. Python holds the nodes of SLICE pages
+    at a time; what it returns is columns. The parser is declared non-deterministic, so that no filter on what it finds has
+    pages parsed twice, once before they are dealt out.
     """
     fallback = on_malformed == "texts"
+    parts = tuple(c for c in PARTS_OF_NODE if c in parts)
 
     def parse(xml: pa.Array) -> pa.Array:
-        return pa.concat_arrays([_parsed(xml.slice(i, SLICE), fallback) for i in range(0, max(1, len(xml)), SLICE)])
+        return pa.concat_arrays([_parsed(xml.slice(i, SLICE), fallback, parts) for i in range(0, max(1, len(xml)), SLICE)])
 
-    parser = F.arrow_udf(parse, f"struct<nodes:array<{NODE}>, error:string>").asNondeterministic()
+    node = ", ".join(f for f in NODE[len("struct<") : -1].split(", ") if f.split(":")[0] in parts)
+    parser = F.arrow_udf(parse, f"struct<nodes:array<struct<{node}>>, error:string>").asNondeterministic()
     return dumps.withColumn("_p", parser("xml")).select("*", "_p.nodes", "_p.error").drop("_p")
 
 
-def explode_nodes(dumps: DataFrame, on_malformed: str = "none") -> DataFrame:
+def explode_nodes(dumps: DataFrame, on_malformed: str = "none", parts: tuple[str, ...] = tuple(PARTS_OF_NODE)) -> DataFrame:
     """One row for each node; a page without nodes keeps one row with its error."""
     rest = [c for c in dumps.columns if c != "xml"]
-    return parse_dumps(dumps, on_malformed).select(*rest, "error", F.explode_outer("nodes").alias("n")).select(*rest, "n.*", "error")
+    return parse_dumps(dumps, on_malformed, parts).select(*rest, "error", F.explode_outer("nodes").alias("n")).select(*rest, "n.*", "error")
 
 
 def once(value: Column, use) -> Column:
@@ -320,16 +350,17 @@ def _tokens(texts: Column) -> Column:
     number = lambda t: F.trim(F.regexp_replace(t, "[￥¥元]|/度", ""))
 
     def token(t):
+        # Only a text that holds what a pattern begins with is searched by it.
         spoken = F.when(F.contains(t, F.lit("参考价")), "total").when(F.contains(t, F.lit("电费")), "elec").when(F.contains(t, F.lit("服务费")), "service").otherwise("")
-        fees = [F.when(spoken != "", beside(t, label)).otherwise("").alias(c) for c, label in (("total", "参考价"), ("elec", "电费"), ("service", "服务费"))]
-        time = F.replace(F.regexp_extract(t, RANGE, 0), F.lit("~"), F.lit("-"))
+        fees = [F.when(F.contains(t, F.lit(label)), beside(t, label)).otherwise("").alias(c) for c, label in (("total", "参考价"), ("elec", "电费"), ("service", "服务费"))]
+        time = F.when(F.contains(t, F.lit(":")), F.replace(F.regexp_extract(t, RANGE, 0), F.lit("~"), F.lit("-"))).otherwise("")
         tag = F.when(F.contains(t, F.lit("当前计费时段")), "当前计费时段").when(F.contains(t, F.lit("最低")), "最低").otherwise("")
         return once(F.struct(t.alias("t"), time.alias("time"), tag.alias("tag"), *fees, spoken.alias("label")), lambda s: once(digits(s), lambda d: told(s, d)))
 
     def digits(s):
         # Fees beside their labels leave no number to look for.
         of = lambda n: F.struct(*[F.regexp_extract(n, pattern, 0).alias(c) for c, pattern in (("whole", r"^\d{1,2}$"), ("fraction", r"^\.\d+$"), ("decimal", r"^\d+\.\d+$"))])
-        return F.when((s["total"] == "") & (s["elec"] == "") & (s["service"] == ""), once(number(s["t"]), of)).otherwise(of(F.lit("")))
+        return F.when((s["total"] == "") & (s["elec"] == "") & (s["service"] == ""), once(number(s["t"]), of)).otherwise(F.struct(*[F.lit("").alias(c) for c in ("whole", "fraction", "decimal")]))
 
     def told(s, d):
         beside = (s["total"] != "") | (s["elec"] != "") | (s["service"] != "")
@@ -352,7 +383,7 @@ def price_page_periods(nodes: Column) -> Column:
     period without any fee goes.
     """
     # A node's description counts beside its text, unless it is the same.
-    texts = F.filter(F.flatten(F.transform(F.filter(nodes, lambda n: n["tag"] == "node"), lambda n: F.array_distinct(F.array(n["text"], n["desc"])))), lambda t: t != "")
+    texts = F.filter(F.flatten(F.transform(F.filter(nodes, lambda n: n["tag"] == "node"), lambda n: F.when(n["desc"].isin("", n["text"]), F.array(n["text"])).otherwise(F.array(n["text"], n["desc"])))), lambda t: t != "")
     empty = F.from_json(F.lit('{"time":"","total":"","elec":"","service":"","tag":"","label":"","whole":"","done":[]}'), STATE)
 
     def closed(s):
@@ -372,7 +403,7 @@ def price_page_periods(nodes: Column) -> Column:
             "label": F.when(beside | valued, F.lit("")).when(names, t["label"]).otherwise(label), "whole": F.when(beside | names | (valued & (t["fraction"] != "")), F.lit("")).when(t["whole"] != "", t["whole"]).otherwise(whole),
             "done": F.when(opens, closed(s)).otherwise(s["done"]),
         }
-        return F.when(inside, F.struct(*[c.alias(k) for k, c in out.items()]).cast(STATE)).otherwise(s)
+        return F.when(inside, F.struct(*[c.alias(k) for k, c in out.items()])).otherwise(s)
 
     named = dict(zip(("time", "total_price", "elec_fee", "service_fee", "tag"), PARTS, strict=True))
     folded = F.aggregate(_tokens(texts), empty, step, closed)
@@ -381,7 +412,7 @@ def price_page_periods(nodes: Column) -> Column:
 
 def extract_price_detail(dumps: DataFrame, keys: list[str]) -> DataFrame:
     """Period rows of price pages, one for each time; malformed pages are read by their text="..." attributes."""
-    pages = parse_dumps(dumps, "texts").select(*keys, F.posexplode(price_page_periods(F.col("nodes"))).alias("pos", "p"))
+    pages = parse_dumps(dumps, "texts", SAID).select(*keys, F.posexplode(price_page_periods(F.col("nodes"))).alias("pos", "p"))
     return fold_price_periods(pages.select(*keys, "pos", "p.*").na.drop(subset=keys), keys)
 
 

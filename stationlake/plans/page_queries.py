@@ -63,25 +63,25 @@ def price_dumps(periods: DataFrame) -> DataFrame:
     c = F.col
     fee = lambda label, column: F.when(c(column) != "", F.concat(F.lit(f" {label}"), c(column), F.lit("/度")))
     line = F.concat_ws("", "time", F.when(c("tag") != "", F.concat(F.lit(" "), "tag")), fee("参考价", "total_price"), fee("电费：￥", "elec_fee"), fee("服务费：￥", "service_fee"))
-    rows = periods.where(c("time").rlike("[-~]")).select("station_id", "pos", node(line).alias("line"))
+    rows = periods.where(c("time").contains("-") | c("time").contains("~")).select("station_id", "pos", node(line).alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "")
     return rows.groupBy("station_id").agg(hierarchy(node("充电价格详情"), body).alias("xml"))
 
 
 LINE = "concat(time, CASE WHEN tag<>'' THEN concat(' ',tag) ELSE '' END, CASE WHEN total_price<>'' THEN concat(' 参考价',total_price,'/度') ELSE '' END, CASE WHEN elec_fee<>'' THEN concat(' 电费：￥',elec_fee,'/度') ELSE '' END, CASE WHEN service_fee<>'' THEN concat(' 服务费：￥',service_fee,'/度') ELSE '' END)"
 register("dmp1_explode_nodes", "fx_price_periods", f"SELECT station_id, CAST(row_number() OVER (PARTITION BY station_id ORDER BY pos)+1 AS INT) AS pos, 1 AS depth, {LINE} AS text FROM fx_price_periods WHERE time LIKE '%-%' OR time LIKE '%~%'")(
-    lambda p: pages.explode_nodes(price_dumps(p)).where("tag='node' and pos>1").select("station_id", "pos", "depth", "text")
+    lambda p: pages.explode_nodes(price_dumps(p), parts=("pos", "depth", "tag", "text")).where("tag='node' and pos>1").select("station_id", "pos", "depth", "text")
 )
 register("dmp2_malformed_pages", "fx_bad_dumps", "SELECT dump_id, CASE WHEN dump_id%3=0 THEN 'popup' ELSE 'unknown' END AS kind, dump_id%3<>0 AS bad FROM fx_bad_dumps")(
     lambda d: pages.assess_pages(pages.parse_dumps(d.withColumn("xml", F.when(F.col("dump_id") % 3 == 0, '<hierarchy><node text="我知道了" bounds="[0,0][9,9]"/></hierarchy>').otherwise(F.col("xml"))))).select("dump_id", "kind", F.col("error").isNotNull().alias("bad")))
 register("dmp3_assess_pages", "fx_stations", """
 SELECT id AS dump_id, CASE WHEN id%17=0 THEN 'popup' WHEN id%4<>0 OR business_hours<>'' THEN 'detail' ELSE 'unknown' END AS kind,
  CASE WHEN id%17=0 THEN 0.9 WHEN id%4<>0 THEN 0.93 WHEN business_hours<>'' THEN 0.965 ELSE 0.2 END AS confidence, true AS expected_visible FROM fx_stations""")(
-    lambda s: pages.assess_pages(pages.parse_dumps(detail_dumps(s)), "station_name").select("dump_id", "kind", F.round("confidence", 4).alias("confidence"), "expected_visible")
+    lambda s: pages.assess_pages(pages.parse_dumps(detail_dumps(s), parts=pages.JUDGED), "station_name").select("dump_id", "kind", F.round("confidence", 4).alias("confidence"), "expected_visible")
 )
 register("dmp3_assess_price_pages", "fx_price_periods", """
 WITH p AS (SELECT station_id, count(*) AS n, bool_or(total_price<>'') AS r, bool_or(elec_fee<>'' OR service_fee<>'') AS f FROM fx_price_periods WHERE time LIKE '%-%' OR time LIKE '%~%' GROUP BY station_id)
-SELECT station_id, CASE WHEN r AND f THEN 'price_detail' ELSE 'unknown' END AS kind FROM p""")(lambda p: pages.assess_pages(pages.parse_dumps(price_dumps(p))).select("station_id", "kind"))
+SELECT station_id, CASE WHEN r AND f THEN 'price_detail' ELSE 'unknown' END AS kind FROM p""")(lambda p: pages.assess_pages(pages.parse_dumps(price_dumps(p), parts=pages.JUDGED)).select("station_id", "kind"))
 register("dmp4_classify_layout", "fx_stations", """
 WITH l AS (SELECT id, CASE WHEN id%10=5 THEN 'full_trend' WHEN id%10=0 AND current_price<>'' THEN 'click_to_expand' WHEN fast_total<>'' OR parking_fee<>'' OR address LIKE '%空%' THEN 'standard' ELSE 'basic' END AS layout FROM fx_stations)
 SELECT id AS dump_id, layout, CASE layout WHEN 'full_trend' THEN 2 WHEN 'basic' THEN 0 ELSE 1 END AS scrolls_needed FROM l""")(lambda s: pages.classify_layout(pages.parse_dumps(detail_dumps(s))).select("dump_id", "layout", "scrolls_needed"))
@@ -89,10 +89,10 @@ FIELDS = """concat('驾车',id%30+1,'公里') AS distance, concat(id%50+1,'分
  CASE WHEN fast_total<>'' THEN '120kW' ELSE '' END AS fast_power, CAST(id%90 AS VARCHAR) AS favorite_count, CASE WHEN id%6=1 THEN '热门' ELSE '' END AS tags"""
 SHOWN = ["station_name", "address", "distance", "duration", "business_hours", "operator", "current_price", "parking_fee", "fast_available", "fast_total", "fast_power", "favorite_count"]
 register("dmp5_extract_detail", "fx_stations", f"SELECT id AS dump_id, station_name, CASE WHEN length(address)>=6 THEN address ELSE '' END AS address, {FIELDS}, CASE WHEN id%7=0 THEN '地上,卫生间' ELSE '' END AS facilities FROM fx_stations")(
-    lambda s: pages.extract_detail(pages.parse_dumps(detail_dumps(s).drop("station_name"))).select("dump_id", *SHOWN, *[F.concat_ws(",", c).alias(c) for c in ("tags", "facilities")])
+    lambda s: pages.extract_detail(pages.parse_dumps(detail_dumps(s).drop("station_name"), parts=pages.WORDS)).select("dump_id", *SHOWN, *[F.concat_ws(",", c).alias(c) for c in ("tags", "facilities")])
 )
 register("dmp6_extract_trend", "fx_stations", "SELECT id AS dump_id, p.pos, p.time, p.total_price FROM fx_stations, (VALUES (1,'00:00-08:00','0.81'),(2,'当前时段','0.99')) p(pos,time,total_price) WHERE id%10=5")(
-    lambda s: pages.extract_detail(pages.parse_dumps(detail_dumps(s).drop("station_name"))).select("dump_id", F.posexplode("fast_prices").alias("at", "p")).select("dump_id", (F.col("at") + 1).alias("pos"), "p.time", "p.total_price")
+    lambda s: pages.extract_detail(pages.parse_dumps(detail_dumps(s).drop("station_name"), parts=pages.WORDS)).select("dump_id", F.posexplode("fast_prices").alias("at", "p")).select("dump_id", (F.col("at") + 1).alias("pos"), "p.time", "p.total_price")
 )
 register("dmp7_extract_price_detail", "fx_price_periods", """
 WITH p AS (SELECT *, replace(time,'~','-') AS t FROM fx_price_periods WHERE time LIKE '%-%' OR time LIKE '%~%'), c AS (SELECT *, CASE WHEN t=lag(t) OVER (PARTITION BY station_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM p),
@@ -114,15 +114,15 @@ def search(stations: DataFrame) -> DataFrame:
 
 
 register("agg13_equipment_facts", "fx_stations", "SELECT id AS dump_id, fast_available, fast_total, CASE WHEN fast_total<>'' THEN '120kW' ELSE '' END AS fast_power, '' AS super_total, '' AS slow_total FROM fx_stations")(
-    lambda s: pages.parse_dumps(detail_dumps(s)).withColumns(pages.equipment_facts(pages.neighbours(pages.page_texts(F.col("nodes"))))).select("dump_id", "fast_available", "fast_total", "fast_power", "super_total", "slow_total")
+    lambda s: pages.parse_dumps(detail_dumps(s), parts=("text",)).withColumns(pages.equipment_facts(pages.neighbours(pages.page_texts(F.col("nodes"))))).select("dump_id", "fast_available", "fast_total", "fast_power", "super_total", "slow_total")
 )
 register("win4_neighbour_texts", "fx_stations", "SELECT id AS dump_id, CAST(id%90 AS VARCHAR) AS prev, '分享' AS text FROM fx_stations")(
-    lambda s: pages.parse_dumps(detail_dumps(s)).select("dump_id", F.explode(pages.neighbours(pages.page_texts(F.col("nodes")))).alias("a")).where("a.text='分享'").select("dump_id", "a.prev", "a.text")
+    lambda s: pages.parse_dumps(detail_dumps(s), parts=("text",)).select("dump_id", F.explode(pages.neighbours(pages.page_texts(F.col("nodes")))).alias("a")).where("a.text='分享'").select("dump_id", "a.prev", "a.text")
 )
 
 
 def merged(stations: DataFrame) -> DataFrame:
-    return pages.merge_dumps(pages.extract_detail(pages.parse_dumps(scrolled_dumps(stations))), "id")
+    return pages.merge_dumps(pages.extract_detail(pages.parse_dumps(scrolled_dumps(stations), parts=pages.WORDS)), "id")
 
 
 register("agg10_merge_dumps", "fx_stations", f"SELECT id, station_name, CASE WHEN length(address)>=6 THEN address ELSE '' END AS address, {FIELDS}, CASE WHEN id%7=0 THEN '地上,卫生间,地下' ELSE '地下' END AS facilities FROM fx_stations")(

@@ -59,3 +59,19 @@ def test_pages_of_one_key_fold_and_those_of_none_go(spark):
     found = pages.extract_price_detail(spark.createDataFrame(rows, "id long, xml string"), ["id"])
     assert sorted((r.id, r.time, r.total_price) for r in found.collect()) == [(1, "00:00-08:00", "1.2"), (1, "08:00-09:00", "1.3")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_parts_of_nodes_are_those_of_whole_nodes(spark):
+    """Rules that ask for parts had all of a node made; what is made must not depend on what is asked for."""
+    odd = [
+        '<a><b text=" x " content-desc="d" bounds="[1,2][3,4]"><c clickable="true"/></b></a>', '<a xmlns="u"><b text="1"/></a>', "<p:a/>", "<a>&z;</a>", '<!DOCTYPE a SYSTEM "x"><a>&z;</a>',
+        '<!DOCTYPE a [<!ENTITY q "z">]><a text="&q;"/>', '<a text="1"><b></a>', '<a text="1"/><b text="2"/>', "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(odd)), "dump_id long, xml string").coalesce(1)
+    whole = {r.dump_id: r for r in pages.parse_dumps(df, "texts").collect()}
+    assert [whole[i].error is None for i in range(len(odd))] == [True, True, False, False, False, True, False, False, False, False]
+    assert [n.tag for n in whole[1].nodes] == ["{u}a", "{u}b"] and [n.text for n in whole[5].nodes] == ["z"] and [n.text for n in whole[7].nodes] == ["1", "2"]
+    for parts in (pages.SAID, pages.JUDGED, pages.WORDS, ("pos", "depth"), ("x2",)):
+        for r in pages.parse_dumps(df, "texts", parts).collect():
+            assert r.error == whole[r.dump_id].error
+            assert [n.asDict() for n in r.nodes] == [{c: n[c] for c in pages.PARTS_OF_NODE if c in parts} for n in whole[r.dump_id].nodes]
