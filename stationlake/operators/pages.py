@@ -344,32 +344,26 @@ def extract_detail(parsed: DataFrame) -> DataFrame:
     return rows.select(*rest, *[c.alias(k) for k, c in filled.items()], "_guns.*", *[c.alias(k) for k, c in lists.items()])
 
 
-def _tokens(texts: Column) -> Column:
-    """What each text of a price page says: a clock range, fees beside their labels, a label alone, or part of a number."""
-    beside = lambda t, label: F.regexp_extract(t, rf"{label}\s*[:：]?\s*[￥¥]?\s*(\d+(?:\.\d+)?)", 1)
-    number = lambda t: F.trim(F.regexp_replace(t, "[￥¥元]|/度", ""))
-
-    def token(t):
-        # Only a text that holds what a pattern begins with is searched by it.
-        spoken = F.when(F.contains(t, F.lit("参考价")), "total").when(F.contains(t, F.lit("电费")), "elec").when(F.contains(t, F.lit("服务费")), "service").otherwise("")
-        fees = [F.when(F.contains(t, F.lit(label)), beside(t, label)).otherwise("").alias(c) for c, label in (("total", "参考价"), ("elec", "电费"), ("service", "服务费"))]
-        time = F.when(F.contains(t, F.lit(":")), F.replace(F.regexp_extract(t, RANGE, 0), F.lit("~"), F.lit("-"))).otherwise("")
-        tag = F.when(F.contains(t, F.lit("当前计费时段")), "当前计费时段").when(F.contains(t, F.lit("最低")), "最低").otherwise("")
-        return once(F.struct(t.alias("t"), time.alias("time"), tag.alias("tag"), *fees, spoken.alias("label")), lambda s: once(digits(s), lambda d: told(s, d)))
+TOKEN = ("time", "tag", "total", "elec", "service", "label", "whole", "fraction", "decimal")
 
-    def digits(s):
-        # Fees beside their labels leave no number to look for.
-        of = lambda n: F.struct(*[F.regexp_extract(n, pattern, 0).alias(c) for c, pattern in (("whole", r"^\d{1,2}$"), ("fraction", r"^\.\d+$"), ("decimal", r"^\d+\.\d+$"))])
-        return F.when((s["total"] == "") & (s["elec"] == "") & (s["service"] == ""), once(number(s["t"]), of)).otherwise(F.struct(*[F.lit("").alias(c) for c in ("whole", "fraction", "decimal")]))
 
-    def told(s, d):
-        beside = (s["total"] != "") | (s["elec"] != "") | (s["service"] != "")
-        open_ = ~beside & (d["whole"] == "")
-        valued = (s["label"] == "") & ((d["fraction"] != "") | (d["decimal"] != ""))
-        kept = [s[c].alias(c) for c in ("time", "tag", "total", "elec", "service", "label")] + [d[c].alias(c) for c in ("whole", "fraction", "decimal")]
-        return F.struct(*kept, beside.alias("beside"), (open_ & (s["label"] != "")).alias("names"), (open_ & valued).alias("valued"))
+def _tokens(texts: Column) -> Column:
+    """What each text of a price page says: a clock range, fees beside their labels, a label alone, or part of a number.
 
-    return F.transform(texts, token)
+    Each part is found in all texts before the next one, and the parts, in TOKEN's order, are zipped: structs made text by
+    text cost more than the patterns.
+    """
+    beside = lambda t, label: F.regexp_extract(t, rf"{label}\s*[:：]?\s*[￥¥]?\s*(\d+(?:\.\d+)?)", 1)
+    spoken = lambda t: F.when(F.contains(t, F.lit("参考价")), "total").when(F.contains(t, F.lit("电费")), "elec").when(F.contains(t, F.lit("服务费")), "service").otherwise("")
+    # Only a text that holds what a pattern begins with is searched by it.
+    fee = lambda label: lambda t: F.when(F.contains(t, F.lit(label)), beside(t, label)).otherwise("")
+    time = lambda t: F.when(F.contains(t, F.lit(":")), F.replace(F.regexp_extract(t, RANGE, 0), F.lit("~"), F.lit("-"))).otherwise("")
+    tag = lambda t: F.when(F.contains(t, F.lit("当前计费时段")), "当前计费时段").when(F.contains(t, F.lit("最低")), "最低").otherwise("")
+    # A text with a label is no bare number.
+    number = lambda t: F.when(spoken(t) == "", F.trim(F.regexp_replace(t, "[￥¥元]|/度", ""))).otherwise("")
+    like = lambda pattern: lambda n: F.when(n != "", F.regexp_extract(n, pattern, 0)).otherwise("")
+    said = [F.transform(texts, part) for part in (time, tag, fee("参考价"), fee("电费"), fee("服务费"), spoken)]
+    return once(F.transform(texts, number), lambda numbers: F.arrays_zip(*said, *[F.transform(numbers, like(pattern)) for pattern in (r"^\d{1,2}$", r"^\.\d+$", r"^\d+\.\d+$")]))
 
 
 STATE = "struct<time:string, total:string, elec:string, service:string, tag:string, label:string, whole:string, done:array<struct<time:string, total:string, elec:string, service:string, tag:string>>>"
@@ -390,12 +384,15 @@ def price_page_periods(nodes: Column) -> Column:
         worth = (s["time"] != "") & (F.concat(s["total"], s["elec"], s["service"]) != "")
         return F.when(worth, F.concat(s["done"], F.array(F.struct(*[s[p].alias(p) for p in PARTS])))).otherwise(s["done"])
 
-    def step(s, t):
+    def step(s, token):
+        t = {c: token[str(i)] for i, c in enumerate(TOKEN)}
         opens = (t["time"] != "") & (t["time"] != s["time"])
         fresh = lambda c: F.when(opens, F.lit("")).otherwise(s[c])
         label, whole = (F.when(t["time"] != "", F.lit("")).otherwise(s[c]) for c in ("label", "whole"))
         inside = (t["time"] != "") | (s["time"] != "")
-        beside, names, valued = t["beside"], t["names"], t["valued"]
+        beside = (t["total"] != "") | (t["elec"] != "") | (t["service"] != "")
+        names = (t["label"] != "") & ~beside & (t["whole"] == "")
+        valued = (t["label"] == "") & ((t["fraction"] != "") | (t["decimal"] != "")) & ~beside & (t["whole"] == "")
         value = F.when(t["fraction"] != "", F.concat(F.when(whole == "", F.lit("0")).otherwise(whole), t["fraction"])).otherwise(t["decimal"])
         fee = lambda c: F.when(t[c] != "", t[c]).when(valued & (label == c), value).otherwise(fresh(c))
         out = {
@@ -406,7 +403,7 @@ def price_page_periods(nodes: Column) -> Column:
         return F.when(inside, F.struct(*[c.alias(k) for k, c in out.items()])).otherwise(s)
 
     named = dict(zip(("time", "total_price", "elec_fee", "service_fee", "tag"), PARTS, strict=True))
-    folded = F.aggregate(_tokens(texts), empty, step, closed)
+    folded = F.aggregate(once(texts, _tokens), empty, step, closed)
     return F.transform(folded, lambda p: F.struct(*[(p[named[c]] if c in named else F.lit("price_detail")).alias(c) for c in FIELDS]))
 
 

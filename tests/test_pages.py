@@ -75,3 +75,13 @@ def test_parts_of_nodes_are_those_of_whole_nodes(spark):
         for r in pages.parse_dumps(df, "texts", parts).collect():
             assert r.error == whole[r.dump_id].error
             assert [n.asDict() for n in r.nodes] == [{c: n[c] for c in pages.PARTS_OF_NODE if c in parts} for n in whole[r.dump_id].nodes]
+
+
+def test_parts_of_tokens_are_zipped_not_built_text_by_text(spark):
+    """Of one period's odd texts; a struct was made, and copied twice, for each text."""
+    texts = ["参考价1", "09:00-10:00 最低", "电费 服务费", "参考价 : ￥3", "参考价", "2", "¥ .5", "电费", "7.", "0.4元", "服务费", "12", "10:00-11:00", "  3 元"]
+    row = spark.createDataFrame([(1, "<a>" + "".join(f'<node text="{t}"/>' for t in texts) + "</a>")], "dump_id long, xml string")
+    found = pages.parse_dumps(row, "texts", pages.SAID).select(pages.price_page_periods(F.col("nodes")).alias("p"))
+    assert [tuple(p)[:5] for p in found.first().p] == [("09:00-10:00", "2.5", "0.4", "", "最低")]
+    tokens = spark.range(1).select(F.array(F.lit("参考价1")).alias("t")).select(pages._tokens(F.col("t")).alias("k"))
+    assert "named_struct" not in tokens._jdf.queryExecution().analyzed().toString() and tuple(tokens.first().k[0]) == ("", "", "1", "", "", "total", "", "", "")
