@@ -60,9 +60,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers of ids and digests of ids and decoded texts of what is left, a row for each row, with null and repeated ids.
 
-    Null and empty texts have no ids.
+    Null and empty texts have no ids. Workers keep what earlier stages left in them, so they remember fewer words than op10's.
     """
-    return bpe_transducer.encode_and_decode(docs)
+    return bpe_transducer.encode_and_decode(docs, cache=150_000)
 
 
 STAGES = [

@@ -82,19 +82,16 @@ class MergeTable:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Applies the merges in place: always the lowest rank, the leftmost on ties."""
-        get = self.merges.get
-        ranked = [get(a << 20 | b, NONE) for a, b in zip(symbols, symbols[1:])]
-        while ranked:
-            best = min(ranked)
-            if best == NONE:
-                break
+        get, none = self.merges.get, NONE
+        ranked = [get(a << 20 | b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranked and (best := min(ranked)) != none:
             at, made = ranked.index(best), best & 0xFFFFF
-            symbols[at : at + 2] = (made,)
-            del ranked[at]
+            del symbols[at], ranked[at]
+            symbols[at] = made
             if at:
-                ranked[at - 1] = get(symbols[at - 1] << 20 | made, NONE)
+                ranked[at - 1] = get(symbols[at - 1] << 20 | made, none)
             if at < len(ranked):
-                ranked[at] = get(made << 20 | symbols[at + 1], NONE)
+                ranked[at] = get(made << 20 | symbols[at + 1], none)
         return symbols
 
 
@@ -178,60 +175,68 @@ class Decoder:
 
 
 class TextEncoder:
-    """Encodes whole texts word by word (white space always separates tokens); short words come from a bounded cache."""
+    """Encodes whole texts word by word (white space always separates tokens); short words come from a bounded cache.
+
+    A word is (ids as little-endian uint32, decoded bytes). Its pieces are kept so, too: the strings of tokens are whole
+    characters, so that what is decoded of a word is that of its pieces, joined with blanks.
+    """
 
-    def __init__(self, table: MergeTable, cache: int = 150_000, longest: int = 64):
+    def __init__(self, table: MergeTable, cache: int = 500_000, longest: int = 64):
         self.table, self.limit, self.longest = table, cache, longest
         self.special = re.compile("|".join(map(re.escape, table.specials))) if table.specials else None
+        self.strings = table.shown_bytes()
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        out, at = [], 0
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
+
+    def word(self, data: bytes) -> tuple[bytes, bytes]:
+        known = self.pieces.get
+        if data.isalpha():  # of ASCII letters alone, as most words are
+            piece = data.decode().lower()
+            return known(piece) or self._piece(piece)
+        word, found, at = data.decode("utf-8", "replace"), [], 0
         for m in self.special.finditer(word) if self.special and "<" in word else ():
-            out += self._plain(word[at : m.start()])
-            out.append(self.table.specials[m[0]])
+            found += self._split(word[at : m.start()])
+            found.append(self._shown([self.table.specials[m[0]]]))
             at = m.end()
-        return out + self._plain(word[at:] if at else word)
+        found += self._split(word[at:] if at else word)
+        return found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), b" ".join([x[1] for x in found]))
 
-    def _plain(self, word: str) -> list[int]:
+    def _split(self, word: str) -> list[tuple[bytes, bytes]]:
         if word.isascii():
             word = word.lower()
-            pieces = (word,) if word.isalpha() else self.table.pieces.findall(word)
         else:
             word = unicodedata.normalize("NFC", word)
             word = word.lower() if "Σ" not in word else "".join(c.lower() for c in word)
-            pieces = self.table.pieces.findall(word)
-        out = []
-        for piece in pieces:
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = self._piece(piece.encode())
-            out += ids
-        return out
+        known = self.pieces.get
+        return [known(piece) or self._piece(piece) for piece in self.table.pieces.findall(word)]
 
-    def _piece(self, data: bytes) -> list[int]:
-        table = self.table
+    def _piece(self, piece: str) -> tuple[bytes, bytes]:
+        table, data = self.table, piece.encode()
         inner = table.inner
         symbols = [inner[b] for b in data[:-1]]
         symbols.append(table.last[data[-1]])
         if len(symbols) <= self.longest:
-            return table.merge(symbols)
-        encoder = Encoder(table)
-        return encoder.push(symbols) + encoder.finish()
+            table.merge(symbols)
+        else:
+            encoder = Encoder(table)
+            symbols = encoder.push(symbols) + encoder.finish()
+        found = self.pieces[piece] = self._shown(symbols)
+        return found
+
+    def _shown(self, ids: list[int]) -> tuple[bytes, bytes]:
+        shown = self.strings
+        return array("I", ids).tobytes(), b" ".join([shown[i] for i in ids])
 
     def _known(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian uint32, decoded bytes) of each word."""
+        """What each word is."""
         found = list(map(self.known.get, words))
         if None in found:
             if len(self.known) > self.limit:
                 self.known.clear()
                 self.pieces.clear()
                 found = [None] * len(words)
-            decoder = Decoder(self.table)
             for w in {w for w, x in zip(words, found) if x is None}:
-                ids = self.word(w.decode("utf-8", "replace"))
-                self.known[w] = array("I", ids).tobytes(), (decoder.feed(ids) + decoder.finish()).encode()
+                self.known[w] = self.word(w)
             found = list(map(self.known.get, words))
         return found
 
@@ -246,30 +251,30 @@ class TextEncoder:
             begun = begun or bool(shown)
 
 
-ENCODERS: dict[str, TextEncoder] = {}  # of this Python worker
+ENCODERS: dict[tuple[str, int], TextEncoder] = {}  # of this Python worker
 
 
-def text_encoder(path: str) -> TextEncoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = TextEncoder(MergeTable(path))
-    return ENCODERS[path]
+def text_encoder(path: str, cache: int) -> TextEncoder:
+    if (path, cache) not in ENCODERS:
+        ENCODERS[path, cache] = TextEncoder(MergeTable(path), cache)
+    return ENCODERS[path, cache]
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_and_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache: int = 500_000) -> DataFrame:
     """Per document the number of ids, and digests of the ids and of the text decoded from them.
 
     A map without shuffle. Null and empty texts have no ids; rows are kept one to one, repeated ids and null ids too;
-    other columns are ignored. `path` is the vocabulary file.
+    other columns are ignored. `path` is the vocabulary file, `cache` the number of words that a Python worker remembers.
     """
     path = path or vocabulary_path()
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = text_encoder(path)
+        encoder = text_encoder(path, cache)
         for whole in batches:
             for batch in slices(whole):
                 counts, ids_sha, text_sha = [], [], []

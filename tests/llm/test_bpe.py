@@ -97,3 +97,15 @@ def test_edges(spark):
     assert B.encode_and_decode(empty).collect() == []
     twice = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None)], "doc_id long, text string")
     assert sorted(r.n_tokens for r in B.encode_and_decode(twice).collect()) == [0, 2, 2]
+
+
+def test_words_in_reach_of_the_cache_are_encoded_once(both, monkeypatch):
+    """160,000 words fit; a cache of 150,000 forgot all of them when one more came."""
+    _, table = both
+    letters = "abcdefghij"
+    words = " ".join("".join(letters[int(d)] for d in str(i)) for i in range(160_000)).encode()
+    calls, merge = [], table.merge
+    monkeypatch.setattr(table, "merge", lambda symbols: calls.append(1) or merge(symbols))
+    encoder = B.TextEncoder(table)
+    first, _, again = (list(encoder.text(t)) for t in (words, b"zz", words))
+    assert first == again and len(calls) <= 160_001
