@@ -125,7 +125,7 @@ class CachedTokenizer:
     are those of its words between ASCII blanks.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

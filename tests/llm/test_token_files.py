@@ -72,3 +72,14 @@ def test_ids_of_every_character():
     for text, want in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
         got = np.frombuffer(own(text.encode()), "<u4").tolist()
         assert got == want.ids, text[:50]
+
+
+def test_words_in_reach_of_the_cache_are_asked_for_once():
+    """210,000 words fit; a cache of 200,000 forgot all of them when one more came."""
+    letters = "abcdefghij"
+    words = " ".join("".join(letters[int(d)] for d in str(i)) for i in range(210_000)).encode()
+    encode, asked = T.CachedTokenizer(T.vocabulary_path()), []
+    ask = encode._ask
+    encode._ask = lambda cores: asked.extend(cores) or ask(cores)
+    first, _, again = (encode(t) for t in (words, b"zz", words))
+    assert first == again and len(asked) == len(set(asked)) == 210_001
