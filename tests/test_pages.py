@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stationlake.operators import pages
@@ -85,3 +86,31 @@ def test_parts_of_tokens_are_zipped_not_built_text_by_text(spark):
     assert [tuple(p)[:5] for p in found.first().p] == [("09:00-10:00", "2.5", "0.4", "", "最低")]
     tokens = spark.range(1).select(F.array(F.lit("参考价1")).alias("t")).select(pages._tokens(F.col("t")).alias("k"))
     assert "named_struct" not in tokens._jdf.queryExecution().analyzed().toString() and tuple(tokens.first().k[0]) == ("", "", "1", "", "", "total", "", "", "")
+
+
+def test_small_pages_are_read_by_one_parser(monkeypatch):
+    """Each page had a parser of its own, which took most of a small page's time."""
+    made, create = [], pages.expat.ParserCreate
+    monkeypatch.setattr(pages.expat, "ParserCreate", lambda *a: made.append(a) or create(*a))
+    xml = '<hierarchy rotation="0"><node text="a"><node text="b&amp;c"/></node><b/></hierarchy>'
+    for parts in (pages.WORDS, tuple(pages.PARTS_OF_NODE)):
+        made.clear()
+        got = pages._parsed(pa.array([xml] * pages.SLICE), False, parts).to_pylist()
+        assert len(made) == 1 and got == pages._parsed(pa.array([xml]), False, parts).to_pylist() * pages.SLICE
+
+
+def test_pages_read_together_are_what_each_is_alone():
+    good = '<hierarchy><node text="a"><node text=" b " bounds="[1,2][3,4]"/></node></hierarchy>'
+    odd = [
+        None, "", "x", "<hierarchy/>", "<hierarchy></hierarchy>", '<?xml version="1.0"?>' + good, good + "\n", good + good, "<hierarchy>", "</hierarchy>", "<hierarchy><a></hierarchy>", "<hierarchy></a></hierarchy>",
+        "<hierarchy></all><all></hierarchy>", "<hierarchy></hierarchy></all>", "<hierarchy><!-- </hierarchy>", "<hierarchy>--></hierarchy>", "<hierarchy><![CDATA[</hierarchy>", "<hierarchy>]]></hierarchy>", '<hierarchy a="></hierarchy>', '<hierarchy>"/></hierarchy>',
+        '<hierarchy a="0"/></hierarchy>', '<hierarchy xmlns="u"><a/></hierarchy>', "<hierarchy><p:a/></hierarchy>", '<hierarchy><a text="&nbsp;"/></hierarchy>', "<hierarchy><hierarchy/></hierarchy>", '<hierarchy a="1" a="2"></hierarchy>', "<hierarchy><all/></hierarchy>", "<hierarchy>\x01</hierarchy>",
+    ]
+    for parts in (pages.JUDGED, tuple(pages.PARTS_OF_NODE)):
+        for fallback in (False, True):
+            alone = lambda xml: pages._parsed(pa.array([xml], pa.string()), fallback, parts).to_pylist()[0]  # noqa: B023, E731
+            # A page alone can't be taken for a part of another one; only that it is well-formed counts here.
+            for a in odd:
+                for b in odd:
+                    some = [good, a, b, good]
+                    assert pages._parsed(pa.array(some, pa.string()), fallback, parts).to_pylist() == [alone(x) for x in some]
