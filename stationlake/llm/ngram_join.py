@@ -137,6 +137,18 @@ def similar(percent: int):
     return lambda: exact
 
 
+def likely_rows(docs: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """docs without most rows whose doc_id is not in wanted (class), so that few texts are shuffled for an exact join.
+
+    A bitmap of 2**bits hashed places, of 64 to a row, is broadcast: it doesn't grow with the input.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    word, mask = (lambda c: F.shiftright(place(c), 6)), (lambda c: F.expr(f"shiftleft(1L, int(pmod(xxhash64({c}), 64)))"))
+    words = wanted.groupBy(word("class").alias("_word")).agg(F.bit_or(mask("class")).alias("_mask"))
+    held = docs.withColumn("_word", word("doc_id")).join(F.broadcast(words), "_word")
+    return held.where(F.col("_mask").bitwiseAND(mask("doc_id")) != 0).drop("_word", "_mask")
+
+
 def ngram_components(docs: DataFrame, scratch: Scratch, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; other columns are ignored).
 
@@ -156,7 +168,8 @@ def ngram_components(docs: DataFrame, scratch: Scratch, n: int = 4, percent: int
     own = classes.withColumn("doc_id", F.col("class"))
     keyed = marked.join(own, ["n", "mark_a", "mark_b", "doc_id"]).select("class", F.explode("keys").alias("key"))
     members = shared_members(keyed, scratch)
-    texts = docs.join(members.select("class").distinct(), F.col("doc_id") == F.col("class")).select("class", "text")
+    wanted = members.select("class").distinct()
+    texts = likely_rows(docs, wanted).join(wanted, F.col("doc_id") == F.col("class")).select("class", "text")
     sets = texts.mapInArrow(lambda it: set_rows(it, n), "class long, n long, bits binary, payload binary")
     sets = scratch.save(sets, "sets")
     links = candidate_links(members, sets, scratch, bitmap_bound(percent), similar(percent))

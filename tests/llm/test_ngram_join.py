@@ -85,3 +85,13 @@ def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(50_000))
     assert run([(1, long), (2, long + " more"), (None, long)]) == [(1, 49997, 1), (2, 49998, 1), (None, 49997, None)]
     assert run([(7, "a b c"), (7, "a b c"), (8, "A b c")]) == [(7, 1, 7), (7, 1, 7), (8, 1, 7)]
+
+
+def test_few_texts_are_shuffled_for_the_sets(spark):
+    """All texts were shuffled to find the few whose sets are needed."""
+    docs = spark.range(-2000, 20_000).selectExpr("id as doc_id", "'t' as text").unionAll(spark.sql("select cast(null as long), 't'"))
+    wanted = spark.range(-2000, 20_000, 100).toDF("class")
+    for bits, most in ((24, 300), (6, 22_001)):  # a full bitmap leaves all rows
+        kept = [r.doc_id for r in N.likely_rows(docs, wanted, bits).collect()]
+        assert len(kept) == len(set(kept)) <= most and set(range(-2000, 20_000, 100)) <= set(kept)
+    assert N.likely_rows(docs, wanted.limit(0)).count() == 0
